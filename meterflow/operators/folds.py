@@ -239,6 +239,93 @@ class Previous:
         return out, tail[-self.depth :].tolist()
 
 
+@dataclass
+class RowNumber:
+    """Position of a row within its key, from zero; ``column`` only names a cheap input."""
+
+    column: str
+    inputs: list[str] = field(init=False)
+    outputs = [("row_number", "long")]
+
+    def __post_init__(self):
+        self.inputs = [self.column]
+
+    def effect(self, parts: Iterator[dict[str, np.ndarray]]) -> State:
+        return [sum(len(part[self.column]) for part in parts)]
+
+    def follow(self, state: State | None, effect: State) -> State:
+        return [effect[0] + (state[0] if state else 0)]
+
+    def scan(self, rows, starts, state):
+        index = np.arange(len(starts), dtype=np.int64)
+        last_start = np.maximum.accumulate(np.where(starts, index, -1))
+        number = np.where(last_start < 0, index + int(state[0] if state else 0), index - last_start)
+        return {"row_number": number}, [float(number[-1] + 1)]
+
+
+@dataclass
+class Cover:
+    """Clusters of intervals ``[reach, reach + width]`` opened by rows of kind 0; rows of kind 1 fall inside or not.
+
+    ``cluster`` is the opening of the first interval of an overlapping run, null for an uncovered row.
+    """
+
+    width: float
+    inputs = ["reach", "kind"]
+    outputs = [("cluster", "double")]
+
+    def effect(self, parts: Iterator[dict[str, np.ndarray]]) -> State:
+        """First and last opening, and the last cluster's start if the run contains a break."""
+        first = last = start = np.nan
+        for part in parts:
+            opened = part["reach"][part["kind"] == 0]
+            if not len(opened):
+                continue
+            first = opened[0] if first != first else first
+            chained = np.concatenate([[last], opened])
+            breaks = opened[np.flatnonzero(np.diff(chained) > self.width)]
+            start = breaks[-1] if len(breaks) else start
+            last = opened[-1]
+        return [first, last, start]
+
+    def follow(self, state: State | None, effect: State) -> State:
+        first, last, start = effect
+        if first != first:
+            return list(state) if state else [np.nan, np.nan]
+        if start != start:
+            joins = state is not None and first - state[0] <= self.width
+            start = state[1] if joins else first
+        return [last, start]
+
+    def scan(self, rows, starts, state):
+        reach, opens = rows["reach"].astype(float), rows["kind"] == 0
+        index = np.arange(len(reach))
+        key_start = np.maximum.accumulate(np.where(starts, index, -1))
+        last_open, last_cluster = state if state else (np.nan, np.nan)
+        opened = np.flatnonzero(opens)
+        cluster = np.full(len(reach), np.nan)
+        latest = np.full(len(reach), np.nan)
+        previous = np.empty(len(opened))
+        if len(opened):
+            previous[0] = last_open
+            previous[1:] = reach[opened[:-1]]
+            new_key = np.append(True if key_start[opened[0]] >= 0 else False, key_start[opened[1:]] != key_start[opened[:-1]])
+            previous[new_key] = np.nan
+            breaks = ~(reach[opened] - previous <= self.width)
+            at = np.maximum.accumulate(np.where(breaks, np.arange(len(opened)), -1))
+            cluster_start = np.where(at >= 0, reach[opened][at], last_cluster)
+            place = np.searchsorted(opened, index, side="right") - 1
+            known = place >= 0
+            same = known & (key_start == key_start[opened[place]])
+            latest[same] = reach[opened[place[same]]]
+            cluster[same] = cluster_start[place[same]]
+        carried = np.isnan(latest) & (key_start < 0)
+        latest[carried], cluster[carried] = last_open, last_cluster
+        covered = reach - latest <= self.width
+        out = [c if ok else None for c, ok in zip(cluster, covered)]
+        return {"cluster": out}, [float(latest[-1]), float(cluster[-1])]
+
+
 def ewma_baseline(
     df: DataFrame, keys: list[str], order: list[str], alpha: float, value: str = "value", partitions: int | None = None
 ) -> DataFrame:
