@@ -30,8 +30,15 @@ def parse_size(text: Column | str) -> Column:
     return number * F.coalesce(F.try_element_at(table, unit), F.lit(1.0))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed number of decimals, rounding the exact binary value."""
+    return F.translate(F.format_number(value, digits), ",", "")
+
+
 def fixed2(value: Column) -> Column:
-    return F.format_string("%.2f", value)
+    """Two decimals; an exact half (only multiples of 1/8 can be one) goes away from zero."""
+    eighths = value * 8
+    return fixed(F.when(eighths == F.round(eighths), value + F.signum(value) * 1e-4).otherwise(value), 2)
 
 
 def change_text(kind: Column | str, value: Column | str, low: Column | str, usual: Column | str, high: Column | str) -> Column:
@@ -75,14 +82,15 @@ def arrow_pct(base: Column | str, other: Column | str) -> Column:
     """Change with an arrow: one decimal, two above 99 per cent, a dash when undefined."""
     change = percent_change(base, other)
     size = F.abs(change)
-    number = F.when(size > 99, F.format_string("%.2f%%", size)).otherwise(F.format_string("%.1f%%", size))
-    return F.when(change.isNull(), F.lit("—")).otherwise(F.concat(F.when(change < 0, "↓ ").otherwise("↑ "), number))
+    number = F.when(size > 99, fixed(size, 2)).otherwise(fixed(size, 1))
+    arrow = F.when(change < 0, "↓ ").otherwise("↑ ")
+    return F.when(change.isNull(), F.lit("—")).otherwise(F.concat(arrow, number, F.lit("%")))
 
 
 def format_number(value: Column | str) -> Column:
     """NA, thousands without decimals, whole numbers, else up to three decimals."""
     v = _col(value)
-    trimmed = F.regexp_replace(F.format_string("%.3f", v), r"\.?0+$", "")
+    trimmed = F.regexp_replace(fixed(v, 3), r"\.?0+$", "")
     return (
         F.when(v.isNull(), F.lit("NA"))
         .when(F.abs(v) >= 1000, F.format_number(v, 0))

@@ -28,6 +28,18 @@ def gunzip_text(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(decode)
 
 
+@F.pandas_udf("binary")
+def gzip_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Message bodies for transports that carry compressed payloads."""
+    for batch in texts:
+        yield batch.map(lambda text: gzip.compress(text.encode("utf-8")))
+
+
+def encode_payloads(envelopes: DataFrame) -> DataFrame:
+    ship_package(envelopes.sparkSession)
+    return envelopes.select("gatewayId", gzip_text(F.to_json(F.struct(*ENVELOPE.fieldNames()))).alias("payload"))
+
+
 def parse_envelopes(texts: DataFrame, column: str = "value") -> DataFrame:
     """JSON lines to envelopes; blank and unreadable ones are skipped."""
     parsed = texts.where(F.trim(F.col(column)) != "").select(F.from_json(column, ENVELOPE).alias("e"))

@@ -44,3 +44,12 @@ def as_readings(events: DataFrame, layout: str = "wide") -> DataFrame:
 
 def driver_readings(spark: SparkSession, sf_dir: str, layout: str = "wide") -> DataFrame:
     return as_readings(load_table(spark, sf_dir, "events"), layout)
+
+
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def stream_driver_readings(spark: SparkSession, sf_dir: str, layout: str = "wide") -> DataFrame:
+    """The same table as a stream of files."""
+    reader = use_utc(spark).readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+    return as_readings(reader.parquet(sf_dir), layout)
