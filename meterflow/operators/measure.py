@@ -134,7 +134,8 @@ def runs_summary(runs: DataFrame, metrics: list[str]) -> DataFrame:
     table = F.create_map(*[F.lit(x) for pair in T95.items() for x in pair])
 
     def rounded(c: Column) -> Column:
-        return F.round(c, 2)
+        # Nine digits first: a mean half-way between two hundredths must not depend on the order of addition.
+        return F.round(F.round(c, 9), 2)
 
     columns = []
     for m in metrics:
@@ -150,6 +151,11 @@ def runs_summary(runs: DataFrame, metrics: list[str]) -> DataFrame:
     )
 
 
+def numeric_level_sort(levels: DataFrame, level: str = "houses") -> DataFrame:
+    """Load levels kept as text, in numeric order."""
+    return levels.orderBy(F.col(level).cast("double").cast("int"))
+
+
 # --- counters and gateways ---------------------------------------------------------------------------------------
 
 

@@ -214,9 +214,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     rows = dense_loads(spark, sf_dir)
-    latest = rows.agg(F.max("event_ms").alias("as_of"))
-    # One row on the right: the newest time is the clock.
-    return rows.join(F.broadcast(latest)).select("event_id", time_ago("event_ms", F.col("as_of")).alias("age_text"))
+    newest = rows.agg(F.max("event_ms")).scalar()
+    return rows.select("event_id", time_ago("event_ms", newest).alias("age_text"))
 
 
 # --- routing and pacing ------------------------------------------------------------------------------------------

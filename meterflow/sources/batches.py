@@ -8,13 +8,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterflow.functions.slices import day_of, gateway_of, month_of, year_of
 from meterflow.schemas import DEVICE, DIRECT_WINDOWS, ENVELOPE, SLICE
 from meterflow.session import ship_package
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def gunzip_text(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Undecodable payloads become null."""
 
@@ -28,7 +29,7 @@ def gunzip_text(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(decode)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzip_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Message bodies for transports that carry compressed payloads."""
     for batch in texts:
