@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterflow.functions.slices import epoch_seconds, gateway_of, int_div
-from meterflow.functions.text import arrow_pct, format_number, parse_size, percent_change
+from meterflow.functions.text import arrow_pct, fixed, format_number, parse_size, percent_change
 from meterflow.operators.folds import Baseline, with_previous
 from meterflow.operators.segments import exact_percentiles, fold_segments
 from meterflow.schemas import DEVICE, SLICE
@@ -135,7 +135,7 @@ def runs_summary(runs: DataFrame, metrics: list[str]) -> DataFrame:
 
     def rounded(c: Column) -> Column:
         # Nine digits first: a mean half-way between two hundredths must not depend on the order of addition.
-        return F.round(F.round(c, 9), 2)
+        return fixed(F.round(c, 9), 2).cast("double")
 
     columns = []
     for m in metrics:

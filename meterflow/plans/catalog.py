@@ -6,6 +6,7 @@ from meterflow.plans import (  # noqa: F401
     catalog_measure,
     catalog_slices,
     catalog_sources,
+    catalog_streams,
 )
 from meterflow.plans.registry import ORACLES, QUERIES
 

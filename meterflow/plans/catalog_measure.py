@@ -95,12 +95,16 @@ def runs(spark, sf_dir) -> DataFrame:
     )
 
 
+def _two(x: str) -> str:
+    return f"CAST(printf('%.2f', round({x}, 9)) AS DOUBLE)"
+
+
 def _ci(c: str) -> str:
     cases = " ".join(f"WHEN {df} THEN {t}" for df, t in m.T95.items())
-    return f"""round(round(avg({c}), 9), 2) AS {c}_mean,
-    CASE WHEN count({c}) > 1 THEN round(round(stddev_pop({c}), 9), 2) ELSE 0 END AS {c}_std,
-    CASE WHEN count({c}) > 1 THEN round(round((CASE count({c}) - 1 {cases} ELSE 1.96 END) * stddev_samp({c}) / sqrt(count({c})), 9), 2)
-    END AS {c}_ci95"""
+    half = f"(CASE count({c}) - 1 {cases} ELSE 1.96 END) * stddev_samp({c}) / sqrt(count({c}))"
+    return f"""{_two(f'avg({c})')} AS {c}_mean,
+    CASE WHEN count({c}) > 1 THEN {_two(f'stddev_pop({c})')} ELSE 0 END AS {c}_std,
+    CASE WHEN count({c}) > 1 THEN {_two(half)} END AS {c}_ci95"""
 
 
 @query(

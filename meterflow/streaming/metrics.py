@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -22,6 +24,7 @@ class ProgressLog(StreamingQueryListener):
     def __init__(self, limit: int = 10_000):
         self.limit = limit
         self.rows: list[tuple] = []
+        self.ended: set[str] = set()
 
     def onQueryStarted(self, event):
         pass
@@ -40,7 +43,13 @@ class ProgressLog(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event):
-        pass
+        self.ended.add(str(event.id))
+
+    def wait_for(self, query_id: str, seconds: float = 30.0) -> None:
+        """Events arrive a little after the query has stopped."""
+        deadline = time.monotonic() + seconds
+        while query_id not in self.ended and time.monotonic() < deadline:
+            time.sleep(0.05)
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, PROGRESS)
