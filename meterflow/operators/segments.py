@@ -162,7 +162,10 @@ def fold_segments(
     df: DataFrame, keys: list[str], order: list[str], fold: Fold, partitions: int | None = None
 ) -> DataFrame:
     """All columns of ``df`` plus the fold's outputs."""
-    ship_package(df.sparkSession)
+    spark = df.sparkSession
+    ship_package(spark)
+    # The scans are Python work: spread them over all shuffle partitions instead of letting them be coalesced by size.
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     segments = ordered_segments(df, keys, order, partitions)
     needed = list(dict.fromkeys([SEGMENT, *keys, *fold.inputs]))
     summaries = segments.select(*needed).mapInPandas(_summaries(fold, keys), _SUMMARY)

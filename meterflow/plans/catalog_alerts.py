@@ -167,14 +167,40 @@ def _(spark, sf_dir):
     return al.notify_fanout(over_device(spark, sf_dir), "device").select("topic", "event_ms", "value")
 
 
-@query("notification_json")
+def _json(ids: str) -> str:
+    return f"""CAST(json_object('type', type, {ids}, 'value', value, 'max', max, 'avg', avg, 'windowMin', slice_gap,
+    'ts', event_ms) AS VARCHAR)"""
+
+
+_DEVICE_JSON = _json("'houseId', house_id, 'householdId', household_id, 'deviceId', plug_id")
+_HOUSE_JSON = _json("'houseId', house_id")
+
+
+@query(
+    "notification_json",
+    f"""WITH {_OVER} SELECT 'device' AS level, {_DEVICE_JSON} AS payload FROM over_device
+    UNION ALL SELECT 'house', {_HOUSE_JSON} FROM over_house""",
+)
 def _(spark, sf_dir):
     device = over_device(spark, sf_dir).select(F.lit("device").alias("level"), al.notification_json("device").alias("payload"))
     house = over_house(spark, sf_dir).select(F.lit("house").alias("level"), al.notification_json("house").alias("payload"))
     return device.unionByName(house)
 
 
-@query("alert_message_json")
+_MESSAGE = f"""{_FIRED}, told AS (SELECT *, {_REASON} AS reason,
+    (CASE type WHEN 'HARD_CEILING' THEN '🚨 [METER-ALERT] CRITICAL' ELSE '⚠️ [METER-ALERT] WARNING' END) ||
+      printf(' — House #%d / Household %d / Plug %d', house_id, household_id, plug_id) AS header,
+    strftime(epoch_ms(event_ms), '%Y-%m-%d %H:%M:%S') AS told_at FROM cool WHERE fired)
+  SELECT event_id, CAST(json_object('text', header, 'blocks', json_array(
+    json_object('type', 'header', 'text', json_object('type', 'plain_text', 'text', header, 'emoji', true)),
+    json_object('type', 'section', 'text', json_object('type', 'mrkdwn', 'text',
+      printf('*Reading:* %.0f W', floor(x + 0.5)) || chr(10) || printf('*Baseline (EWMA):* %.0f W', floor(mean_before + 0.5)) || chr(10)
+      || CASE type WHEN 'Z_SCORE' THEN printf('*Deviation:* %.1fσ', round(z_score, 1)) || chr(10) ELSE '' END || '*Why:* ' || reason)),
+    json_object('type', 'context', 'elements', json_array(json_object('type', 'mrkdwn', 'text',
+      '⏱ ' || told_at || '  |  Gateway: ' || {sql.gateway()} || '  |  Detector: ' || type))))) AS VARCHAR) AS message FROM told"""
+
+
+@query("alert_message_json", _MESSAGE)
 def _(spark, sf_dir):
     fired = fire_alerts(scored(spark, sf_dir), DETECTOR).where("fired")
     rows = fired.withColumn("gateway_id", gateway_of("house_id"))

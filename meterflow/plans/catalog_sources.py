@@ -244,6 +244,25 @@ def _(spark, sf_dir):
     return stored.select(*DEVICE, "read_date", "slice_index", "value_count", "value_sum")
 
 
+@query(
+    "init_tables",
+    f"""WITH {WIDE}, {sql.slices([60])} SELECT t AS name, CASE WHEN t = 'device' THEN (SELECT count(*) FROM slices) ELSE 0 END AS rows
+    FROM (SELECT unnest(['device', 'household', 'house', 'forecast', 'forecast_meta_data', 'notification']) AS t)""",
+)
+def _(spark, sf_dir):
+    root = scratch_path(spark, "tables")
+    tables.init_tables(spark, root)
+    rows = device_slices(spark, sf_dir, 60)
+    stamped = rows.withColumns({c: F.lit(0).cast("long") for c in ("first_written_at", "updated_at")})
+    stamped.select(*tables.table_schemas()["device"].fieldNames()).write.mode("append").parquet(f"{root}/device")
+    tables.init_tables(spark, root)
+    out = None
+    for name in tables.table_schemas():
+        count = tables.read_table(spark, root, name).agg(F.count("*").alias("rows")).withColumn("name", F.lit(name))
+        out = count if out is None else out.unionByName(count)
+    return out
+
+
 _DENSE_LOG = f"{DENSE}, {sql.flushes(120)}"
 
 

@@ -9,7 +9,7 @@ from meterflow.operators import windows as w
 from meterflow.plans import api, sql
 from meterflow.plans.catalog_alerts import _FIRED, _OVER, _SCORED, DETECTOR, over_device
 from meterflow.plans.catalog_api import _META, _META_COLUMNS
-from meterflow.plans.catalog_slices import DENSE, QUALITY_SQL, WIDE, dense_log
+from meterflow.plans.catalog_slices import DENSE, QUALITY_SQL, WIDE, dense_log, loads
 from meterflow.plans.catalog_sources import SCAN_SQL, reading_lines
 from meterflow.plans.registry import query
 from meterflow.operators.forecast import forecast_quality
@@ -136,6 +136,58 @@ def _(spark, sf_dir):
     return log.to_frame(spark).agg(F.sum("received").alias("received"), F.sum("emitted").alias("emitted"))
 
 
+# --- flush cycle, late data, rate limit --------------------------------------------------------------------------
+
+FILES = 4
+_THIRTY = f"WITH {WIDE}, {sql.slices([30])} SELECT {_DEVICE_ROW} FROM slices"
+
+
+def _landing(spark, sf_dir) -> tuple[str, DataFrame]:
+    """Readings of the month in several files, the latest days written first."""
+    path, rows = scratch_path(spark, "landing"), loads(spark, sf_dir)
+    days = F.dayofmonth(F.timestamp_millis("event_ms"))
+    for part in reversed(range(FILES)):
+        chunk = rows.where(F.floor((days - 1) * FILES / 31) == part)
+        chunk.coalesce(1).write.mode("append").parquet(path)
+    return path, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("flush_trigger", _THIRTY, rounded="value_sum")
+def _(spark, sf_dir):
+    root = scratch_path(spark, "flush")
+    stream = partials.start_partials(stream_loads(spark, sf_dir), root, f"{root}/cp", [30], interval="1 second")
+    stream.processAllAvailable()
+    stream.stop()
+    return partials.partials_view(spark, root)
+
+
+@query("late_data", _THIRTY, rounded="value_sum")
+def _(spark, sf_dir):
+    # Days arrive in the wrong order, one file per micro-batch, and are all counted.
+    root, (_, stream) = scratch_path(spark, "late"), _landing(spark, sf_dir)
+    partials.start_partials(stream, root, f"{root}/cp", [30], available_now=True).awaitTermination()
+    partials.compact_partials(spark, root)
+    return partials.partials_view(spark, root)
+
+
+@query("cumulative_flush", _THIRTY, rounded="value_sum")
+def _(spark, sf_dir):
+    # Every trigger emits changed slices with their totals so far; the newest value per slice is the answer.
+    root, (_, stream) = scratch_path(spark, "cumulative"), _landing(spark, sf_dir)
+    flushes = tumbling.start_tumbling(stream, f"{root}/log", f"{root}/cp", base=30, lateness="60 days", available_now=True)
+    flushes.awaitTermination()
+    return tumbling.tumbling_view(spark, f"{root}/log", [30])
+
+
+@query("backpressure", f"WITH {WIDE} SELECT CAST({FILES} AS BIGINT) AS batches, count(*) AS readings FROM loads")
+def _(spark, sf_dir):
+    # One file per micro-batch; the rest waits at the source and nothing is dropped.
+    root, (_, stream) = scratch_path(spark, "limited"), _landing(spark, sf_dir)
+    partials.start_partials(stream, root, f"{root}/cp", [30], available_now=True).awaitTermination()
+    written = spark.read.parquet(f"{root}/batches")
+    return written.agg(F.count_distinct("batch").alias("batches"), F.sum("value_count").alias("readings"))
+
+
 # --- refreshed views ---------------------------------------------------------------------------------------------
 
 

@@ -32,10 +32,16 @@ def write_partials(root: str, windows: list[int] | None = None) -> Callable[[Dat
 
 
 def start_partials(
-    readings: DataFrame, root: str, checkpoint: str, windows: list[int] | None = None, available_now: bool = False
+    readings: DataFrame,
+    root: str,
+    checkpoint: str,
+    windows: list[int] | None = None,
+    available_now: bool = False,
+    interval: str = FLUSH_INTERVAL,
 ) -> StreamingQuery:
+    """Flush every ``interval``, or once over all waiting data with ``available_now``."""
     writer = readings.writeStream.foreachBatch(write_partials(root, windows)).option("checkpointLocation", checkpoint)
-    trigger = {"availableNow": True} if available_now else {"processingTime": FLUSH_INTERVAL}
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()
 
 
