@@ -86,7 +86,7 @@ def parse_ground_truth(documents: DataFrame, column: str = "value") -> DataFrame
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    return parse_ground_truth(spark.read.option("wholetext", True).text(path))
+    return parse_ground_truth(spark.read.text(path, wholetext=True))
 
 
 def read_container_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -135,7 +135,7 @@ def parse_component_stats(documents: DataFrame, column: str = "value") -> DataFr
 
 
 def read_component_stats(spark: SparkSession, path: str) -> DataFrame:
-    return parse_component_stats(spark.read.option("wholetext", True).text(path))
+    return parse_component_stats(spark.read.text(path, wholetext=True))
 
 
 def latest_snapshot(spark: SparkSession, path_glob: str, file_format: str = "csv", **options: str) -> DataFrame:

@@ -25,7 +25,7 @@ def read_routes(spark: SparkSession, path: str, fallback: str = "") -> tuple[Dat
     """Routes and default destination of one small configuration file; a missing file leaves the fallback."""
     empty = spark.createDataFrame([], "house_id int, url string")
     try:
-        document = spark.read.option("wholetext", True).text(path)
+        document = spark.read.text(path, wholetext=True)
         default = document.select(default_route(fallback=fallback).alias("d")).first()
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
