@@ -35,6 +35,14 @@ def fixed(value: Column, digits: int) -> Column:
     return F.translate(F.format_number(value, digits), ",", "")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """The nearest number with that many decimals, judged on the exact binary value.
+
+    Nine digits come first: a mean half-way between two results must not depend on the order of addition.
+    """
+    return fixed(F.round(value, 9), digits).cast("double")
+
+
 def fixed2(value: Column) -> Column:
     """Two decimals; an exact half (only multiples of 1/8 can be one) goes away from zero."""
     eighths = value * 8

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterflow.functions.slices import epoch_seconds, gateway_of, int_div
-from meterflow.functions.text import arrow_pct, fixed, format_number, parse_size, percent_change
+from meterflow.functions.text import arrow_pct, format_number, parse_size, percent_change, rounded
 from meterflow.operators.folds import Baseline, with_previous
 from meterflow.operators.segments import exact_percentiles, fold_segments
 from meterflow.schemas import DEVICE, SLICE
@@ -133,18 +133,14 @@ def runs_summary(runs: DataFrame, metrics: list[str]) -> DataFrame:
     """Per load level over repeated runs: mean, population deviation and half-width of the 95 % interval."""
     table = F.create_map(*[F.lit(x) for pair in T95.items() for x in pair])
 
-    def rounded(c: Column) -> Column:
-        # Nine digits first: a mean half-way between two hundredths must not depend on the order of addition.
-        return fixed(F.round(c, 9), 2).cast("double")
-
     columns = []
     for m in metrics:
         n = F.count(m)
         t = F.coalesce(F.try_element_at(table, (n - 1).cast("int")), F.lit(T95_LARGE))
         columns += [
-            rounded(F.avg(m)).alias(f"{m}_mean"),
-            F.when(n > 1, rounded(F.stddev_pop(m))).otherwise(0.0).alias(f"{m}_std"),
-            F.when(n > 1, rounded(t * F.stddev_samp(m) / F.sqrt(n))).alias(f"{m}_ci95"),
+            rounded(F.avg(m), 2).alias(f"{m}_mean"),
+            F.when(n > 1, rounded(F.stddev_pop(m), 2)).otherwise(0.0).alias(f"{m}_std"),
+            F.when(n > 1, rounded(t * F.stddev_samp(m) / F.sqrt(n), 2)).alias(f"{m}_ci95"),
         ]
     return runs.groupBy("houses").agg(
         F.min("msg_per_s").alias("msg_per_s"), F.count_distinct("run_id").alias("n_runs"), *columns
@@ -406,7 +402,7 @@ def window_check(device_table: DataFrame, expected_count: Column, expected_avg:
     sums = device_table.groupBy(*keys, "slice_gap").agg(
         F.sum("value_count").alias("count"), F.sum("value_sum").alias("sum")
     )
-    average = F.when(F.col("count") > 0, F.round(F.col("sum") / F.col("count"), 2))
+    average = F.when(F.col("count") > 0, rounded(F.col("sum") / F.col("count"), 2))
     good = (F.abs(F.col("avg") - expected_avg) < 0.01) & (F.abs(F.col("count") - expected_count) < 0.5)
     return sums.withColumn("avg", average).withColumn("ok", good)
 

@@ -167,7 +167,7 @@ def _(spark, sf_dir):
     "window_check",
     f"""WITH {DENSE}, {sql.slices([1, 5, 10, 15, 30])}, e AS (
       SELECT {sql.IDS}, slice_gap, CAST(sum(value_count) AS BIGINT) AS count, sum(value_sum) AS sum FROM slices GROUP BY {sql.IDS}, slice_gap),
-    x AS (SELECT *, round(sum / count, 2) AS avg FROM e)
+    x AS (SELECT *, {_two('sum / count')} AS avg FROM e)
     SELECT *, abs(avg - 45) < 0.01 AND abs(count - 200) < 0.5 AS ok FROM x""",
     rounded="sum",
 )
