@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterflow.operators.folds import Cover, RowNumber
 from meterflow.operators.segments import fold_segments
 from meterflow.schemas import DEVICE
-from meterflow.session import ship_package
+from meterflow.session import shared_dir, ship_package
 
 
 def nearest_first(spikes: DataFrame, alerts: DataFrame, tolerance_s: float) -> DataFrame:
@@ -45,7 +45,7 @@ def nearest_first(spikes: DataFrame, alerts: DataFrame, tolerance_s: float) -> D
     return around.select("spike_id", *DEVICE, "ts", nearest.alias("nearest_alert_ts"))
 
 
-_MATCH = "spike_id long, alert_id long, spike_ts double, alert_ts double"
+_MATCH = "spike_id long, alert_id long, spike_ts double, alert_ts double, core boolean, band boolean"
 
 
 def _free_at(link: list[int], i: int) -> int:
@@ -57,7 +57,7 @@ def _free_at(link: list[int], i: int) -> int:
 
 
 def _greedy(tolerance_s: float):
-    """Spikes of one time cluster in label order, each taking the closest unused alert."""
+    """Spikes of one piece of a cluster in label order, each taking the closest unused alert."""
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         spikes = rows[rows["alert_id"].isna()].sort_values("spike_id")
@@ -69,7 +69,7 @@ def _greedy(tolerance_s: float):
         run_start = np.searchsorted(times, times, side="left")
         places = np.searchsorted(times, spikes["ts"].to_numpy(float), side="left")
         out = []
-        for spike_id, ts, place in zip(spikes["spike_id"], spikes["ts"], places):
+        for spike_id, ts, place, core, band in zip(spikes["spike_id"], spikes["ts"], places, spikes["core"], spikes["band"]):
             options = []
             after = _free_at(right, int(place) + 1)
             if after <= count:
@@ -80,15 +80,16 @@ def _greedy(tolerance_s: float):
                 options.append((ts - times[before - 1], ids[before - 1], before))
             options = [o for o in options if o[0] <= tolerance_s]
             if not options:
-                out.append((int(spike_id), None, ts, None))
+                out.append((int(spike_id), None, ts, None, core, band))
                 continue
             _, alert_id, chosen = min(options)
             right[chosen], left[chosen] = chosen + 1, chosen - 1
-            out.append((int(spike_id), int(alert_id), ts, float(times[chosen - 1])))
+            out.append((int(spike_id), int(alert_id), ts, float(times[chosen - 1]), core, band))
+        own = alerts["core"].to_numpy()
         for i in range(count):
-            if right[i + 1] == i + 1:
-                out.append((None, int(ids[i]), None, float(times[i])))
-        frame = pd.DataFrame(out, columns=["spike_id", "alert_id", "spike_ts", "alert_ts"])
+            if own[i] and right[i + 1] == i + 1:
+                out.append((None, int(ids[i]), None, float(times[i]), True, False))
+        frame = pd.DataFrame(out, columns=["spike_id", "alert_id", "spike_ts", "alert_ts", "core", "band"])
         return frame.astype({"spike_id": "Int64", "alert_id": "Int64", "spike_ts": "Float64", "alert_ts": "Float64"})
 
     return match
@@ -98,7 +99,33 @@ def _numbered(df: DataFrame, order: str, partitions: int | None) -> DataFrame:
     return fold_segments(df.withColumn("_one", F.lit(0.0)), DEVICE, [order], RowNumber("_one"), partitions).drop("_one")
 
 
-def match_alerts(spikes: DataFrame, alerts: DataFrame, tolerance_s: float = 90.0, partitions: int | None = None) -> DataFrame:
+def _pieces(clustered: DataFrame, length_s: float, halo_s: float, tolerance_s: float) -> DataFrame:
+    """Clusters cut into pieces of ``length_s``, each with the points up to ``halo_s`` around it.
+
+    ``core`` marks a piece's own points, ``band`` the borrowed ones its own spikes can compete with.
+    """
+    offset = F.col("ts") - F.col("cluster")
+    own = F.floor(offset / length_s)
+    homes = F.array(
+        own,
+        F.when((own > 0) & (offset - own * length_s <= halo_s), own - 1),
+        F.when((own + 1) * length_s - offset <= halo_s, own + 1),
+    )
+    placed = clustered.withColumn("piece", F.explode(F.filter(homes, lambda p: p.isNotNull())))
+    start, end = F.col("piece") * length_s, (F.col("piece") + 1) * length_s
+    away = F.greatest(start - offset, offset - end)
+    core = F.col("piece") == own
+    return placed.withColumn("core", core).withColumn("band", ~core & (away <= 2 * tolerance_s))
+
+
+def match_alerts(
+    spikes: DataFrame,
+    alerts: DataFrame,
+    tolerance_s: float = 90.0,
+    partitions: int | None = None,
+    piece_s: float | None = None,
+    halo_s: float | None = None,
+) -> DataFrame:
     """One row per spike and per unmatched alert.
 
     ``spikes``: spike_id (label order), device, ts in seconds. ``alerts``: alert_id (log order), device, ts or null.
@@ -107,9 +134,20 @@ def match_alerts(spikes: DataFrame, alerts: DataFrame, tolerance_s: float = 90.0
     those in order, by rank. The rest is split into clusters of spikes no further than twice the tolerance apart:
     no alert can be within reach of two clusters, so they are matched independently. Alerts out of reach of every
     spike never enter a group.
+
+    A long cluster is matched in overlapping pieces. Only spikes within twice the tolerance compete for an alert, so
+    if a piece and its neighbours agree on the spikes around their border, every spike has seen its competitors
+    decide as they finally do, and the pieces together are the exact answer. If some disagree, the overlap was too
+    short, and all is matched again with longer pieces; in the end a piece holds a whole cluster.
     """
-    ship_package(spikes.sparkSession)
+    spark = spikes.sparkSession
+    ship_package(spark)
+    shared_dir(spark)
+    # A border must show all competitors, and only direct neighbours lend points.
+    halo_s = max(halo_s or 20 * tolerance_s, 2 * tolerance_s)
+    piece_s = max(piece_s or 80 * tolerance_s, halo_s)
     none_long, none_double = F.lit(None).cast("long"), F.lit(None).cast("double")
+    columns = [*DEVICE, "spike_id", "alert_id", "spike_ts", "alert_ts"]
     dated = alerts.where(F.col("ts").isNotNull())
     undated = alerts.where(F.col("ts").isNull())
     extra = None
@@ -127,16 +165,22 @@ def match_alerts(spikes: DataFrame, alerts: DataFrame, tolerance_s: float = 90.0
         dated.select(*DEVICE, F.col("ts").alias("reach"), F.lit(1).alias("kind"), "ts", none_long.alias("spike_id"), "alert_id")
     )
     cover = Cover(width=2 * tolerance_s + 1e-6)
-    clustered = fold_segments(points, DEVICE, ["reach", "kind"], cover, partitions)
+    clustered = fold_segments(points, DEVICE, ["reach", "kind", "spike_id", "alert_id"], cover, partitions)
     inside = clustered.where(F.col("cluster").isNotNull())
-    matched = inside.groupBy(*DEVICE, "cluster").applyInPandas(
-        _with_device(_greedy(tolerance_s)), ", ".join(f"{k} int" for k in DEVICE) + ", " + _MATCH
-    )
     outside = clustered.where(F.col("cluster").isNull()).select(
         *DEVICE, "spike_id", "alert_id", none_double.alias("spike_ts"), F.col("ts").alias("alert_ts")
     )
-    result = matched.unionByName(outside)
-    return result if extra is None else result.unionByName(extra)
+    schema = ", ".join(f"{k} int" for k in DEVICE) + ", " + _MATCH
+    while True:
+        groups = _pieces(inside, piece_s, halo_s, tolerance_s).groupBy(*DEVICE, "cluster", "piece")
+        matched = groups.applyInPandas(_with_device(_greedy(tolerance_s)), schema).checkpoint()
+        decided = matched.where(F.col("core") & F.col("spike_id").isNotNull()).select("spike_id", F.col("alert_id").alias("_final"))
+        seen = matched.where("band").select("spike_id", "alert_id")
+        if seen.join(decided, "spike_id").where(~F.col("alert_id").eqNullSafe(F.col("_final"))).isEmpty():
+            break
+        piece_s, halo_s = 4 * piece_s, 4 * halo_s
+    result = matched.where("core").select(*columns).unionByName(outside)
+    return result if extra is None else result.unionByName(extra.select(*columns))
 
 
 def _with_device(match):

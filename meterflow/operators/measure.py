@@ -270,11 +270,10 @@ def source_totals(latest: DataFrame) -> DataFrame:
 
 def stable_run(samples: DataFrame, key: str, needed: int = 3, partitions: int | None = None) -> DataFrame:
     """First time per key that ``needed`` samples in a row had an empty queue and a growing counter."""
-    ordered = with_previous(samples, [key], ["epoch"], "tuples", 1, partitions)
+    ordered = with_previous(samples, [key], ["epoch", "tuples"], "tuples", 1, partitions)
     good = (F.col("queue_size") == 0) & (F.col("tuples") > F.coalesce("tuples_prev1", F.lit(0.0)))
-    flagged = with_previous(
-        ordered.select(key, "epoch", good.cast("double").alias("good")), [key], ["epoch"], "good", needed - 1, partitions
-    )
+    flags = ordered.select(key, "epoch", "tuples", good.cast("double").alias("good"))
+    flagged = with_previous(flags, [key], ["epoch", "tuples"], "good", needed - 1, partitions)
     run = F.col("good") == 1
     for i in range(1, needed):
         run = run & (F.col(f"good_prev{i}") == 1)

@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 from meterflow.session import shared_dir, ship_package
 
 SEGMENT = "_segment"
-POSITION = "_position"
 STATE = "_state"
 
 State = list[float]
@@ -54,14 +53,13 @@ class Fold(Protocol):
 
 
 def ordered_segments(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
-    """Rows sorted by (keys, order), cut into checkpointed segments, with their place recorded."""
+    """Rows sorted by (keys, order), cut into checkpointed segments with their number recorded."""
     shared_dir(df.sparkSession)
     by = [*keys, *order]
     ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
     return (
         ranged.sortWithinPartitions(*by)
         .withColumn(SEGMENT, F.spark_partition_id())
-        .withColumn(POSITION, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
         .checkpoint()
     )
 
@@ -183,35 +181,30 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, for groups of any size.
 
-    No group is gathered: rows are range-sorted by (keys, value), ranks are turned into (segment, position)
-    addresses from per-segment counts, and only the two rows around each rank are read back.
+    No group is gathered. Equal values are first counted, which a partial aggregation does before the shuffle, so a
+    value repeated in a third of all rows costs one row. The distinct values are range-sorted by (keys, value); the
+    weights per segment tell which segment holds each wanted rank, and only those segments are looked into.
     """
     rows = df.select(*keys, value).where(F.col(value).isNotNull() & ~F.isnan(value))
-    segments = ordered_segments(rows, keys, [value], partitions)
-    counts = segments.groupBy(*keys, SEGMENT).agg(
-        F.count("*").alias("_rows"), F.min(POSITION).alias("_start")
-    )
+    weighted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    segments = ordered_segments(weighted, keys, [value], partitions)
     # At most one row per (key, segment): a key can span no more segments than there are partitions.
+    weights = segments.groupBy(*keys, SEGMENT).agg(F.sum("_n").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(*keys)
-    placed = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).withColumn(
-        "_total", F.sum("_rows").over(total)
+    placed = weights.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).withColumn(
+        "_total", F.sum("_rows").over(Window.partitionBy(*keys))
     )
-    level = F.explode(F.array(*[F.lit(float(p)) for p in levels]))
-    rank = (F.col("_total") - 1) * F.col("_level")
+    exact = (F.col("_total") - 1) * F.col("_level")
     wanted = (
-        placed.withColumn("_level", level)
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(rank), F.ceil(rank)))))
+        placed.withColumn("_level", F.explode(F.array(*[F.lit(float(p)) for p in levels])))
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(exact), F.ceil(exact)))))
         .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_rows")))
-        .select(
-            SEGMENT,
-            (F.col("_start") + F.col("_rank") - F.col("_before")).alias(POSITION),
-            "_level",
-            "_rank",
-            rank.alias("_exact"),
-        )
+        .select(*keys, SEGMENT, "_level", "_rank", (F.col("_rank") - F.col("_before")).alias("_at"), exact.alias("_exact"))
     )
-    picked = segments.join(wanted, [SEGMENT, POSITION])
+    place = [*keys, SEGMENT]
+    inside = Window.partitionBy(*place).orderBy(value)
+    near = segments.join(wanted.select(*place).distinct(), place, "left_semi").withColumn("_upto", F.sum("_n").over(inside))
+    picked = near.join(wanted, place).where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_n")))
     low, high = F.min(F.struct("_rank", value))[value], F.max(F.struct("_rank", value))[value]
     share = F.max("_exact") - F.min("_rank")
     per_level = picked.groupBy(*keys, "_level").agg((low + (high - low) * share).alias("_value"))

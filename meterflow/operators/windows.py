@@ -17,8 +17,12 @@ from meterflow.schemas import DERIVED_WINDOWS, DEVICE, DIRECT_WINDOWS, LEVEL_KEY
 
 
 def window_slices(readings: DataFrame, gap: int) -> DataFrame:
-    """Count, sum and freshest event time per device and slice of ``gap`` minutes."""
-    keyed = readings.select(
+    """Count, sum and freshest event time per device and slice of ``gap`` minutes.
+
+    Rows without a complete device identity are left out explicitly: joins on these tables would infer the same
+    filter on one side only, and the shuffle could then not be shared between the sides.
+    """
+    keyed = readings.dropna(subset=DEVICE).select(
         *DEVICE,
         utc_date("event_ms").alias("read_date"),
         F.lit(gap).alias("slice_gap"),
@@ -109,20 +113,16 @@ def merge_latest(flush_log: DataFrame) -> DataFrame:
     """Current device slices from a log of cumulative flushes.
 
     The newest flush replaces count and sum; event time only ever grows; first and last write time come from
-    the same shuffle. Replayed or reordered batches cannot change the result.
+    the same shuffle. Replayed or reordered batches cannot change the result. A device has one gateway and a
+    gateway one flush at a time, so rows of equal flush time are copies; ordering by that one number keeps the
+    aggregation hash-based.
     """
-    newest = F.max_by(F.struct("value_count", "value_sum"), F.struct("flush_ts", "batch_id"))
-    return (
-        flush_log.groupBy(*DEVICE, *SLICE)
-        .agg(
-            newest.alias("_newest"),
-            F.max(F.coalesce("event_ts", F.lit(0).cast("long"))).alias("event_ts"),
-            F.min("flush_ts").alias("first_written_at"),
-            F.max("flush_ts").alias("updated_at"),
-        )
-        .select(
-            *DEVICE, *SLICE, "_newest.value_count", "_newest.value_sum", "event_ts", "first_written_at", "updated_at"
-        )
+    return flush_log.groupBy(*DEVICE, *SLICE).agg(
+        F.max_by("value_count", "flush_ts").alias("value_count"),
+        F.max_by("value_sum", "flush_ts").alias("value_sum"),
+        F.max(F.coalesce("event_ts", F.lit(0).cast("long"))).alias("event_ts"),
+        F.min("flush_ts").alias("first_written_at"),
+        F.max("flush_ts").alias("updated_at"),
     )
 
 

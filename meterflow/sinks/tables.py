@@ -54,11 +54,10 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def write_slices(slices: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Slices partitioned by window size and day, the two columns every query filters on.
 
-    Rows are first brought together by partition, salted by device so that a busy day is written by many tasks;
-    ``overwrite`` only replaces the days present in ``slices``.
+    The rebalance hint brings rows of one partition together and lets AQE split a busy day by size, so neither
+    many small files nor one huge task results. ``overwrite`` only replaces the days present in ``slices``.
     """
-    salt = F.pmod(F.xxhash64("house_id"), F.lit(16))
-    arranged = slices.repartition(*PARTITIONING, salt)
+    arranged = slices.hint("rebalance", *PARTITIONING)
     arranged.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONING).parquet(path)
 
 

@@ -59,6 +59,19 @@ def test_greedy_equals_loop(spark, seed, span, undated, partitions):
     assert len(got) == len(spikes) + len(unused)
 
 
+@pytest.mark.parametrize("seed,span,piece,halo", [(4, 4_000, 500.0, 100.0), (5, 2_000, 200.0, 1.0), (6, 20_000, 1000.0, 300.0)])
+def test_long_clusters_in_pieces(spark, seed, span, piece, halo):
+    """Dense spikes chain into long clusters; short overlaps first disagree and are then widened."""
+    spikes, alerts = labelled(seed, 300, 300, span)
+    if seed != 5:
+        spikes = spikes.sort_values("ts").assign(spike_id=range(len(spikes)))
+    pairs, unused = loop(spikes, alerts, 90.0)
+    got = match_alerts(*frames(spark, spikes, alerts), 90.0, piece_s=piece, halo_s=halo).collect()
+    assert {r.spike_id: r.alert_id for r in got if r.spike_id is not None} == pairs
+    assert {r.alert_id for r in got if r.spike_id is None} == unused
+    assert len(got) == len(spikes) + len(unused)
+
+
 def test_two_spikes_compete_and_undated_alert(spark):
     spikes = pd.DataFrame([(0, 1, 0, 2, 100.0), (1, 1, 0, 2, 110.0), (2, 2, 0, 0, 5.0)], columns=["spike_id", "house_id", "household_id", "plug_id", "ts"])
     alerts = pd.DataFrame([(0, 1, 0, 2, 108.0), (1, 1, 0, 2, 900.0), (2, 2, 0, 0, None)], columns=["alert_id", "house_id", "household_id", "plug_id", "ts"], dtype=object)
