@@ -54,7 +54,7 @@ def wide_log(spark, sf_dir, gap: int = 30) -> DataFrame:
 @query("scan_batches", f"{_LOG} SELECT {_LOG_COLUMNS} FROM flushes", rounded="value_sum")
 def _(spark, sf_dir):
     messages = sb.encode_payloads(sb.build_envelopes(wide_log(spark, sf_dir)))
-    broken = messages.select("gatewayId", F.lit("not gzip").cast("binary").alias("payload")).limit(1)
+    broken = messages.select("gatewayId", F.lit("not gzip").cast("binary").alias("payload"))
     rows = sb.explode_envelopes(sb.decode_payloads(messages.unionByName(broken)))
     return rows.drop("batch_id")
 
@@ -73,7 +73,7 @@ def _by_flush(envelopes: DataFrame) -> DataFrame:
 @query("scan_outbox", _BY_FLUSH)
 def _(spark, sf_dir):
     queued = sb.build_envelopes(wide_log(spark, sf_dir)).select(F.to_json(F.struct("*")).alias("value"))
-    blank = queued.select(F.lit("  ").alias("value")).limit(3)
+    blank = queued.select(F.lit("  ").alias("value"))
     return _by_flush(sb.parse_envelopes(queued.unionByName(blank)))
 
 
@@ -115,7 +115,7 @@ def _(spark, sf_dir):
     samples = m.samples_from_readings(driver_readings(spark, sf_dir))
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in sm.SERIES_COLUMNS]
     lines = samples.select(F.concat_ws("\t", *cells).alias("value"))
-    header = lines.select(F.lit("\t".join(sm.SERIES_COLUMNS)).alias("value")).limit(1)
+    header = lines.select(F.lit("\t".join(sm.SERIES_COLUMNS)).alias("value")).distinct()
     return sm.parse_series(lines.unionByName(header))
 
 
@@ -225,7 +225,7 @@ def _(spark, sf_dir):
         counts = lineitem.where(F.col("l_linestatus") == status).groupBy(F.col("l_returnflag").alias("metric")).agg(
             F.count("*").alias("rows")
         )
-        counts.coalesce(1).write.mode("append").option("header", True).csv(path)
+        counts.repartition(1).write.mode("append").option("header", True).csv(path)
     return sm.latest_snapshot(spark, f"{path}/*.csv", header="true").select("metric", F.col("rows").cast("long").alias("rows"))
 
 
