@@ -12,6 +12,7 @@ from meterflow.operators.segments import State, fold_segments
 
 
 NEGLIGIBLE = 1e-120
+STEPS_PER_ROW = 256
 
 
 def _affine_scan(gain: np.ndarray, shift: np.ndarray, entering: float) -> np.ndarray:
@@ -53,6 +54,7 @@ class Baseline:
     value: str = "value"
     inputs: list[str] = field(init=False)
     outputs = [("mean_before", "double"), ("var_before", "double"), ("seen_before", "long")]
+    state_size = 3
 
     def __post_init__(self):
         self.inputs = [self.value]
@@ -66,7 +68,7 @@ class Baseline:
         variances = _affine_scan(gain, keep * self.alpha * gap * gap, var)
         return means, variances, before, _shifted(variances, starts, var), gap
 
-    def effect(self, parts: Iterator[dict[str, np.ndarray]]) -> State:
+    def effect(self, parts: Iterator[dict[str, np.ndarray]], whole: bool) -> Iterator[State]:
         keep, rows, seed, mean, var, gaps = 1.0 - self.alpha, 0, 0.0, 0.0, 0.0, 0.0
         for part in parts:
             x = part[self.value].astype(float)
@@ -77,10 +79,10 @@ class Baseline:
         decay = keep**rows
         linear = -2.0 * self.alpha * decay * gaps
         square = decay * (1.0 - decay)
-        return [rows, seed, mean, var, decay, linear, square]
+        yield [rows, seed, mean, var, decay, linear, square]
 
-    def follow(self, state: State | None, effect: State) -> State:
-        rows, seed, mean, var, decay, linear, square = effect
+    def follow(self, state: State | None, effects: Iterator[State]) -> State:
+        rows, seed, mean, var, decay, linear, square = next(effects)
         if state is None:
             return [mean, var, rows]
         shift = state[0] - seed
@@ -115,6 +117,7 @@ class Cooldown:
     time: str = "event_ms"
     inputs: list[str] = field(init=False)
     outputs = [("fired", "boolean")]
+    state_size = 1
 
     def __post_init__(self):
         self.inputs = [self.time]
@@ -122,7 +125,7 @@ class Cooldown:
     def _side(self) -> str:
         return "right" if self.strict else "left"
 
-    def effect(self, parts: Iterator[dict[str, np.ndarray]]) -> State:
+    def effect(self, parts: Iterator[dict[str, np.ndarray]], whole: bool) -> Iterator[State]:
         t = np.concatenate([p[self.time] for p in parts]).astype(np.int64)
         rows, own = len(t), np.arange(len(t))
         jump = np.maximum(np.searchsorted(t, t + self.wait, side=self._side()), own + 1)
@@ -133,20 +136,22 @@ class Cooldown:
             if np.array_equal(further, final):
                 break
             final = further
-        entries = int(np.searchsorted(t, t[0] + self.wait, side="right")) + 1
-        entries = min(entries, rows)
+        # A last firing time before the segment is due at most one wait after its first row.
+        entries = min(int(np.searchsorted(t, t[0] + self.wait, side="right")) + 1, rows) if whole else 1
         exits = t[final[:entries]]
         keep = np.append(exits[1:] != exits[:-1], True)
-        pairs = np.stack([t[:entries][keep], exits[keep]], axis=1)
-        return pairs.ravel().astype(float).tolist()
+        pairs = np.stack([t[:entries][keep], exits[keep]], axis=1).astype(float)
+        for since in range(0, len(pairs), STEPS_PER_ROW):
+            yield pairs[since : since + STEPS_PER_ROW].ravel().tolist()
 
-    def follow(self, state: State | None, effect: State) -> State:
+    def follow(self, state: State | None, effects: Iterator[State]) -> State:
         if state is None:
-            return [effect[1]]
+            return [next(effects)[1]]
         due = state[0] + self.wait
-        for entry, leaving in zip(effect[0::2], effect[1::2]):
-            if entry > due or (entry == due and not self.strict):
-                return [leaving]
+        for steps in effects:
+            for entry, leaving in zip(steps[0::2], steps[1::2]):
+                if entry > due or (entry == due and not self.strict):
+                    return [leaving]
         return list(state)
 
     def scan(self, rows, starts, state):
@@ -177,20 +182,21 @@ class Pacing:
     time: str = "event_ms"
     inputs: list[str] = field(init=False)
     outputs = [("send_ms", "long")]
+    state_size = 1
 
     def __post_init__(self):
         self.inputs = [self.time]
 
-    def effect(self, parts: Iterator[dict[str, np.ndarray]]) -> State:
+    def effect(self, parts: Iterator[dict[str, np.ndarray]], whole: bool) -> Iterator[State]:
         rows, peak = 0, -np.inf
         for part in parts:
             t = part[self.time].astype(np.int64)
             peak = max(peak, float((t - (rows + np.arange(len(t))) * self.interval).max()))
             rows += len(t)
-        return [rows, peak]
+        yield [rows, peak]
 
-    def follow(self, state: State | None, effect: State) -> State:
-        rows, peak = effect
+    def follow(self, state: State | None, effects: Iterator[State]) -> State:
+        rows, peak = next(effects)
         own = peak + (rows - 1) * self.interval
         return [own if state is None else max(own, state[0] + rows * self.interval)]
 
@@ -217,19 +223,20 @@ class Previous:
     depth: int = 1
     inputs: list[str] = field(init=False)
     outputs: list[tuple[str, str]] = field(init=False)
+    state_size: int = field(init=False)
 
     def __post_init__(self):
-        self.inputs = [self.column]
+        self.inputs, self.state_size = [self.column], self.depth
         self.outputs = [(f"{self.column}_prev{i}", "double") for i in range(1, self.depth + 1)]
 
-    def effect(self, parts: Iterator[dict[str, np.ndarray]]) -> State:
+    def effect(self, parts: Iterator[dict[str, np.ndarray]], whole: bool) -> Iterator[State]:
         tail = np.empty(0)
         for part in parts:
             tail = np.concatenate([tail, part[self.column].astype(float)])[-self.depth :]
-        return tail.tolist()
+        yield tail.tolist()
 
-    def follow(self, state: State | None, effect: State) -> State:
-        return [*(state or []), *effect][-self.depth :]
+    def follow(self, state: State | None, effects: Iterator[State]) -> State:
+        return [*(state or []), *next(effects)][-self.depth :]
 
     def scan(self, rows, starts, state):
         x = rows[self.column].astype(float)
@@ -254,15 +261,16 @@ class RowNumber:
     column: str
     inputs: list[str] = field(init=False)
     outputs = [("row_number", "long")]
+    state_size = 1
 
     def __post_init__(self):
         self.inputs = [self.column]
 
-    def effect(self, parts: Iterator[dict[str, np.ndarray]]) -> State:
-        return [sum(len(part[self.column]) for part in parts)]
+    def effect(self, parts: Iterator[dict[str, np.ndarray]], whole: bool) -> Iterator[State]:
+        yield [sum(len(part[self.column]) for part in parts)]
 
-    def follow(self, state: State | None, effect: State) -> State:
-        return [effect[0] + (state[0] if state else 0)]
+    def follow(self, state: State | None, effects: Iterator[State]) -> State:
+        return [next(effects)[0] + (state[0] if state else 0)]
 
     def scan(self, rows, starts, state):
         index = np.arange(len(starts), dtype=np.int64)
@@ -281,8 +289,9 @@ class Cover:
     width: float
     inputs = ["reach", "kind"]
     outputs = [("cluster", "double")]
+    state_size = 2
 
-    def effect(self, parts: Iterator[dict[str, np.ndarray]]) -> State:
+    def effect(self, parts: Iterator[dict[str, np.ndarray]], whole: bool) -> Iterator[State]:
         """First and last opening, and the last cluster's start if the run contains a break."""
         first = last = start = np.nan
         for part in parts:
@@ -294,10 +303,10 @@ class Cover:
             breaks = opened[np.flatnonzero(np.diff(chained) > self.width)]
             start = breaks[-1] if len(breaks) else start
             last = opened[-1]
-        return [first, last, start]
+        yield [first, last, start]
 
-    def follow(self, state: State | None, effect: State) -> State:
-        first, last, start = effect
+    def follow(self, state: State | None, effects: Iterator[State]) -> State:
+        first, last, start = next(effects)
         if first != first:
             return list(state) if state else [np.nan, np.nan]
         if start != start:

@@ -16,6 +16,7 @@ executor.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any, Protocol
 
 import numpy as np
@@ -27,10 +28,11 @@ from pyspark.sql import types as T
 from meterflow.session import shared_dir, ship_package
 
 SEGMENT = "_segment"
+ENTERING = "_entering"
 STATE = "_state"
 
 State = list[float]
-_SUMMARY = f"{SEGMENT} int, first_key string, last_key string, whole boolean, effect array<double>"
+_SUMMARY = f"{SEGMENT} int, part int, first_key string, last_key string, whole boolean, effect array<double>"
 _CARRY = f"{SEGMENT} int, {STATE} array<double>"
 
 
@@ -39,12 +41,16 @@ class Fold(Protocol):
 
     inputs: list[str]
     outputs: list[tuple[str, str]]
+    state_size: int
 
-    def effect(self, parts: Iterator[dict[str, np.ndarray]]) -> State:
-        """What a run of rows of one key does to any incoming state, as a flat vector."""
+    def effect(self, parts: Iterator[dict[str, np.ndarray]], whole: bool) -> Iterator[State]:
+        """What a run of rows of one key does to an incoming state, as one or more flat vectors.
 
-    def follow(self, state: State | None, effect: State) -> State:
-        """State after a run with this effect; ``None`` is a key not seen before."""
+        A run that is not a ``whole`` segment starts its key, so only its effect on "no state" matters.
+        """
+
+    def follow(self, state: State | None, effects: Iterator[State]) -> State:
+        """State after a run with these effects; ``None`` is a key not seen before."""
 
     def scan(
         self, rows: dict[str, np.ndarray], starts: np.ndarray, state: State | None
@@ -99,14 +105,17 @@ def _summaries(fold: Fold, keys: list[str]):
                 whole, parts, since = False, [], int(changes[-1])
             parts.append(_arrays(batch, fold.inputs, since))
             last = _key_text(batch, keys, len(batch) - 1)
-        if first is not None:
+        if first is None:
+            return
+        for part, effect in enumerate(fold.effect(iter(parts), whole)):
             yield pd.DataFrame(
                 {
                     SEGMENT: [segment],
+                    "part": [part],
                     "first_key": [first],
                     "last_key": [last],
                     "whole": [whole],
-                    "effect": [[float(x) for x in fold.effect(iter(parts))]],
+                    "effect": [[float(x) for x in effect]],
                 }
             )
 
@@ -114,24 +123,28 @@ def _summaries(fold: Fold, keys: list[str]):
 
 
 def _chain(fold: Fold):
+    """Summaries arrive in segment order and are read as a stream; only the current state is kept."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        received = list(batches)
-        if not received:
-            return
-        rows = pd.concat(received, ignore_index=True).sort_values(SEGMENT)
-        entering, state, last_key = [], None, None
-        for row in rows.itertuples(index=False):
-            carried = state if row.first_key == last_key else None
-            entering.append((row[0], carried))
-            state = fold.follow(carried if row.whole else None, list(row.effect))
-            last_key = row.last_key
-        known = [(s, c) for s, c in entering if c is not None]
-        if known:
-            yield pd.DataFrame({SEGMENT: [s for s, _ in known], STATE: [c for _, c in known]})
+        rows = (row for batch in batches for row in batch.itertuples(index=False))
+        state, last_key = None, None
+        for segment, parts in groupby(rows, key=lambda row: row[0]):
+            first = next(parts)
+            carried = state if first.first_key == last_key else None
+            if carried is not None:
+                yield pd.DataFrame({SEGMENT: [segment], STATE: [carried]})
+            effects = (list(row.effect) for row in _with_first(first, parts))
+            state = fold.follow(carried if first.whole else None, effects)
+            last_key = first.last_key
 
     return run
 
 
+def _with_first(first, rest):
+    yield first
+    yield from rest
+
+
 def _scan(fold: Fold, keys: list[str], kept: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, last = None, None
@@ -141,8 +154,8 @@ def _scan(fold: Fold, keys: list[str], kept: list[str]):
             starts = _key_changes(batch, keys)
             head = _key_text(batch, keys, 0)
             if last is None:
-                carried = batch[STATE].iat[0]
-                state = None if carried is None else list(carried)
+                known = int(batch[ENTERING].iat[0])
+                state = [float(batch[f"{STATE}{i}"].iat[0]) for i in range(known)] if known else None
             elif head != last:
                 state = None
             starts[0] = state is None
@@ -162,18 +175,19 @@ def fold_segments(
     """All columns of ``df`` plus the fold's outputs."""
     spark = df.sparkSession
     ship_package(spark)
-    # The scans are Python work: spread them over all shuffle partitions instead of letting them be coalesced by size.
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     segments = ordered_segments(df, keys, order, partitions)
     needed = list(dict.fromkeys([SEGMENT, *keys, *fold.inputs]))
     summaries = segments.select(*needed).mapInPandas(_summaries(fold, keys), _SUMMARY)
-    # One row per partition at most, so one task and a broadcast are safe whatever the data size.
-    carry = summaries.repartition(1).mapInPandas(_chain(fold), _CARRY)
+    carry = summaries.repartition(1).sortWithinPartitions(SEGMENT, "part").mapInPandas(_chain(fold), _CARRY)
+    # Plain columns: array columns are converted value by value on their way to Python.
+    entering = [F.size(STATE).alias(ENTERING)] + [F.get(STATE, F.lit(i)).alias(f"{STATE}{i}") for i in range(fold.state_size)]
     kept = df.columns
     schema = T.StructType(list(df.schema.fields))
     for name, kind in fold.outputs:
         schema = schema.add(name, kind)
-    return segments.join(F.broadcast(carry), SEGMENT, "left").mapInPandas(_scan(fold, keys, kept), schema)
+    # At most one row per partition, so the broadcast is small whatever the data size.
+    known = segments.join(F.broadcast(carry.select(SEGMENT, *entering)), SEGMENT, "left")
+    return known.fillna(0, [ENTERING]).mapInPandas(_scan(fold, keys, kept), schema)
 
 
 def exact_percentiles(

@@ -64,6 +64,15 @@ def test_cooldown_equals_loop(spark, frame, wait, strict, partitions):
     assert got.count() == len(frame)
 
 
+def test_cooldown_longer_than_segments(spark):
+    """A hot key whose segments are all shorter than the wait: step tables of more than one row."""
+    frame = pd.DataFrame({"k": 1, "event_ms": np.arange(20_000), "i": np.arange(20_000)})
+    for wait, strict in [(4_000, False), (7_001, True)]:
+        got = cooldown(spark.createDataFrame(frame), ["k"], ["event_ms", "i"], wait, strict, partitions=12)
+        times = [r.i for r in got.where("fired").orderBy("i").select("i").collect()]
+        assert times == list(range(0, 20_000, wait + strict))
+
+
 @pytest.mark.parametrize("partitions", [1, 16])
 def test_pacing_equals_loop(spark, frame, partitions):
     expected = {}
