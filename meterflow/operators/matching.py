@@ -27,11 +27,12 @@ def nearest_first(spikes: DataFrame, alerts: DataFrame, tolerance_s: float) -> D
     points = spots.select(*DEVICE, "bucket", "ts", "spike_id", F.lit(None).cast("double").alias("alert_ts")).unionByName(
         timed.select(*DEVICE, "bucket", "ts", F.lit(None).cast("long").alias("spike_id"), F.col("ts").alias("alert_ts"))
     )
-    by_time = Window.partitionBy(*DEVICE, "bucket").orderBy("ts")
+    # Both are running aggregates; a frame open to the end would be started anew for every row.
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    forwards = Window.partitionBy(*DEVICE, "bucket").orderBy("ts").rangeBetween(*so_far)
+    backwards = Window.partitionBy(*DEVICE, "bucket").orderBy(F.desc("ts")).rangeBetween(*so_far)
     inside = points.select(
-        "*",
-        F.max("alert_ts").over(by_time.rangeBetween(Window.unboundedPreceding, 0)).alias("before"),
-        F.min("alert_ts").over(by_time.rangeBetween(0, Window.unboundedFollowing)).alias("after"),
+        "*", F.max("alert_ts").over(forwards).alias("before"), F.min("alert_ts").over(backwards).alias("after")
     ).where(F.col("spike_id").isNotNull())
     earlier = edges.select(*DEVICE, (F.col("bucket") + 1).alias("bucket"), F.col("last").alias("_before"))
     later = edges.select(*DEVICE, (F.col("bucket") - 1).alias("bucket"), F.col("first").alias("_after"))

@@ -158,28 +158,30 @@ def numeric_level_sort(levels: DataFrame, level: str = "houses") -> DataFrame:
 def rate_over_time(samples: DataFrame, column: str, window_s: int = 60, key: str = "gateway_id") -> DataFrame:
     """Growth per second of a running counter over the trailing window, per sample.
 
-    A gateway may own most samples, so its time line is cut into buckets of ten windows; rows of the last window
-    of a bucket are repeated in front of the next one and dropped again afterwards.
+    The oldest sample of a window is the first one at or after ``epoch - window_s``. A sliding frame would walk through
+    the whole window for every row; here each sample also asks from the start of its window, and one running minimum
+    from late to early answers all of them. A gateway may own most samples, so its time line is cut into buckets of
+    ten windows; samples of a bucket's first window are repeated at the end of the bucket before.
     """
     span = window_s * 10
-    bucket = F.floor(F.col("epoch") / span)
-    near_end = F.col("epoch") >= (bucket + 1) * span - window_s
-    places = F.explode(F.when(near_end, F.array(bucket, bucket + 1)).otherwise(F.array(bucket)))
-    rows = samples.where(F.col(column).isNotNull()).select(key, "epoch", column, places.alias("_bucket"))
-    trailing = Window.partitionBy(key, "_bucket").orderBy("epoch").rangeBetween(-window_s, 0)
-    oldest = F.min(F.struct("epoch", column)).over(trailing)
-    return (
-        rows.withColumn("_oldest", oldest)
-        .where(F.col("_bucket") == bucket)
-        .select(
-            key,
-            "epoch",
-            column,
-            F.when(
-                F.col("epoch") > F.col("_oldest.epoch"),
-                (F.col(column) - F.col(f"_oldest.{column}")) / (F.col("epoch") - F.col("_oldest.epoch")),
-            ).alias("rate"),
-        )
+
+    def bucket(at: Column) -> Column:
+        return F.floor(at / span)
+
+    rows = samples.where(F.col(column).isNotNull()).select(key, "epoch", F.col(column))
+    own = bucket(F.col("epoch"))
+    early = F.col("epoch") < own * span + window_s
+    places = F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own)))
+    found = rows.select(key, places.alias("_bucket"), F.col("epoch").alias("_at"), F.struct("epoch", column).alias("_sample"))
+    start = F.col("epoch") - window_s
+    asked = rows.select(key, bucket(start).alias("_bucket"), start.alias("_at"), "epoch", column)
+    backwards = Window.partitionBy(key, "_bucket").orderBy(F.desc("_at"))
+    oldest = F.min("_sample").over(backwards.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    answered = found.unionByName(asked, allowMissingColumns=True).withColumn("_oldest", oldest)
+    growth = F.col(column) - F.col(f"_oldest.{column}")
+    seconds = F.col("epoch") - F.col("_oldest.epoch")
+    return answered.where(F.col("epoch").isNotNull()).select(
+        key, "epoch", column, F.when(seconds > 0, growth / seconds).alias("rate")
     )
 
 
