@@ -50,6 +50,6 @@ EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
 
 
 def stream_driver_readings(spark: SparkSession, sf_dir: str, layout: str = "wide") -> DataFrame:
-    """The same table as a stream of files."""
-    reader = use_utc(spark).readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-    return as_readings(reader.parquet(sf_dir), layout)
+    """The same table as a stream, be it one file or a folder of files."""
+    reader = use_utc(spark).readStream.schema(EVENTS_SCHEMA)
+    return as_readings(reader.parquet(f"{sf_dir}/events*.parquet"), layout)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterflow.sources.readings import split_fields
+
 # Columns of the tab-separated metric series, and what an alert log line looks like.
 SERIES_COLUMNS = ["epoch", "cap", "lat", "ack", "tup", "gwcap", "wan_rx"]
 ALERT_MARK = " ALERT "
@@ -28,8 +30,9 @@ def number_or_null(text: Column) -> Column:
 
 def parse_series(lines: DataFrame, column: str = "value") -> DataFrame:
     """Tab-separated samples; the header and lines without a time are dropped, other gaps become null."""
-    parts = F.split(F.col(column), "\t")
-    typed = lines.select(*[number_or_null(F.get(parts, F.lit(i))).alias(c) for i, c in enumerate(SERIES_COLUMNS)])
+    cells = [F.get("fields", F.lit(i)) for i in range(len(SERIES_COLUMNS))]
+    parts = split_fields(lines, "\t", column)
+    typed = parts.select(*[number_or_null(cell).alias(c) for cell, c in zip(cells, SERIES_COLUMNS)])
     return typed.where(F.col("epoch").isNotNull())
 
 

@@ -13,15 +13,22 @@ LOAD_PROPERTY = 1
 ALL_HOUSES = 40
 
 
+def split_fields(lines: DataFrame, separator: str, column: str = "value") -> DataFrame:
+    """Lines as one array column ``fields``.
+
+    Filters on single fields would be pushed below the split and repeat it for each of them; they do not pass the
+    one-element explode, so every line is split once.
+    """
+    return lines.select(F.explode(F.array(F.split(F.col(column), separator))).alias("fields"))
+
+
 def parse_readings(lines: DataFrame, ts_unit: str = "s", column: str = "value") -> DataFrame:
     """Text lines to readings; short and unparsable lines are skipped.
 
     The leading field is kept as ``event_id`` when it is a number: it only breaks ties in time order.
     """
-    parts = F.split(F.col(column), ",")
-    fields = lines.where(F.size(parts) >= LINE_FIELDS).select(
-        *[F.trim(parts[i]).alias(f"f{i}") for i in range(LINE_FIELDS)]
-    )
+    parts = split_fields(lines, ",", column).where(F.size("fields") >= LINE_FIELDS)
+    fields = parts.select(*[F.trim(F.col("fields")[i]).alias(f"f{i}") for i in range(LINE_FIELDS)])
     stamp = F.col("f1").try_cast("long")
     typed = fields.select(
         F.col("f0").try_cast("long").alias("event_id"),
