@@ -60,10 +60,12 @@ def fan_out(slices: DataFrame, windows: list[int]) -> DataFrame:
 
     A device's slices of one day, at most 1440, are brought together first. All longer windows of that day are then
     added up in place: the fanned-out rows, one per window size, never cross the network, and the result is already
-    partitioned by device and day for what follows.
+    partitioned by device and day for what follows. The number of partitions is given, because AQE would coalesce
+    them by their size before the fan-out.
     """
     gap = F.explode(F.array(*[F.lit(w) for w in windows]))
-    together = slices.repartition(*DEVICE, "read_date")
+    partitions = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = slices.repartition(partitions, *DEVICE, "read_date")
     wide = together.withColumnRenamed("slice_gap", "_base").withColumn("slice_gap", gap)
     index = int_div("slice_index", int_div("slice_gap", F.col("_base"))).cast("int")
     return _merge_sums(wide.withColumn("slice_index", index).drop("_base"))
