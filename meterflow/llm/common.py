@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meterflow.session import scratch_path
+from meterflow.session import scratch_path, ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of the contracts: anything but white space of ASCII.
@@ -27,3 +31,22 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def added_in_arrow(docs: DataFrame, reads: list[str], fields: list[T.StructField], compute: Callable[..., list], keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all, if not given) and new ones that ``compute`` makes from Arrow columns of each batch.
+
+    New columns replace old ones of the same name. Only what is kept travels back from Python.
+    """
+    names = [f.name for f in fields]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    taken = list(dict.fromkeys([*kept, *reads]))
+    schema = T.StructType([*[docs.schema[c] for c in kept], *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = compute(*[batch.column(taken.index(c)) for c in reads])
+            yield pa.RecordBatch.from_arrays([*[batch.column(taken.index(c)) for c in kept], *made], names=[*kept, *names])
+
+    ship_package(docs.sparkSession)
+    return docs.select(*taken).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm import exact, licenses, mixing, pii, sql, urls
+from meterflow.llm import decontaminate, exact, licenses, mixing, pii, sql, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +65,23 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_scan", sql.LICENSE_SCAN)
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.document_licences(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_decontaminate", sql.DECONTAMINATE)
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_hits(documents, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)

@@ -110,3 +110,20 @@ m AS (SELECT doc_id, k, licence, max(2.0::DOUBLE * len(list_intersect(pairs, big
   FROM b JOIN l ON len(pairs) BETWEEN low AND high GROUP BY doc_id, k, licence)
 SELECT doc_id, licence, count(*) AS n_passages, max(dice) AS best_dice FROM m WHERE dice >= {licenses.THRESHOLD} GROUP BY doc_id, licence
 """
+
+_TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = f"regexp_extract_all({lowered("coalesce(text, '')")}, '{_TOKEN}')"
+DECONTAMINATE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS win
+  FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(k) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM d, lengths, unnest(range(1, len(w) - n + 2)) AS t(k)),
+h AS (SELECT r, k, n, item FROM dw JOIN bw USING (n, win)),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM h, unnest(range(k, k + n)) AS t(p) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN i USING (r)
+"""
