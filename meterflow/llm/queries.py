@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm import decontaminate, exact, licenses, mixing, pii, sql, tokens, urls
+from meterflow.llm import decontaminate, exact, licenses, mixing, pii, quality, sql, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +85,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(documents, table(spark, sf_dir, "labels"), keep=["doc_id"])
