@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterflow.llm import licenses, mixing
+from meterflow.llm import licenses, lines, mixing
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -127,3 +127,20 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN i USING (r)
 """
+
+_LONG = f"length(line) >= {lines.LONG_LINE}"
+LINE_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM d),
+h AS (SELECT *, {_LONG} AS long, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
+w AS (SELECT *, (coalesce(lag(h) OVER o, 0) * {lines.FACTOR} + h) % {lines.MODULUS} % {lines.MEAN_LINES} = 0 AS cut FROM h WINDOW o AS (PARTITION BY r ORDER BY k)),
+s AS (SELECT *, CASE WHEN k = 0 OR long OR lag(long) OVER o OR lag(cut) OVER o THEN 1 ELSE 0 END AS begins FROM w WINDOW o AS (PARTITION BY r ORDER BY k)),
+n AS (SELECT *, sum(begins) OVER (PARTITION BY r ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM s),
+c AS (SELECT r, c, any_value(doc_id) AS doc_id, min(k) AS start, count(*) AS lines, string_agg(line, chr(10) ORDER BY k) AS chunk FROM n GROUP BY r, c),
+e AS (SELECT * FROM c WHERE (lines > 1 OR length(chunk) >= {lines.LONG_LINE}) AND regexp_matches(chunk, '{WORD}')),
+f AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, start) > 1 AS again FROM e),
+k AS (SELECT n.r, count(*) AS n_lines, count(*) FILTER (coalesce(again, false)) AS n_removed_lines,
+  coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT coalesce(again, false)), '') AS text FROM n LEFT JOIN f ON n.r = f.r AND n.c = f.c GROUP BY n.r)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_removed_lines, sha256(k.text) AS text_sha256
+FROM d JOIN k USING (r)
+"""
