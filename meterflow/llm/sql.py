@@ -144,3 +144,16 @@ k AS (SELECT n.r, count(*) AS n_lines, count(*) FILTER (coalesce(again, false))
 SELECT doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_removed_lines, sha256(k.text) AS text_sha256
 FROM d JOIN k USING (r)
 """
+
+NEAR_DEDUP = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({lowered("coalesce(text, '')")}, '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles FROM d),
+e AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+n AS MATERIALIZED (SELECT doc_id, len(shingles) AS n FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY a, b),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n i ON a = i.doc_id JOIN n j ON b = j.doc_id WHERE 100 * shared >= 85 * (i.n + j.n - shared)),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen),
+c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
