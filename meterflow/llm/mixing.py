@@ -35,6 +35,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         word_count(text_or_empty(text_col)).alias("size"),
+        F.xxhash64(text_col).alias("check"),
         key.alias("key"),
     ).withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
 
@@ -62,7 +63,10 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget
         }
     )
     share = (F.col("total") * F.lit(float(budget)) - F.col("caps_before")) / F.col("weight_left")
-    rows = rows.withColumn("level", F.coalesce(F.min(F.when(share <= F.col("ratio"), share)).over(every), F.max("ratio").over(every)))
+    rows = rows.withColumns({"share": share, "place": F.row_number().over(by_ratio)})
+    # the first source that does not stop before the budget is used up; shares further on mean nothing
+    first = F.min(F.when(F.col("share") <= F.col("ratio"), F.struct("place", "share"))).over(every)
+    rows = rows.withColumn("level", F.coalesce(first["share"], F.max("ratio").over(every)))
     target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
     return rows.select("source", "source_size", "weight", "level", "total", target.alias("target"))
 
@@ -79,7 +83,7 @@ def fair_queue(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: floa
     return (
         queue.alias("q")
         .join(starts.alias("s"), F.col("q.source").eqNullSafe(F.col("s.source")) & (F.col("q.bucket") == F.col("s.bucket")))
-        .select("q.id", "q.source", "q.size", "q.bucket", "q.row", "source_size", "weight", "level", "total", "target", (F.col("bucket_start") + F.col("upto") - F.col("size")).alias("before"))
+        .select("q.id", "q.source", "q.size", "q.check", "q.bucket", "q.row", "source_size", "weight", "level", "total", "target", (F.col("bucket_start") + F.col("upto") - F.col("size")).alias("before"))
     )
 
 
@@ -117,7 +121,7 @@ def mix_sources(
     passes: int = MAX_PASSES,
     seed: str = SEED,
 ) -> DataFrame:
-    """One row per document: ``id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``, ``offset`` (of its first words in the mix).
+    """One row per document: ``id``, ``source``, ``check`` (hash of the text), ``size``, ``source_size``, ``target``, ``taken``, ``offset`` (of its first words in the mix).
 
     Null texts have no words, a null source is a source of its own and comes last; documents that are not served have
     ``taken`` 0 and no ``offset``. Repeated rows queue separately. The order depends on identifiers and the
@@ -127,5 +131,19 @@ def mix_sources(
     served = serve(queue, budget, passes).groupBy("source", "bucket", "row").agg(F.sum("taken").alias("taken"), F.min("offset").alias("offset"))
     same = F.col("q.source").eqNullSafe(F.col("m.source")) & (F.col("q.bucket") == F.col("m.bucket")) & (F.col("q.row") == F.col("m.row"))
     return queue.alias("q").join(served.alias("m"), same, "left").select(
-        "q.id", "q.source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "offset"
+        "q.id", "q.source", "check", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "offset"
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents that the mix takes words of, with ``size``, ``taken`` and ``offset``; columns of these names are replaced.
+
+    Rows that are alike in identifier, source and text share what they take evenly, rounded down.
+    """
+    same = ["id", "source", "check"]
+    rows = mix_sources(docs, id_col, text_col, source_col, **options).groupBy(*same)
+    rows = rows.agg(F.first("size").alias("size"), F.floor(F.sum("taken") / F.count("*")).alias("taken"), F.min("offset").alias("offset"))
+    rows = rows.where(F.col("taken") > 0).select(*[F.col(c).alias(f"_{c}") for c in same], "size", "taken", "offset")
+    base = docs.drop("size", "taken", "offset")
+    on = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.xxhash64(text_col) == F.col("_check"))
+    return base.join(rows, on).drop(*[f"_{c}" for c in same])

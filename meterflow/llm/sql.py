@@ -85,7 +85,7 @@ steps AS (SELECT *, CAST(cap AS DOUBLE) / weight AS ratio,
   coalesce(sum(cap) OVER b, 0) AS caps_before, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS weight_left, sum(source_size) OVER () AS total
   FROM weighted WINDOW b AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 shares AS (SELECT *, (CAST(total AS DOUBLE) * {mixing.BUDGET} - CAST(caps_before AS DOUBLE)) / CAST(weight_left AS DOUBLE) AS share FROM steps),
-levels AS (SELECT *, coalesce(min(share) FILTER (share <= ratio) OVER (), max(ratio) OVER ()) AS level FROM shares),
+levels AS (SELECT *, coalesce((SELECT share FROM shares WHERE share <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1), max(ratio) OVER ()) AS level FROM shares),
 targets AS (SELECT source, source_size, weight, level, total, least(CAST(cap AS DOUBLE), level * weight) AS target FROM levels),
 placed AS (SELECT q.*, t.source_size, t.weight, t.level, t.total, t.target FROM queue q JOIN targets t ON q.source IS NOT DISTINCT FROM t.source),
 entries AS (SELECT *, pass, before + pass * source_size AS start FROM placed, (SELECT unnest(range({mixing.MAX_PASSES})) AS pass)),
