@@ -69,25 +69,31 @@ def _statistics(text: np.ndarray, words: np.ndarray, lengths: np.ndarray, lines:
     ]
 
 
+def statistics_of(column: pa.Array) -> np.ndarray:
+    """One row of statistics for each text of an Arrow column."""
+    data, offsets = W.text_bytes(column)
+    rows = []
+    for i, j in W.groups_of(offsets):
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        starts, ends, firsts = W.word_bounds(part, at, W.NOT_SPACE)
+        values, lengths = W.word_hashes(part, starts, ends), ends - starts
+        odd = np.concatenate(([0], np.cumsum(_SYMBOL[part[ends - 1]] if len(ends) else np.zeros(0, dtype=bool))))
+        line_starts, line_ends, line_firsts = W.word_bounds(part, at, _NOT_NEWLINE)
+        lines = W.word_hashes(part, line_starts, line_ends)
+        for row in range(j - i):
+            a, b = firsts[row], firsts[row + 1]
+            own_lines = lines[line_firsts[row] : line_firsts[row + 1]]
+            rows.append(_statistics(part[at[row] : at[row + 1]], values[a:b], lengths[a:b], own_lines, int(odd[b] - odd[a])))
+    return np.array(rows, dtype=np.float64).reshape(-1, len(STATISTICS))
+
+
 def document_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``statistics``, one array of doubles per document from its whole text; a null or empty text has fixed values too."""
 
     def compute(column: pa.Array) -> list[pa.Array]:
-        data, offsets = W.text_bytes(column)
-        rows = []
-        for i, j in W.groups_of(offsets):
-            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            starts, ends, firsts = W.word_bounds(part, at, W.NOT_SPACE)
-            values, lengths = W.word_hashes(part, starts, ends), ends - starts
-            odd = np.concatenate(([0], np.cumsum(_SYMBOL[part[ends - 1]] if len(ends) else np.zeros(0, dtype=bool))))
-            line_starts, line_ends, line_firsts = W.word_bounds(part, at, _NOT_NEWLINE)
-            lines = W.word_hashes(part, line_starts, line_ends)
-            for row in range(j - i):
-                a, b = firsts[row], firsts[row + 1]
-                own_lines = lines[line_firsts[row] : line_firsts[row + 1]]
-                rows.append(_statistics(part[at[row] : at[row + 1]], values[a:b], lengths[a:b], own_lines, int(odd[b] - odd[a])))
-        flat = pa.array(np.array(rows, dtype=np.float64).reshape(-1))
-        return [pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS)), flat)]
+        found = statistics_of(column)
+        starts = pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(STATISTICS))
+        return [pa.ListArray.from_arrays(starts, pa.array(found.reshape(-1)))]
 
     return added_in_arrow(docs, [text_col], [T.StructField("statistics", T.ArrayType(T.DoubleType()))], compute, keep)
 
@@ -225,18 +231,38 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``held_out``, ``score`` and ``predicted`` to the documents; columns of these names are replaced.
+def learn(counted: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Model:
+    """Fit on the labelled documents that are not held out, from a table of identifiers and statistics."""
+    usable = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(label_col)).alias("label"))
+    learnt = counted.where(~held_out(id_col)).select(F.col(id_col).alias("id"), "statistics").dropDuplicates(["id"]).join(usable, "id")
+    return fit(written(learnt, "training"))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """``id_col``, ``held_out``, ``score`` and ``predicted`` of every document.
 
     Only statistics of the whole text go into a score. Labels other than 0 and 1, and labels of held-out documents, are not used; a
     document with several labels counts with their mean, rounded. Null and empty texts are scored like others;
-    repeated rows get equal scores; a document without identifier is scored, but not learnt from.
+    repeated rows get equal scores; a document without identifier is scored, but not learnt from. Other columns are not read; an
+    empty table gives an empty result.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "score", "predicted", "statistics")]
-    rows = docs.select(*dict.fromkeys([*kept, id_col, text_col]))
-    counted = written(document_statistics(rows, text_col, list(dict.fromkeys([*kept, id_col]))), "statistics")
-    usable = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(label_col)).alias("label"))
-    learnt = counted.where(~held_out(id_col)).select(F.col(id_col).alias("id"), "statistics").dropDuplicates(["id"]).join(usable, "id")
-    model = fit(written(learnt, "training"))
+    counted = written(document_statistics(docs.select(id_col, text_col), text_col, [id_col]), "statistics")
+    model = learn(counted, labels, id_col, label_col)
     scored = _raw_scores(counted.withColumn("held_out", held_out(id_col)), model, "score", calibrated=True)
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*kept, "held_out", "score", "predicted")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(id_col, "held_out", "score", "predicted")
+
+
+def filter_quality(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns; scores are as in ``score_quality``.
+
+    The statistics are counted once more in the pass that carries the texts, which is cheaper than a shuffle of the texts.
+    """
+    counted = written(document_statistics(docs.select(id_col, text_col), text_col, [id_col]), "statistics")
+    shared = docs.sparkSession.sparkContext.broadcast(learn(counted, labels, id_col, label_col))
+
+    def compute(column: pa.Array) -> list[pa.Array]:
+        return [pa.array(shared.value.score(statistics_of(column)))]
+
+    return added_in_arrow(docs, [text_col], [T.StructField("_score", T.DoubleType())], compute).where(F.col("_score") >= threshold).drop("_score")

@@ -90,7 +90,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality")
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.score_quality(documents, table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return quality.score_quality(documents, table(spark, sf_dir, "labels"))
 
 
 @query("op1_line_dedup", sql.LINE_DEDUP)
