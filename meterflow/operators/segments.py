@@ -8,9 +8,11 @@ size deserves, and the fold runs in two parallel scans over the sorted segments:
 2. those rows, at most one per partition, are chained in segment order into the state entering each segment;
 3. every segment is scanned again, batch by batch, starting from that state.
 
-Only the first key of a segment can continue an earlier one, so one incoming state per segment is enough. The
-sorted rows are checkpointed in between: both scans then see exactly the same segments, also after the loss of an
-executor.
+Only the first key of a segment can continue an earlier one, so one incoming state per segment is enough. Keys are
+compared as one text per row, made in the JVM with nulls written out, so that neither nulls nor the number types of a
+batch change what counts as the same key. The chain of step 2 runs per key: the segments of different keys are chained
+in different tasks. The sorted rows are checkpointed in between: both scans then see exactly the same segments, also
+after the loss of an executor.
 """
 
 from __future__ import annotations
@@ -21,18 +23,19 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterflow.session import shared_dir, ship_package
 
 SEGMENT = "_segment"
+KEY = "_key"
 ENTERING = "_entering"
 STATE = "_state"
 
 State = list[float]
-_SUMMARY = f"{SEGMENT} int, part int, first_key string, last_key string, whole boolean, effect array<double>"
+_SUMMARY = f"{SEGMENT} int, {KEY} string, part int, whole boolean, effect array<double>"
 _CARRY = f"{SEGMENT} int, {STATE} array<double>"
 
 
@@ -66,36 +69,42 @@ def ordered_segments(df: DataFrame, keys: list[str], order: list[str], partition
     return (
         ranged.sortWithinPartitions(*by)
         .withColumn(SEGMENT, F.spark_partition_id())
+        .withColumn(KEY, key_text(keys))
         .checkpoint()
     )
 
 
-def _key_changes(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:
+def key_text(keys: list[str]) -> Column:
+    """The key columns as one text that is never null; different keys have different texts."""
+    return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("{}")
+
+
+def _key_changes(batch: pd.DataFrame) -> np.ndarray:
     """True where a row's key differs from the row above."""
     change = np.zeros(len(batch), dtype=bool)
-    for key in keys:
-        column = batch[key].to_numpy()
-        change[1:] |= column[1:] != column[:-1]
+    column = batch[KEY].to_numpy()
+    change[1:] = column[1:] != column[:-1]
     return change
 
 
-def _key_text(batch: pd.DataFrame, keys: list[str], row: int) -> str:
-    return "\x1f".join(str(batch[key].iat[row]) for key in keys)
-
-
 def _arrays(batch: pd.DataFrame, columns: list[str], since: int = 0) -> dict[str, np.ndarray]:
     return {c: batch[c].to_numpy()[since:] for c in columns}
 
 
-def _summaries(fold: Fold, keys: list[str]):
+def _summaries(fold: Fold):
+    """For each segment a row (part -1) for its first key, which may continue an earlier segment, and the effects of its last key."""
+
+    def row(segment: int, key: str, part: int, whole: bool, effect: State) -> pd.DataFrame:
+        return pd.DataFrame({SEGMENT: [segment], KEY: [key], "part": [part], "whole": [whole], "effect": [[float(x) for x in effect]]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = last = None
         whole, segment, parts = True, None, []
         for batch in batches:
             if not len(batch):
                 continue
-            changes = np.flatnonzero(_key_changes(batch, keys))
-            head = _key_text(batch, keys, 0)
+            changes = np.flatnonzero(_key_changes(batch))
+            head = batch[KEY].iat[0]
             if first is None:
                 first, segment = head, int(batch[SEGMENT].iat[0])
             elif head != last:
@@ -104,38 +113,35 @@ def _summaries(fold: Fold, keys: list[str]):
             if len(changes):
                 whole, parts, since = False, [], int(changes[-1])
             parts.append(_arrays(batch, fold.inputs, since))
-            last = _key_text(batch, keys, len(batch) - 1)
+            last = batch[KEY].iat[len(batch) - 1]
         if first is None:
             return
+        yield row(segment, first, -1, whole, [])
         for part, effect in enumerate(fold.effect(iter(parts), whole)):
-            yield pd.DataFrame(
-                {
-                    SEGMENT: [segment],
-                    "part": [part],
-                    "first_key": [first],
-                    "last_key": [last],
-                    "whole": [whole],
-                    "effect": [[float(x) for x in effect]],
-                }
-            )
+            yield row(segment, last, part, whole, effect)
 
     return run
 
 
 def _chain(fold: Fold):
-    """Summaries arrive in segment order and are read as a stream; only the current state is kept."""
+    """Summaries arrive by key and segment and are read as a stream; only the current state is kept.
+
+    A segment asks for its first key's state before it tells what it does to its last key's.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for batch in batches for row in batch.itertuples(index=False))
-        state, last_key = None, None
-        for segment, parts in groupby(rows, key=lambda row: row[0]):
+        rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+        state, known = None, None
+        for (key, segment, asks), parts in groupby(rows, key=lambda row: (row[1], row[0], row[2] < 0)):
+            if key != known:
+                state, known = None, key
+            if asks:
+                if state is not None:
+                    yield pd.DataFrame({SEGMENT: [segment], STATE: [state]})
+                continue
             first = next(parts)
-            carried = state if first.first_key == last_key else None
-            if carried is not None:
-                yield pd.DataFrame({SEGMENT: [segment], STATE: [carried]})
-            effects = (list(row.effect) for row in _with_first(first, parts))
-            state = fold.follow(carried if first.whole else None, effects)
-            last_key = first.last_key
+            effects = (list(row[4]) for row in _with_first(first, parts))
+            state = fold.follow(state if first[3] else None, effects)
 
     return run
 
@@ -145,14 +151,14 @@ def _with_first(first, rest):
     yield from rest
 
 
-def _scan(fold: Fold, keys: list[str], kept: list[str]):
+def _scan(fold: Fold, kept: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, last = None, None
         for batch in batches:
             if not len(batch):
                 continue
-            starts = _key_changes(batch, keys)
-            head = _key_text(batch, keys, 0)
+            starts = _key_changes(batch)
+            head = batch[KEY].iat[0]
             if last is None:
                 known = int(batch[ENTERING].iat[0])
                 state = [float(batch[f"{STATE}{i}"].iat[0]) for i in range(known)] if known else None
@@ -160,7 +166,7 @@ def _scan(fold: Fold, keys: list[str], kept: list[str]):
                 state = None
             starts[0] = state is None
             produced, state = fold.scan(_arrays(batch, fold.inputs), starts, state)
-            last = _key_text(batch, keys, len(batch) - 1)
+            last = batch[KEY].iat[len(batch) - 1]
             out = batch[kept].copy()
             for name, values in produced.items():
                 out[name] = values
@@ -176,9 +182,10 @@ def fold_segments(
     spark = df.sparkSession
     ship_package(spark)
     segments = ordered_segments(df, keys, order, partitions)
-    needed = list(dict.fromkeys([SEGMENT, *keys, *fold.inputs]))
-    summaries = segments.select(*needed).mapInPandas(_summaries(fold, keys), _SUMMARY)
-    carry = summaries.repartition(1).sortWithinPartitions(SEGMENT, "part").mapInPandas(_chain(fold), _CARRY)
+    needed = list(dict.fromkeys([SEGMENT, KEY, *fold.inputs]))
+    summaries = segments.select(*needed).mapInPandas(_summaries(fold), _SUMMARY)
+    by_key = summaries.repartition(KEY).sortWithinPartitions(KEY, SEGMENT, "part")
+    carry = by_key.mapInPandas(_chain(fold), _CARRY)
     # Plain columns: array columns are converted value by value on their way to Python.
     entering = [F.size(STATE).alias(ENTERING)] + [F.get(STATE, F.lit(i)).alias(f"{STATE}{i}") for i in range(fold.state_size)]
     kept = df.columns
@@ -187,7 +194,7 @@ def fold_segments(
         schema = schema.add(name, kind)
     # At most one row per partition, so the broadcast is small whatever the data size.
     known = segments.join(F.broadcast(carry.select(SEGMENT, *entering)), SEGMENT, "left")
-    return known.fillna(0, [ENTERING]).mapInPandas(_scan(fold, keys, kept), schema)
+    return known.fillna(0, [ENTERING]).mapInPandas(_scan(fold, kept), schema)
 
 
 def exact_percentiles(
