@@ -123,7 +123,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     root = scratch_path(spark, "metrics")
-    log = metrics.ProgressLog()
+    log = metrics.ProgressTable(spark, f"{root}/progress")
     spark.streams.addListener(log)
     try:
         rows = metrics.observed(stream_driver_readings(spark, sf_dir), list(range(20)))
@@ -133,7 +133,8 @@ def _(spark, sf_dir):
         log.wait_for(str(stream.id))
     finally:
         spark.streams.removeListener(log)
-    return log.to_frame(spark).agg(F.sum("received").alias("received"), F.sum("emitted").alias("emitted"))
+    progress = metrics.read_progress(spark, f"{root}/progress")
+    return progress.agg(F.sum("received").alias("received"), F.sum("emitted").alias("emitted"))
 
 
 # --- flush cycle, late data, rate limit --------------------------------------------------------------------------

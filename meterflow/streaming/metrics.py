@@ -18,13 +18,16 @@ def observed(readings: DataFrame, houses: list[int]) -> DataFrame:
     return readings.observe(OBSERVATION, F.count(F.lit(1)).alias("received"), F.count_if(emitted).alias("emitted"))
 
 
-class ProgressLog(StreamingQueryListener):
-    """One row per finished micro-batch, kept for the last ``limit`` batches."""
+class ProgressTable(StreamingQueryListener):
+    """Appends one row per finished micro-batch to a Parquet table; nothing is kept on the driver.
 
-    def __init__(self, limit: int = 10_000):
-        self.limit = limit
-        self.rows: list[tuple] = []
+    Rows are named by query, run and batch, so an event that is delivered twice overwrites itself.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
         self.ended: set[str] = set()
+        self.failed: dict[str, Exception] = {}
 
     def onQueryStarted(self, event):
         pass
@@ -34,10 +37,14 @@ class ProgressLog(StreamingQueryListener):
         seen = (p.observedMetrics or {}).get(OBSERVATION)
         late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
         counts = (seen["received"], seen["emitted"]) if seen else (None, None)
-        self.rows.append(
-            (p.name or str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond, p.batchDuration, late, *counts)
-        )
-        del self.rows[: -self.limit]
+        row = (p.name or str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond, p.batchDuration, late, *counts)
+        target = f"{self.path}/run={p.runId}/progress={p.batchId}"
+        try:
+            # a batch can report more than once while no data arrives; its own report has the rows
+            if p.numInputRows or p.batchId == 0:
+                self.spark.createDataFrame([row], PROGRESS).coalesce(1).write.mode("overwrite").parquet(target)
+        except Exception as error:  # a listener must not stop the stream; the reader is told instead
+            self.failed[str(p.id)] = error
 
     def onQueryIdle(self, event):
         pass
@@ -45,11 +52,16 @@ class ProgressLog(StreamingQueryListener):
     def onQueryTerminated(self, event):
         self.ended.add(str(event.id))
 
-    def wait_for(self, query_id: str, seconds: float = 30.0) -> None:
-        """Events arrive a little after the query has stopped."""
+    def wait_for(self, query_id: str, seconds: float = 120.0) -> None:
+        """Return when all of a stopped query's rows are written: events arrive in order, a little after the query has stopped."""
         deadline = time.monotonic() + seconds
-        while query_id not in self.ended and time.monotonic() < deadline:
+        while query_id not in self.ended:
+            if time.monotonic() > deadline:
+                raise TimeoutError(f"the end of query {query_id} was not reported within {seconds} s")
             time.sleep(0.05)
+        if query_id in self.failed:
+            raise RuntimeError(f"progress of query {query_id} could not be written") from self.failed[query_id]
+
 
-    def to_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, PROGRESS)
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PROGRESS).parquet(f"{path}/run=*/progress=*")
