@@ -46,6 +46,7 @@ ENVELOPE = T.StructType(
         T.StructField("gatewayId", T.StringType()),
         T.StructField("flushTimestamp", T.LongType()),
         T.StructField("windowSizeMin", T.IntegerType()),
+        T.StructField("part", T.IntegerType()),
         T.StructField("deviceRecords", T.ArrayType(ENVELOPE_RECORD)),
     ]
 )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterflow.functions.slices import day_of, gateway_of, month_of, year_of
-from meterflow.schemas import DEVICE, DIRECT_WINDOWS, ENVELOPE, SLICE
+from meterflow.schemas import DIRECT_WINDOWS, ENVELOPE
 from meterflow.session import ship_package
 
 
@@ -63,7 +63,8 @@ def known_windows_only(envelopes: DataFrame, windows: list[int] | None = None) -
 
 
 def batch_id() -> Column:
-    return F.concat_ws("-", F.col("gatewayId"), F.col("windowSizeMin"), F.col("flushTimestamp"))
+    """Unique per envelope; foreign envelopes have no ``part``."""
+    return F.concat_ws("-", F.col("gatewayId"), F.col("windowSizeMin"), F.col("flushTimestamp"), F.col("part"))
 
 
 def explode_envelopes(envelopes: DataFrame) -> DataFrame:
@@ -89,11 +90,11 @@ def explode_envelopes(envelopes: DataFrame) -> DataFrame:
     )
 
 
-def build_envelopes(flush_log: DataFrame, max_records: int = 5_000) -> DataFrame:
+def build_envelopes(flush_log: DataFrame) -> DataFrame:
     """Flush-log rows to envelopes.
 
-    A gateway's flush is split into parts of about ``max_records`` records, so that no envelope grows with the
-    number of its devices; the receiver merges record by record and does not mind.
+    A gateway's flush has one envelope per house, whatever its size. The house is the envelope's ``part`` and part
+    of its batch identifier, so the identifier stays unique.
     """
     record = F.struct(
         F.col("house_id").alias("houseId"),
@@ -107,19 +108,12 @@ def build_envelopes(flush_log: DataFrame, max_records: int = 5_000) -> DataFrame
         F.col("value_sum").alias("sum"),
         F.col("event_ts").alias("eventTsMs"),
     )
-    flush = ["gatewayId", "flushTimestamp", "windowSizeMin"]
+    flush = ["gatewayId", "flushTimestamp", "windowSizeMin", "part"]
     keyed = flush_log.select(
         gateway_of("house_id").alias("gatewayId"),
         F.col("flush_ts").alias("flushTimestamp"),
         F.col("slice_gap").alias("windowSizeMin"),
-        F.xxhash64(*DEVICE, *SLICE).alias("_hash"),
+        F.col("house_id").alias("part"),
         record.alias("_record"),
     )
-    sizes = keyed.groupBy(*flush).agg(F.ceil(F.count("*") / max_records).alias("_parts"))
-    return (
-        keyed.join(sizes, flush)
-        .withColumn("_part", F.pmod("_hash", F.col("_parts")))
-        .groupBy(*flush, "_part")
-        .agg(F.sort_array(F.collect_list("_record")).alias("deviceRecords"))
-        .drop("_part")
-    )
+    return keyed.groupBy(*flush).agg(F.sort_array(F.collect_list("_record")).alias("deviceRecords"))

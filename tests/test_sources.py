@@ -75,14 +75,15 @@ def test_outbox_file_and_unknown_windows(spark, tmp_path):
 
 
 def test_envelopes_are_split_and_whole(spark):
-    rows = [(1, 0, p, dt.date(2024, 1, 1), 30, 3, "b", 9, 1, 1.5, 4) for p in range(1000)]
+    rows = [(p % 4, 0, p, dt.date(2024, 1, 1), 30, 3, "b", 9, 1, 1.5, 4) for p in range(1000)]
     schema = (
         "house_id int, household_id int, plug_id int, read_date date, slice_gap int, slice_index int, batch_id string, "
         "flush_ts long, value_count long, value_sum double, event_ts long"
     )
-    built = sb.build_envelopes(spark.createDataFrame(rows, schema), max_records=100)
-    sizes = [r.n for r in built.select(F.size("deviceRecords").alias("n")).collect()]
-    assert sum(sizes) == 1000 and len(sizes) > 5 and max(sizes) < 250
+    built = sb.build_envelopes(spark.createDataFrame(rows, schema))
+    sizes = sorted((r.part, r.n) for r in built.select("part", F.size("deviceRecords").alias("n")).collect())
+    assert sizes == [(0, 250), (1, 250), (2, 250), (3, 250)]
+    assert built.select(sb.batch_id()).distinct().count() == 4
 
 
 ROUTES = {"default": "https://alerts.example/admin", "routes": {"0": "https://alerts.example/0", "3": " https://alerts.example/3 "}}
