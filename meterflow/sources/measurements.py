@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterflow.sources.readings import split_fields
@@ -65,9 +65,19 @@ def parse_alert_log(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_alert_log(spark: SparkSession, path: str) -> DataFrame:
-    """Alerts with ``alert_id`` in log order."""
-    lines = spark.read.text(path).withColumn("alert_id", F.monotonically_increasing_id())
-    return parse_alert_log(lines)
+    """Alerts with ``alert_id`` in log order: files by name, lines in file order, numbered from 0.
+
+    The numbers are running sums over file blocks, whose counts are few.
+    """
+    lines = in_file_order(spark.read.text(path), "_place")
+    block = [F.col("_place.file").alias("_file"), F.col("_place.block").alias("_block")]
+    alerts = parse_alert_log(lines.select("*", *block))
+    counts = alerts.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_place"))
+    numbered = alerts.withColumn("_within", within).join(starts, ["_file", "_block"])
+    return numbered.select((F.col("_start") + F.col("_within") - 1).alias("alert_id"), *[c for c in alerts.columns if not c.startswith("_")])
 
 
 def parse_ground_truth(documents: DataFrame, column: str = "value") -> DataFrame:
@@ -110,7 +120,17 @@ def container_total(stats: DataFrame) -> DataFrame:
 
 def read_metric_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).schema("metric string, window string, value string").csv(path)
-    return typed_metrics(raw)
+    return last_metrics(typed_metrics(in_file_order(raw, "_order")), "_order")
+
+
+def in_file_order(scan: DataFrame, name: str) -> DataFrame:
+    """Adds a sortable place for each row of a file scan: file, start of the block, position within the task.
+
+    Spark deals blocks to tasks by size, so the position alone says nothing about the order of two blocks. A block is read by one
+    task from its start to its end.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return scan.select("*", place.alias(name))
 
 
 def typed_metrics(raw: DataFrame) -> DataFrame:
@@ -118,6 +138,11 @@ def typed_metrics(raw: DataFrame) -> DataFrame:
     return raw.withColumn("value", F.col("value").try_cast("double"))
 
 
+def last_metrics(typed: DataFrame, order: str) -> DataFrame:
+    """One row per metric and window: the last one counts."""
+    return typed.groupBy("metric", "window").agg(F.max(F.struct(order, "value"))["value"].alias("value"))
+
+
 def parse_component_stats(documents: DataFrame, column: str = "value") -> DataFrame:
     """Per-component counters, sources and processors alike, one row each."""
     doc = documents.select(F.from_json(column, STATS_SCHEMA).alias("d"))

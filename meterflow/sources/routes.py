@@ -9,10 +9,15 @@ ROUTES_SCHEMA = "`default` string, routes map<string, string>"
 
 
 def parse_routes(documents: DataFrame, column: str = "value") -> DataFrame:
-    """``house_id, url`` rows; keys that are not numbers and blank destinations are skipped."""
-    entries = documents.select(F.explode(F.from_json(column, ROUTES_SCHEMA)["routes"]).alias("house", "url"))
-    typed = entries.select(F.trim("house").try_cast("int").alias("house_id"), F.trim("url").alias("url"))
-    return typed.where(F.col("house_id").isNotNull() & (F.col("url") != ""))
+    """One ``house_id, url`` row per house; keys that are not numbers and blank destinations are skipped.
+
+    Keys like ``"1"`` and ``" 1 "`` mean the same house: the last one in the document counts. Of several documents that name a house, the
+    one whose text sorts last counts.
+    """
+    entries = documents.select(column, F.posexplode(F.map_entries(F.from_json(column, ROUTES_SCHEMA)["routes"])).alias("place", "entry"))
+    typed = entries.select(F.trim("entry.key").try_cast("int").alias("house_id"), F.trim("entry.value").alias("url"), F.struct(column, "place").alias("place"))
+    valid = typed.where(F.col("house_id").isNotNull() & (F.col("url") != ""))
+    return valid.groupBy("house_id").agg(F.max_by("url", "place").alias("url"))
 
 
 def default_route(column: str = "value", fallback: str = "") -> Column:
