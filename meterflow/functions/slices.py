@@ -76,7 +76,12 @@ def safe_avg(total: Column | str = "value_sum", count: Column | str = "value_cou
 
 def round2(value: Column | str) -> Column:
     """Two decimals, halves always upwards (also below zero)."""
-    return F.floor(F.round(_col(value) * 100, 6) + 0.5) / 100
+    return F.floor(_col(value) * 100 + 0.5) / 100
+
+
+def exact_sum(value: Column | str, digits: int = 6) -> Column:
+    """A sum that does not depend on the order of its rows: what adding up has blurred is far behind ``digits`` decimals."""
+    return F.round(F.sum(_col(value)), digits)
 
 
 def render_key(keys: list[str], day: str | None = "read_date", index: str | None = "slice_index") -> Column:

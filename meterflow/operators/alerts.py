@@ -33,11 +33,12 @@ def attach_house_avg(slices: DataFrame, own: str = "slice_avg", averages: DataFr
     return slices.join(known, "house_id", "left").withColumn("house_avg", F.coalesce("house_avg", F.col(own)))
 
 
-def device_overload(slices: DataFrame, limit: float = DEVICE_MAX_W) -> DataFrame:
-    """Device slices whose average exceeds the limit, as notifications.
+def device_overload(slices: DataFrame, limit: float = DEVICE_MAX_W, gap: int = ALERT_WINDOW_MIN) -> DataFrame:
+    """Device slices of ``gap`` minutes whose average exceeds the limit, as notifications; other sizes in the table are left out.
 
     Averages are taken over all slices, the join then only sees the few overloaded ones.
     """
+    slices = slices.where(F.col("slice_gap") == gap)
     averaged = slices.where(F.col("value_count") > 0).withColumn("slice_avg", F.col("value_sum") / F.col("value_count"))
     over = averaged.where(F.col("slice_avg") > limit)
     return attach_house_avg(over, averages=house_avg_watt(slices)).select(
@@ -51,11 +52,11 @@ def device_overload(slices: DataFrame, limit: float = DEVICE_MAX_W) -> DataFrame
     )
 
 
-def house_overload(slices: DataFrame, limit: float = HOUSE_MAX_W) -> DataFrame:
-    """House slices whose device averages add up to more than the limit."""
+def house_overload(slices: DataFrame, limit: float = HOUSE_MAX_W, gap: int = ALERT_WINDOW_MIN) -> DataFrame:
+    """House slices of ``gap`` minutes whose device averages add up to more than the limit."""
     total = round2("value_sum")
     return (
-        rollup(slices, "house")
+        rollup(slices.where(F.col("slice_gap") == gap), "house")
         .where((F.col("value_count") > 0) & (F.col("value_sum") > limit))
         .select(
             "house_id",

@@ -58,13 +58,15 @@ def score_readings(readings: DataFrame, detector: Detector, partitions: int | No
     return classify(scored, detector)
 
 
+def with_reason(scored: DataFrame, detector: Detector) -> DataFrame:
+    """Adds ``reason``, the verdict as a sentence."""
+    text = reason_text(F.col("type"), F.col("value"), F.col("mean_before"), F.col("z_score"), detector.hard_ceiling)
+    return scored.withColumn("reason", text)
+
+
 def fire_alerts(scored: DataFrame, detector: Detector, partitions: int | None = None) -> DataFrame:
     """Anomalies with ``fired``; suppressed ones do not extend a device's cooldown.
 
     Only anomalies reach the fold. Event time stands for the wall clock.
     """
-    anomalies = scored.where("anomaly").withColumn(
-        "reason",
-        reason_text(F.col("type"), F.col("value"), F.col("mean_before"), F.col("z_score"), detector.hard_ceiling),
-    )
-    return cooldown(anomalies, DEVICE, READING_ORDER, detector.cooldown_ms, partitions=partitions)
+    return cooldown(with_reason(scored.where("anomaly"), detector), DEVICE, READING_ORDER, detector.cooldown_ms, partitions=partitions)

@@ -328,12 +328,22 @@ def outage_model(
 # --- containers and comparisons ----------------------------------------------------------------------------------
 
 
+GATEWAY_PREFIX = "gw-"
+
+
 def container_totals(stats: DataFrame) -> DataFrame:
-    """Per sample: containers, total and largest CPU and memory (in MB)."""
-    memory = parse_size(F.split("mem_usage", "/")[0]) / (1024.0 * 1024.0)
+    """Per sample: gateway containers, total and largest CPU and memory.
+
+    Only containers whose name starts with ``gw-`` count. Memory is in megabytes as displayed: MB and MiB are taken as they are, GB
+    and GiB times 1024.
+    """
+    used = F.split("mem_usage", "/")[0]
+    amount = F.regexp_extract(used, r"([0-9.]+)", 1).try_cast("double")
+    memory = amount * F.when(used.rlike("GiB|GB"), 1024.0).otherwise(1.0)
     cpu = F.regexp_replace("cpu_perc", "%", "").try_cast("double")
     return (
-        stats.select("sample", cpu.alias("cpu"), memory.alias("mem"))
+        stats.where(F.col("container").startswith(GATEWAY_PREFIX))
+        .select("sample", cpu.alias("cpu"), memory.alias("mem"))
         .groupBy("sample")
         .agg(
             F.count("*").alias("containers"),
@@ -349,6 +359,7 @@ def container_summary(totals: DataFrame) -> DataFrame:
     """Mean and peak over all samples."""
     return totals.agg(
         F.count("*").alias("samples"),
+        F.max_by("containers", "sample").alias("gateways"),
         F.avg("cpu_max").alias("cpu_busiest_avg"),
         F.max("cpu_max").alias("cpu_busiest_peak"),
         F.avg("mem_max_mb").alias("mem_busiest_avg_mb"),

@@ -12,7 +12,7 @@ from math import gcd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.functions.slices import int_div, safe_avg, slice_index, utc_date
+from meterflow.functions.slices import exact_sum, int_div, safe_avg, slice_index, utc_date
 from meterflow.schemas import DERIVED_WINDOWS, DEVICE, DIRECT_WINDOWS, LEVEL_KEYS, SLICE
 
 
@@ -32,7 +32,7 @@ def window_slices(readings: DataFrame, gap: int) -> DataFrame:
     )
     return keyed.groupBy(*DEVICE, *SLICE).agg(
         F.count("*").alias("value_count"),
-        F.sum("value").alias("value_sum"),
+        exact_sum("value").alias("value_sum"),
         F.max("event_ms").alias("event_ts"),
     )
 
@@ -40,7 +40,7 @@ def window_slices(readings: DataFrame, gap: int) -> DataFrame:
 def _merge_sums(slices: DataFrame) -> DataFrame:
     return slices.groupBy(*DEVICE, *SLICE).agg(
         F.sum("value_count").alias("value_count"),
-        F.sum("value_sum").alias("value_sum"),
+        exact_sum("value_sum").alias("value_sum"),
         F.max("event_ts").alias("event_ts"),
     )
 
@@ -104,7 +104,7 @@ def rollup(slices: DataFrame, level: str) -> DataFrame:
     return (
         slices.withColumn("_avg", safe_avg())
         .groupBy(*LEVEL_KEYS[level], *SLICE)
-        .agg(F.count("*").alias("value_count"), F.sum("_avg").alias("value_sum"))
+        .agg(F.count("*").alias("value_count"), exact_sum("_avg", 9).alias("value_sum"))
     )
 
 
@@ -120,17 +120,24 @@ def house_avg_watt(slices: DataFrame) -> DataFrame:
 def merge_latest(flush_log: DataFrame) -> DataFrame:
     """Current device slices from a log of cumulative flushes.
 
-    The newest flush replaces count and sum; event time only ever grows; first and last write time come from
-    the same shuffle. Replayed or reordered batches cannot change the result. A device has one gateway and a
-    gateway one flush at a time, so rows of equal flush time are copies; ordering by that one number keeps the
-    aggregation hash-based.
+    The newest flush replaces count and sum, together; of flushes at the same time the one with the last batch identifier
+    wins, then the larger count and sum, so the result depends on the log's content only. Event time only ever grows; first
+    and last write time come from the same shuffle. Replayed or reordered batches cannot change the result.
     """
-    return flush_log.groupBy(*DEVICE, *SLICE).agg(
-        F.max_by("value_count", "flush_ts").alias("value_count"),
-        F.max_by("value_sum", "flush_ts").alias("value_sum"),
+    newest = F.max(F.struct("flush_ts", "batch_id", "value_count", "value_sum"))
+    merged = flush_log.groupBy(*DEVICE, *SLICE).agg(
+        newest.alias("_newest"),
         F.max(F.coalesce("event_ts", F.lit(0).cast("long"))).alias("event_ts"),
         F.min("flush_ts").alias("first_written_at"),
-        F.max("flush_ts").alias("updated_at"),
+    )
+    return merged.select(
+        *DEVICE,
+        *SLICE,
+        "_newest.value_count",
+        "_newest.value_sum",
+        "event_ts",
+        "first_written_at",
+        F.col("_newest.flush_ts").alias("updated_at"),
     )
 
 
@@ -156,10 +163,10 @@ def flush_log(readings: DataFrame, gap: int = 30) -> DataFrame:
         .groupBy(*DEVICE, *SLICE, "slice_start")
         .agg(
             F.count_if("early").alias("early_count"),
-            F.sum(F.when(F.col("early"), F.col("value"))).alias("early_sum"),
+            exact_sum(F.when(F.col("early"), F.col("value"))).alias("early_sum"),
             F.max(F.when(F.col("early"), F.col("event_ms"))).alias("early_ts"),
             F.count("*").alias("full_count"),
-            F.sum("value").alias("full_sum"),
+            exact_sum("value").alias("full_sum"),
             F.max("event_ms").alias("full_ts"),
         )
     )

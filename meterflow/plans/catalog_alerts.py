@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from meterflow.functions.slices import gateway_of
 from meterflow.functions.text import change_text, time_ago
 from meterflow.operators import alerts as al
-from meterflow.operators.anomaly import READING_ORDER, Detector, fire_alerts, score_readings
+from meterflow.operators.anomaly import READING_ORDER, Detector, fire_alerts, score_readings, with_reason
 from meterflow.operators.folds import ewma_baseline
 from meterflow.operators.matching import detection_scores, match_alerts, nearest_first
+from meterflow.operators.windows import multi_window
 from meterflow.plans import sql
 from meterflow.plans.catalog_slices import DENSE, device_slices, loads
 from meterflow.plans.registry import query
@@ -60,7 +61,7 @@ _REASON = """CASE type WHEN 'HARD_CEILING' THEN printf('reading %.0fW exceeds ab
 
 @query("reason_text", f"{_SCORED} SELECT event_id, {_REASON} AS reason FROM scored WHERE type <> 'NORMAL'")
 def _(spark, sf_dir):
-    return fire_alerts(scored(spark, sf_dir), DETECTOR).select("event_id", "reason")
+    return with_reason(scored(spark, sf_dir).where("anomaly"), DETECTOR).select("event_id", "reason")
 
 
 _FIRED = f"""{_SCORED}, odd AS MATERIALIZED (SELECT * FROM scored WHERE type <> 'NORMAL'),
@@ -75,7 +76,7 @@ def _(spark, sf_dir):
 # --- slice limits ------------------------------------------------------------------------------------------------
 
 _START = "(CAST(read_date AS DATE) - DATE '1970-01-01') * 86400000 + slice_index * slice_gap * 60000"
-_OVER = f"""{DENSE}, {sql.slices([30])}, avgs AS (SELECT *, value_sum / value_count AS a FROM slices WHERE value_count > 0),
+_OVER = f"""{DENSE}, {sql.slices([5])}, avgs AS (SELECT *, value_sum / value_count AS a FROM slices WHERE value_count > 0),
 houses AS (SELECT house_id, avg(a) AS ha FROM avgs GROUP BY 1),
 over_device AS MATERIALIZED (
   SELECT {sql.IDS}, read_date, slice_gap, slice_index, 1 AS type, {sql.round2('a')} AS value, CAST(100 AS DOUBLE) AS max,
@@ -89,11 +90,11 @@ over_house AS MATERIALIZED (
 
 
 def over_device(spark, sf_dir) -> DataFrame:
-    return al.device_overload(device_slices(spark, sf_dir, 30, "dense"), DEVICE_LIMIT)
+    return al.device_overload(multi_window(dense_loads(spark, sf_dir)), DEVICE_LIMIT)
 
 
 def over_house(spark, sf_dir) -> DataFrame:
-    return al.house_overload(device_slices(spark, sf_dir, 30, "dense"), HOUSE_LIMIT)
+    return al.house_overload(multi_window(dense_loads(spark, sf_dir)), HOUSE_LIMIT)
 
 
 @query("device_overload", f"WITH {_OVER} SELECT * FROM over_device")
@@ -113,7 +114,7 @@ def _(spark, sf_dir):
     rounded="slice_avg house_avg",
 )
 def _(spark, sf_dir):
-    slices = device_slices(spark, sf_dir, 30, "dense")
+    slices = device_slices(spark, sf_dir, 5, "dense")
     own = slices.withColumn("slice_avg", F.col("value_sum") / F.col("value_count"))
     return al.attach_house_avg(own).select(*DEVICE, "read_date", "slice_index", "slice_avg", "house_avg")
 
@@ -141,7 +142,7 @@ def _(spark, sf_dir):
     CAST(CASE WHEN a > 100 THEN 1 WHEN a < 5 THEN -1 WHEN a > ha THEN 0 END AS INT) AS type FROM avgs JOIN houses USING (house_id)""",
 )
 def _(spark, sf_dir):
-    slices = device_slices(spark, sf_dir, 30, "dense")
+    slices = device_slices(spark, sf_dir, 5, "dense")
     own = al.attach_house_avg(slices.withColumn("slice_avg", F.col("value_sum") / F.col("value_count")))
     kind = al.notification_class(F.col("slice_avg"), F.lit(5.0), F.col("house_avg"), F.lit(DEVICE_LIMIT))
     return own.select(*DEVICE, "read_date", "slice_index", kind.alias("type"))
@@ -286,14 +287,14 @@ def labelled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     spikes = rows.where("value >= 150").select(
         F.col("event_id").alias("spike_id"), *DEVICE, (F.col("event_ms") / 1000.0).alias("ts")
     )
-    alerts = rows.where("value >= 120 and event_id > 0").select(
+    alerts = rows.where("value >= 120").select(
         F.col("event_id").alias("alert_id"), *DEVICE, (F.col("event_ms") / 1000.0 + 40).alias("ts")
     )
     return spikes, alerts
 
 
 _LABELLED = f"""{DENSE}, spikes AS MATERIALIZED (SELECT event_id AS spike_id, {sql.IDS}, event_ms / 1000.0 AS ts FROM loads WHERE value >= 150),
-alerts AS MATERIALIZED (SELECT event_id AS alert_id, {sql.IDS}, event_ms / 1000.0 + 40 AS ts FROM loads WHERE value >= 120 AND event_id > 0)"""
+alerts AS MATERIALIZED (SELECT event_id AS alert_id, {sql.IDS}, event_ms / 1000.0 + 40 AS ts FROM loads WHERE value >= 120)"""
 TOLERANCE = 43_200.0
 
 

@@ -364,7 +364,8 @@ def _(spark, sf_dir):
 
 # --- containers and comparisons ----------------------------------------------------------------------------------
 
-_STATS = f"""WITH {WIDE}, st AS (SELECT event_ms // 86400000 AS sample, value AS cpu, value * 2 AS mem FROM readings),
+_STATS = f"""WITH {WIDE}, st AS (SELECT event_ms // 86400000 AS sample, value AS cpu, CASE WHEN plug_id = 0 THEN value * 1024 ELSE value * 2 END AS mem
+  FROM readings WHERE house_id % 7 <> 6),
 t AS MATERIALIZED (SELECT sample, count(*) AS containers, sum(cpu) AS cpu_sum, max(cpu) AS cpu_max, sum(mem) AS mem_sum_mb,
   max(mem) AS mem_max_mb FROM st GROUP BY 1)"""
 
@@ -372,9 +373,12 @@ t AS MATERIALIZED (SELECT sample, count(*) AS containers, sum(cpu) AS cpu_sum, m
 def container_samples(spark, sf_dir) -> DataFrame:
     return driver_readings(spark, sf_dir).select(
         int_div("event_ms", 86_400_000).alias("sample"),
-        F.concat(gateway_of("house_id"), F.lit("-"), F.col("plug_id")).alias("container"),
+        F.concat(F.when(F.col("house_id") % 7 == 6, "db-").otherwise(""), gateway_of("house_id"), F.lit("-"), F.col("plug_id")).alias("container"),
         F.concat(F.col("value").cast("string"), F.lit("%")).alias("cpu_perc"),
-        F.concat((F.col("value") * 2).cast("string"), F.lit("MiB / 1GiB")).alias("mem_usage"),
+        F.when(F.col("plug_id") == 0, F.concat(F.col("value").cast("string"), F.lit("GiB / 500GiB")))
+        .when(F.col("plug_id") == 1, F.concat((F.col("value") * 2).cast("string"), F.lit("MB / 1GB")))
+        .otherwise(F.concat((F.col("value") * 2).cast("string"), F.lit("MiB / 1GiB")))
+        .alias("mem_usage"),
     )
 
 
@@ -385,7 +389,7 @@ def _(spark, sf_dir):
 
 @query(
     "container_summary",
-    f"""{_STATS} SELECT count(*) AS samples, avg(cpu_max) AS cpu_busiest_avg, max(cpu_max) AS cpu_busiest_peak,
+    f"""{_STATS} SELECT count(*) AS samples, arg_max(containers, sample) AS gateways, avg(cpu_max) AS cpu_busiest_avg, max(cpu_max) AS cpu_busiest_peak,
     avg(mem_max_mb) AS mem_busiest_avg_mb, max(mem_max_mb) AS mem_busiest_peak_mb, avg(mem_sum_mb) AS mem_sum_avg_mb,
     max(mem_sum_mb) AS mem_sum_peak_mb FROM t""",
     rounded="cpu_busiest_avg mem_busiest_avg_mb mem_busiest_peak_mb mem_sum_avg_mb mem_sum_peak_mb",
@@ -406,13 +410,13 @@ def _(spark, sf_dir):
     return rows.select("o_orderkey", "text", parse_size("text").alias("bytes"))
 
 
-# Two systems: returned and accepted line items; metrics are line numbers, windows are ship years.
-_SYSTEMS = """m AS (SELECT CAST(l_linenumber AS VARCHAR) AS metric, strftime(l_shipdate, '%Y') AS window_, l_returnflag,
+# Two systems: finished and open line items; metrics are line numbers, windows are ship months. Nearly every month has one of them only.
+_SYSTEMS = """m AS (SELECT CAST(l_linenumber AS VARCHAR) AS metric, strftime(l_shipdate, '%Y-%m') AS window_, l_linestatus,
     sum(l_quantity) AS value FROM lineitem GROUP BY ALL),
 c AS MATERIALIZED (SELECT metric, window_, a.value AS base_value, b.value AS other_value,
     CASE WHEN a.value <> 0 THEN (b.value - a.value) / a.value * 100 END AS change_pct
-  FROM (SELECT * FROM m WHERE l_returnflag = 'A' AND metric <> '1') a
-  FULL JOIN (SELECT * FROM m WHERE l_returnflag = 'R' AND metric <> '2') b USING (metric, window_))"""
+  FROM (SELECT * FROM m WHERE l_linestatus = 'F') a
+  FULL JOIN (SELECT * FROM m WHERE l_linestatus <> 'F') b USING (metric, window_))"""
 _ARROW = """CASE WHEN change_pct IS NULL THEN '—' ELSE CASE WHEN change_pct < 0 THEN '↓ ' ELSE '↑ ' END ||
   CASE WHEN abs(change_pct) > 99 THEN printf('%.2f', abs(change_pct)) ELSE printf('%.1f', abs(change_pct)) END || '%' END"""
 
@@ -425,10 +429,10 @@ def _number(x: str) -> str:
 
 def systems(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     metrics = load_table(spark, sf_dir, "lineitem").groupBy(
-        F.col("l_linenumber").cast("string").alias("metric"), F.date_format("l_shipdate", "yyyy").alias("window"), "l_returnflag"
+        F.col("l_linenumber").cast("string").alias("metric"), F.date_format("l_shipdate", "yyyy-MM").alias("window"), "l_linestatus"
     ).agg(F.sum("l_quantity").alias("value"))
-    base = metrics.where("l_returnflag = 'A' and metric <> '1'").drop("l_returnflag")
-    return base, metrics.where("l_returnflag = 'R' and metric <> '2'").drop("l_returnflag")
+    base = metrics.where("l_linestatus = 'F'").drop("l_linestatus")
+    return base, metrics.where("l_linestatus <> 'F'").drop("l_linestatus")
 
 
 COMPARISON_SQL = f"""WITH {_SYSTEMS} SELECT metric, window_ AS "window", base_value, other_value, change_pct,

@@ -160,15 +160,15 @@ def _(spark, sf_dir):
 
 @query(
     "scan_metric_csv",
-    """SELECT o_orderpriority || o_orderkey AS metric, '600' AS "window",
-    CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS value FROM orders""",
+    """SELECT o_orderpriority || o_custkey AS metric, '600' AS "window",
+    arg_max_null(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END, o_orderkey) AS value FROM orders GROUP BY 1""",
 )
 def _(spark, sf_dir):
     text = F.when(F.col("o_orderstatus") == "P", "NA").otherwise(F.col("o_totalprice").cast("string"))
     raw = load_table(spark, sf_dir, "orders").select(
-        F.concat("o_orderpriority", "o_orderkey").alias("metric"), F.lit("600").alias("window"), text.alias("value")
+        F.concat("o_orderpriority", "o_custkey").alias("metric"), F.lit("600").alias("window"), text.alias("value"), "o_orderkey"
     )
-    return sm.typed_metrics(raw)
+    return sm.last_metrics(sm.typed_metrics(raw), "o_orderkey")
 
 
 @query(
@@ -342,17 +342,19 @@ def _(spark, sf_dir):
 
 @query(
     "export_csv",
-    f"""WITH {DENSE}, {sql.slices([120])}, {sql.rollup('house', 'h')}, a AS (SELECT house_id, {sql.SAFE_AVG} AS avg, {sql.label()} AS label FROM h)
-    SELECT house_id, 'House,' || string_agg(label, ',' ORDER BY label) AS line, CAST(0 AS INT) AS line_no FROM a GROUP BY 1
-    UNION ALL SELECT house_id, 'Count,' || count(*), 2 FROM a GROUP BY 1""",
+    f"""WITH {DENSE}, {sql.slices([120])}, {sql.rollup('house', 'h')}, a AS (SELECT house_id, slice_index, {sql.SAFE_AVG} AS avg, {sql.label()} AS label FROM h)
+    SELECT house_id, unnest(['House,' || string_agg(label, ',' ORDER BY label),
+      house_id || ',' || string_agg(printf('%.3f', floor(avg * 1000 + 0.5) / 1000), ',' ORDER BY label), 'Count,' || count(*), 'Mean,' || printf('%.3f', avg(avg)),
+      'Variance,' || printf('%.3f', var_pop(avg)), 'Standard deviation,' || printf('%.3f', stddev_pop(avg)),
+      'MSE,' || printf('%.3f', avg((avg - slice_index) ** 2))]) AS line, unnest([0, 1, 2, 3, 4, 5, 6]) AS line_no FROM a GROUP BY house_id""",
 )
 def _(spark, sf_dir):
     from meterflow.functions.slices import safe_avg, slice_label
 
     house = w.rollup(device_slices(spark, sf_dir, 120, "dense"), "house")
-    series = house.select("house_id", safe_avg().alias("avg"), slice_label("read_date", "slice_gap", "slice_index").alias("label"))
-    # The other lines hold rounded statistics and long decimals; the tests read those back from the written files.
-    return exports.export_lines(series).where(F.col("line_no").isin(0, 2))
+    label = slice_label("read_date", "slice_gap", "slice_index").alias("label")
+    series = house.select("house_id", safe_avg().alias("avg"), label, F.col("slice_index").cast("double").alias("forecast"))
+    return exports.export_lines(series)
 
 
 @query("write_comparison", COMPARISON_SQL, rounded="base_value other_value change_pct")

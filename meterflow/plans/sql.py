@@ -30,7 +30,7 @@ def slices(gaps: list[int], name: str = "slices", source: str = "loads") -> str:
     return f"""{name} AS MATERIALIZED (
   SELECT {IDS}, {day_text()} AS read_date, slice_gap,
          CAST((event_ms % 86400000) // (slice_gap * 60000) AS INT) AS slice_index,
-         count(*) AS value_count, sum(value) AS value_sum, max(event_ms) AS event_ts
+         count(*) AS value_count, round(sum(value), 6) AS value_sum, max(event_ms) AS event_ts
   FROM (SELECT *, CAST(unnest({gaps}) AS INT) AS slice_gap FROM {source})
   GROUP BY ALL)"""
 
@@ -39,7 +39,7 @@ def rollup(level: str, name: str, source: str = "slices") -> str:
     keys = {"household": "house_id, household_id", "house": "house_id"}[level]
     return f"""{name} AS MATERIALIZED (
   SELECT {keys}, read_date, slice_gap, slice_index, count(*) AS value_count,
-         sum(CASE WHEN value_count > 0 THEN value_sum / value_count ELSE 0 END) AS value_sum
+         round(sum(CASE WHEN value_count > 0 THEN value_sum / value_count ELSE 0 END), 9) AS value_sum
   FROM {source} GROUP BY {keys}, read_date, slice_gap, slice_index)"""
 
 
@@ -50,7 +50,7 @@ def flushes(gap: int = 30, name: str = "flushes") -> str:
     def part(offset: int, condition: str) -> str:
         return f"""SELECT {IDS}, {day_text()} AS read_date, CAST({gap} AS INT) AS slice_gap,
          CAST((event_ms % 86400000) // {ms} AS INT) AS slice_index,
-         event_ms - event_ms % {ms} + {offset} AS flush_ts, count(*) AS value_count, sum(value) AS value_sum,
+         event_ms - event_ms % {ms} + {offset} AS flush_ts, count(*) AS value_count, round(sum(value), 6) AS value_sum,
          max(event_ms) AS event_ts
   FROM loads WHERE {condition} GROUP BY ALL"""
 
@@ -69,7 +69,7 @@ SAFE_AVG = "CASE WHEN value_count > 0 THEN value_sum / value_count ELSE 0 END"
 
 
 def round2(x: str) -> str:
-    return f"floor(round(({x}) * 100, 6) + 0.5) / 100"
+    return f"floor(({x}) * 100 + 0.5) / 100"
 
 
 def label(day: str = "read_date", gap: str = "slice_gap", index: str = "slice_index") -> str:

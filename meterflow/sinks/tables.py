@@ -72,9 +72,9 @@ def device_view(flush_log: DataFrame) -> DataFrame:
 
 
 def latest_rows(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Newest whole row per primary key."""
+    """Newest whole row per primary key; of rows equally new, the one whose other columns are largest."""
     rest = [c for c in log.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order))
+    newest = F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order]))
     return log.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*")
 
 

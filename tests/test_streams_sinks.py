@@ -120,5 +120,5 @@ def test_exports(spark, tmp_path):
     exports.export_csv(series, str(tmp_path / "csv"))
     (part,) = (tmp_path / "csv" / "house_id=3").glob("*.txt")
     assert part.read_text().splitlines() == [
-        "House,a,b", "3,1.0,2.0", "Count,2", "Mean,1.500", "Variance,0.250", "Standard deviation,0.500",
+        "House,a,b", "3,1.000,2.000", "Count,2", "Mean,1.500", "Variance,0.250", "Standard deviation,0.500",
     ]
