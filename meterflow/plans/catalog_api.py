@@ -11,6 +11,8 @@ from meterflow.plans.catalog_alerts import NOTIFICATIONS_SQL, notifications
 from meterflow.plans.catalog_slices import DENSE, QUALITY_SQL, forecast_quality_rows, loads
 from meterflow.plans.registry import query
 from meterflow.schemas import LEVEL_KEYS
+from meterflow.session import scratch_path
+from meterflow.sinks import tables as stored
 
 _GAPS = [30, 120]
 _TABLES = f"{DENSE}, {sql.slices(_GAPS, 'device')}, {sql.rollup('household', 'household', 'device')}, {sql.rollup('house', 'house', 'device')}"
@@ -18,9 +20,22 @@ _PARTS = """substr(read_date, 1, 4) AS year, substr(read_date, 6, 2) AS month, s
   slice_index, slice_gap"""
 
 
+#: Where the tables of a data set are stored, by application: requests read them, only the first one builds them.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _root(spark, sf_dir: str) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        root = scratch_path(spark, "levels")
+        stored.write_levels(w.multi_window(loads(spark, sf_dir, "dense"), _GAPS), root)
+        stored.write_notifications(notifications(spark, sf_dir), f"{root}/notification")
+        _STORED[key] = root
+    return _STORED[key]
+
+
 def tables(spark, sf_dir) -> dict[str, DataFrame]:
-    device = w.multi_window(loads(spark, sf_dir, "dense"), _GAPS)
-    return {level: w.rollup(device, level) for level in LEVEL_KEYS}
+    return stored.read_levels(spark, _root(spark, sf_dir))
 
 
 def _ids(level: str) -> str:
@@ -65,10 +80,10 @@ _LEVEL_CONDITIONS = {
     rounded="avg",
 )
 def _(spark, sf_dir):
-    stored, out = tables(spark, sf_dir), None
+    levels, out = tables(spark, sf_dir), None
     columns = ["level", "house_id", "year", "month", "day", "slice_index", "slice_gap", "avg", "label"]
     for wanted in _LEVEL_QUERIES.values():
-        rows = api.query_series(stored, wanted).withColumn("level", F.lit(wanted.level())).select(*columns)
+        rows = api.query_series(levels, wanted).withColumn("level", F.lit(wanted.level())).select(*columns)
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -155,7 +170,7 @@ _ORDER = "reg_ms DESC, house_id, household_id, plug_id, read_date, slice_gap, sl
     SELECT {', '.join(_PAGE)} FROM (SELECT * FROM notes WHERE level = 'house' AND house_id = 3 ORDER BY {_ORDER} LIMIT 10)""",
 )
 def _(spark, sf_dir):
-    notes = notifications(spark, sf_dir)
+    notes = stored.read_notifications(spark, f"{_root(spark, sf_dir)}/notification")
     device = api.notifications_page(notes, "device", offset=20, limit=10)
     house = api.notifications_page(notes, "house", house_id=3)
     return device.select(*_PAGE).unionByName(house.select(*_PAGE))

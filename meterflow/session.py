@@ -54,7 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="meterflow-")
     if not context.getCheckpointDir():

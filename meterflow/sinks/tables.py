@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterflow.functions.slices import render_key
-from meterflow.operators.windows import merge_latest
+from meterflow.operators.windows import merge_latest, rollup
 from meterflow.schemas import FORECAST, LEVEL_KEYS, NOTIFICATION, QUALITY, SLICE, slice_schema
 
 PARTITIONING = ["slice_gap", "read_date"]
@@ -61,6 +61,29 @@ def write_slices(slices: DataFrame, path: str, mode: str = "overwrite") -> None:
     arranged.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONING).parquet(path)
 
 
+def write_levels(device: DataFrame, root: str) -> None:
+    """The device, household and house tables of a set of device slices; rollups are taken from what is stored."""
+    write_slices(device, f"{root}/device")
+    stored = read_levels(device.sparkSession, root, ["device"])["device"]
+    for level in ("household", "house"):
+        write_slices(rollup(stored, level), f"{root}/{level}")
+
+
+def read_levels(spark: SparkSession, root: str, levels: list[str] | None = None) -> dict[str, DataFrame]:
+    """Stored level tables by name. Window size and day are folders: a request reads the ones that it asks for."""
+    return {level: spark.read.schema(slice_schema(level)).parquet(f"{root}/{level}") for level in levels or LEVEL_KEYS}
+
+
+def write_notifications(notifications: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Notifications by level and day."""
+    by = ["level", "read_date"]
+    notifications.hint("rebalance", *by).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def read_notifications(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(NOTIFICATION).parquet(path)
+
+
 def append_log(rows: DataFrame, log_path: str, batch: int) -> None:
     """One directory per batch: writing a batch again replaces it."""
     rows.write.mode("overwrite").parquet(f"{log_path}/batch={batch}")

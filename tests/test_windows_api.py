@@ -1,6 +1,7 @@
 """Known window answers, invariants, and query API behaviour."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from meterflow.functions import text as ft
 from meterflow.operators import measure as m
 from meterflow.operators import windows as w
 from meterflow.operators.forecast import median_forecast
-from meterflow.plans import api
+from meterflow.plans import api, catalog_api
 from meterflow.plans.catalog_slices import loads
 from meterflow.schemas import DEVICE, SLICE
 
@@ -147,3 +148,20 @@ def test_outage_known_answer(spark):
     row = m.outage_model(m.outage_report(samples, ["s"]), 8, 5, 60, 300).first()
     assert (row.max_queue, row.recovery_s, row.loss_pct) == (200, 96, 0.0)
     assert row.model_queue == 200.0 and row.drain_per_s == pytest.approx(200 / 96) and row.converges
+
+
+def test_requests_read_only_the_folders_they_ask_for(spark, sf_tiny):
+    levels = catalog_api.tables(spark, sf_tiny)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for wanted in (
+        api.SeriesQuery(house_id=1, year=2024, month=1, day=5, slice_gap=30),
+        api.SeriesQuery(house_id=1, household_id=1, device_id=2, year=2024, month=1, day=5, slice_gap=30),
+    ):
+        plan = api.query_series(levels, wanted)._jdf.queryExecution().executedPlan().toString()
+        (filters,) = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan)
+        assert "slice_gap" in filters and "read_date" in filters
+        assert "events" not in plan and "Exchange" not in plan and "EqualTo(house_id,1)" in plan
+    week = api.query_week(levels, api.SeriesQuery(year=2024, month=1), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "dayofmonth(read_date" in re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", week)[0]
+    assert catalog_api.tables(spark, sf_tiny)["house"].inputFiles() == levels["house"].inputFiles()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
