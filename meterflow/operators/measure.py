@@ -10,6 +10,7 @@ from meterflow.functions.text import arrow_pct, format_number, parse_size, perce
 from meterflow.operators.folds import Baseline, with_previous
 from meterflow.operators.segments import exact_percentiles, fold_segments
 from meterflow.schemas import DEVICE, SLICE
+from meterflow.session import scratch_path
 
 MAX_LATENCY_MS = 3_600_000
 IDLE_SECONDS = 15
@@ -104,21 +105,25 @@ def wan_rate(joined: DataFrame, column: str, keys: list[str]) -> DataFrame:
 
 
 def segment_percentiles(joined: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
-    """Capacity and latency percentiles per step, largest values and number of samples."""
-    tops = joined.groupBy(*keys).agg(
-        F.max("cap").alias("cap_max"),
-        F.max("lat").alias("lat_max"),
-        F.max("gwcap").alias("gwcap_max"),
-        F.count("*").alias("n_samples"),
-    )
-    # Both columns in one sort: one row per sample and column.
+    """Capacity and latency percentiles per step, largest values and number of samples.
+
+    The samples are read once: counts per step, series and value are written down, and ranks, largest values and numbers of
+    samples all come from those.
+    """
+    series = ("cap", "lat", "gwcap")
     long = joined.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("sample")) for c in ("cap", "lat")])
-        ).alias("_s"),
-    ).select(*keys, "_s.*")
-    levels = exact_percentiles(long, [*keys, "series"], "sample", [0.5, 0.95], partitions)
+        *keys, F.explode(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("sample")) for c in series])).alias("_s")
+    )
+    counts = long.select(*keys, "_s.*").groupBy(*keys, "series", "sample").agg(F.count("*").alias("n"))
+    path = scratch_path(joined.sparkSession, "sample-counts")
+    counts.write.parquet(path)
+    counts = joined.sparkSession.read.schema(counts.schema).parquet(path)
+    tops = counts.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("series") == c, F.col("sample"))).alias(f"{c}_max") for c in series],
+        F.sum(F.when(F.col("series") == "cap", F.col("n"))).alias("n_samples"),
+    )
+    ranked = counts.where(F.col("series") != "gwcap")
+    levels = exact_percentiles(ranked, [*keys, "series"], "sample", [0.5, 0.95], partitions, weight="n")
     wide = levels.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("series") == c, F.col(f"sample_{p}"))).alias(f"{c}_{p}")

@@ -198,16 +198,20 @@ def fold_segments(
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, levels: list[float], partitions: int | None = None
+    df: DataFrame, keys: list[str], value: str, levels: list[float], partitions: int | None = None, weight: str | None = None
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, for groups of any size.
 
     No group is gathered. Equal values are first counted, which a partial aggregation does before the shuffle, so a
     value repeated in a third of all rows costs one row. The distinct values are range-sorted by (keys, value); the
-    weights per segment tell which segment holds each wanted rank, and only those segments are looked into.
+    weights per segment tell which segment holds each wanted rank, and only those segments are looked into. With
+    ``weight``, the rows are such counts already: one per key and value.
     """
-    rows = df.select(*keys, value).where(F.col(value).isNotNull() & ~F.isnan(value))
-    weighted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    if weight:
+        weighted = rows.select(*keys, value, F.col(weight).alias("_n"))
+    else:
+        weighted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     segments = ordered_segments(weighted, keys, [value], partitions)
     # At most one row per (key, segment): a key can span no more segments than there are partitions.
     weights = segments.groupBy(*keys, SEGMENT).agg(F.sum("_n").alias("_rows"))

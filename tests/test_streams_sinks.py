@@ -49,10 +49,36 @@ def test_partials_equal_batch_also_after_replay_and_compaction(spark, landing, t
     assert same_slices(partials.partials_view(spark, root), want)
     extra = spark.read.parquet(landing[0]).limit(0)
     partials.write_partials(root)(extra, 3)
-    assert partials.compact_partials(spark, root) == 2
+    assert partials.compact_partials(spark, root) == 3
+    assert partials.compact_partials(spark, root) == 3
     assert same_slices(partials.partials_view(spark, root), want)
 
 
+def test_partials_ignore_half_written_batches_and_prune_folded_ones(spark, landing, tmp_path):
+    root, rows = str(tmp_path / "p"), landing[1]
+    day = F.dayofmonth(F.timestamp_millis("event_ms"))
+    flush = partials.write_partials(root)
+    flush(rows.where(day <= 10), 0)
+    # a batch without its commit, as seen while it is being written
+    w.multi_window(rows.where(day > 10)).write.partitionBy(*partials.DAY).parquet(f"{root}/batches/batch=1/attempt=half")
+    first = w.multi_window(rows.where(day <= 10))
+    assert same_slices(partials.partials_view(spark, root), first)
+    assert partials.compact_partials(spark, root) == 0
+    flush(rows.where(day > 10), 1)
+    want = w.multi_window(rows)
+    assert same_slices(partials.partials_view(spark, root), want)
+    assert partials.compact_partials(spark, root) == 1
+    versions = spark.read.parquet(f"{root}/compacted")
+    assert versions.where("version = 1").agg(F.min(F.dayofmonth("read_date"))).first()[0] == 11  # old days stay as they were
+    flush(rows.where(day <= 10), 2)
+    assert partials.compact_partials(spark, root) == 2
+    removed = partials.prune_partials(spark, root, keep=1)
+    assert {"manifest/upto=0", "manifest/upto=1", "compacted/version=0", "batches/batch=2"} <= set(removed) and "compacted/version=1" not in removed
+    twice = w.multi_window(rows.unionByName(rows.where(day <= 10)))
+    assert same_slices(partials.partials_view(spark, root), twice)
+    assert partials.prune_partials(spark, root, keep=1) == []
+
+
 def test_tumbling_drops_only_late_rows(spark, landing, tmp_path):
     wide, narrow = str(tmp_path / "wide"), str(tmp_path / "narrow")
     query = tumbling.start_tumbling(stream(spark, landing), f"{wide}/log", f"{wide}/cp", lateness="60 days", available_now=True)
