@@ -12,7 +12,9 @@ An entry may hold a third of all documents, so pairs inside an entry are never l
   cannot reach the threshold with anyone leave the entry;
 * each remaining member is compared with one centre, and linked documents become one component;
 * only entries that still hold several components are looked at again, and only for pairs across components that pass the
-  bounds of distance, size and shared shingles, which the join itself tests.
+  bounds of distance, size and shared shingles, which the join itself tests. In crowded entries it tests the similarity
+  itself: members of one entry differ from its centre in few shingles each, and these differences give the exact
+  intersection of any two members.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ CHUNKS, VALUES = 8, 4
 DISTANCE = 2 * CHUNKS - 1
 #: Members from which an entry counts as crowded. Only the order of work depends on it.
 CROWDED = 32
+#: Shingles in which a member of a crowded entry may differ from the centre for its differences to be kept. Others are
+#: confirmed on their texts.
+DIFFERENCES = 256
 
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 2**63, CHUNKS * VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNATURE = [f"c{i}" for i in range(CHUNKS)]
@@ -71,21 +76,38 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def index_keys() -> Column:
-    """The 32 index entries of a signature: every chunk with each of its values masked."""
+    """The 32 index entries of a signature, by slot: every chunk with each of its values masked."""
     masks = [(0xFFFF << 16 * j) ^ (2**64 - 1) for j in range(VALUES)]
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
     return F.array(*[F.xxhash64(F.lit(i * VALUES + j), F.col(f"c{i}").bitwiseAND(F.lit(m))) for i in range(CHUNKS) for j, m in enumerate(signed)])
 
 
-def distance(left: str, right: str) -> Column:
-    """Values in which two signatures differ: the lowest bit of each 16-bit field becomes whether any of its bits differs."""
-    total = F.lit(0)
+def chunk_errors(left: str, right: str) -> list[Column]:
+    """Values in which two signatures differ, per chunk: the lowest bit of each 16-bit field becomes whether any of its bits differs."""
+    errors = []
     for c in SIGNATURE:
         x = F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))
         for step in (8, 4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-    return total
+        errors.append(F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001))))
+    return errors
+
+
+def distance(left: str, right: str) -> Column:
+    return sum(chunk_errors(left, right)[1:], chunk_errors(left, right)[0])
+
+
+def first_shared_entry(left: str, right: str) -> Column:
+    """Whether the entry at hand, ``slot``, is the first that two signatures share, so that a pair is looked at once.
+
+    They share an entry of every chunk with one error at most: the one of the wrong value, or all four if there is none.
+    """
+    slot = F.col(f"{left}.slot")
+    chunk = F.floor(slot / VALUES)
+    alone = F.lit(True)
+    for i, errors in enumerate(chunk_errors(left, right)):
+        alone = alone & ((chunk <= i) | (errors > 1)) & ((chunk != i) | (slot % VALUES == 0) | (errors == 1))
+    return alone
 
 
 def can_link(left: str, right: str, similarity: int) -> Column:
@@ -96,7 +118,12 @@ def can_link(left: str, right: str, similarity: int) -> Column:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, similarity: int, shingle: int) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` whose full shingle sets are similar enough."""
+    """The pairs ``a``, ``b``, with ``similar``: whether their full shingle sets are similar enough.
+
+    Pairs marked ``crowded`` also get ``n_a``, the size of the set of ``a``, and the differences ``lost`` (only in ``a``) and
+    ``gained`` (only in ``b``) if there are at most ``DIFFERENCES`` of each.
+    """
+    limit = DIFFERENCES
 
     def compare(batches):
         for batch in batches:
@@ -111,19 +138,42 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: int, shingle: int) -
                     found += [part[at[k] : at[k + 1]] for k in range(j - i)]
                 sets.append((found, which))
             (left, at_left), (right, at_right) = sets
-            good = np.zeros(batch.num_rows, dtype=bool)
+            crowded = batch.column(4).to_pylist()
+            good, sizes, lost, gained = [], [], [], []
             for row in range(batch.num_rows):
                 x, y = left[at_left[row]], right[at_right[row]]
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good[row] = shared > 0 and 100 * shared >= similarity * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good))
+                both = np.intersect1d(x, y, assume_unique=True)
+                shared = len(both)
+                good.append(shared > 0 and 100 * shared >= similarity * (len(x) + len(y) - shared))
+                sizes.append(len(x))
+                near = crowded[row] and max(len(x), len(y)) - shared <= limit
+                lost.append(np.setdiff1d(x, both, assume_unique=True).view(np.int64) if near else None)
+                gained.append(np.setdiff1d(y, both, assume_unique=True).view(np.int64) if near else None)
+            longs = pa.list_(pa.int64())
+            made = [pa.array(good, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(lost, longs), pa.array(gained, longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["a", "b", "similar", "n_a", "lost", "gained"])
 
     kind = pairs.schema["a"].dataType
+    if "crowded" not in pairs.columns:
+        pairs = pairs.withColumn("crowded", F.lit(False))
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     ship_package(pairs.sparkSession)
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return rows.select("a", "text_a", "b", "text_b").mapInArrow(compare, schema)
+    longs = T.ArrayType(T.LongType())
+    made = [("similar", T.BooleanType()), ("n_a", T.LongType()), ("lost", longs), ("gained", longs)]
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *[T.StructField(*m) for m in made]])
+    return rows.select("a", "text_a", "b", "text_b", "crowded").mapInArrow(compare, schema)
+
+
+def similar_by_differences(left: str, right: str, similarity: int) -> Column:
+    """Whether two members of an entry are similar, from what each has lost and gained against the same centre; null if unknown."""
+    gone = F.size(F.array_union(F.col(f"{left}.lost"), F.col(f"{right}.lost")))
+    again = F.size(F.array_intersect(F.col(f"{left}.gained"), F.col(f"{right}.gained")))
+    centre, total = F.col(f"{left}.n_centre"), F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles")
+    enough = lambda shared: shared * 100 >= (total - shared) * similarity
+    most = centre - F.greatest(*[F.size(f"{side}.lost") for side in (left, right)]) + F.least(*[F.size(f"{side}.gained") for side in (left, right)])
+    known = F.col(f"{left}.lost").isNotNull() & F.col(f"{right}.lost").isNotNull()
+    return F.when(known & ~enough(most), False).when(known, enough(centre - gone + again))
 
 
 def own_shingles(texts: DataFrame, shingle: int) -> DataFrame:
@@ -171,9 +221,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similarity: int, shingle: int) -> DataFrame:
     """``id``, ``component`` of all linked nodes (documents with different sets) but the smallest of each component."""
-    keyed = nodes.select("id", F.explode(index_keys()).alias("key"))
+    keyed = nodes.select("id", F.posexplode(index_keys()).alias("slot", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-    entries = written(keyed.join(shared, "key").select("key", "id", (F.col("members") > CROWDED).alias("crowded")), "entries")
+    entries = written(keyed.join(shared, "key").select("key", "slot", "id", (F.col("members") > CROWDED).alias("crowded")), "entries")
 
     wanted = entries.groupBy(F.col("id").alias("_of")).agg(F.max("crowded").alias("crowded"))
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -186,32 +236,49 @@ def link_documents(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
 
     hopeful = F.col("shareable") * 100 >= F.col("n_shingles") * similarity
     sizes = bounded.select("id", "n_shingles", "shareable")
-    entries = written(entries.join(sizes, "id").where(~F.col("crowded") | hopeful).select("key", "id", (F.col("n_shingles") - F.col("shareable")).alias("own")), "hopeful")
+    entries = entries.join(sizes, "id").where(~F.col("crowded") | hopeful)
+    entries = entries.select("key", "slot", "id", "crowded", (F.col("n_shingles") - F.col("shareable")).alias("own"))
+    entries = written(entries, "hopeful")
     centres = entries.groupBy("key").agg(F.min(F.struct("own", "id"))["id"].alias("centre"), F.count("*").alias("members")).where(F.col("members") > 1)
-    star = entries.join(centres, "key").where(F.col("id") != F.col("centre"))
-    star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    entries = written(entries.join(centres.select("key", "centre"), "key"), "centred")
+    star = entries.where(F.col("id") != F.col("centre")).groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.max("crowded").alias("crowded"))
     star = star.alias("p").join(bounded.alias("x"), F.col("p.a") == F.col("x.id")).join(bounded.alias("y"), F.col("p.b") == F.col("y.id"))
-    star = star.where(can_link("x", "y", similarity)).select("p.a", "p.b")
-    links = written(confirm(star, texts, similarity, shingle), "links")
+    star = star.where(can_link("x", "y", similarity)).select("p.a", "p.b", "p.crowded")
+    compared = written(confirm(star, texts, similarity, shingle), "compared")
+    found = components(compared.where("similar"))
 
-    found = components(links)
-    placed = entries.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    # entries that still hold several components
+    placed = entries.join(found, "id", "left").select("key", "slot", "id", "centre", "crowded", F.coalesce("component", "id").alias("component"))
     placed = written(placed, "placed")
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high"))
     left = placed.join(open_.select("key"), "key").join(bounded, "id")
+    apart = compared.where(F.col("lost").isNotNull()).select(F.col("a").alias("_centre"), F.col("b").alias("_id"), F.col("n_a").alias("n_centre"), "lost", "gained")
+    known = left.join(apart, F.col("crowded") & (F.col("centre") == F.col("_centre")) & (F.col("id") == F.col("_id")), "left")
+    itself = F.col("crowded") & (F.col("id") == F.col("centre"))
+    none = F.array().cast("array<bigint>")
+    left = known.withColumns(
+        {
+            "n_centre": F.when(itself, F.col("n_shingles")).otherwise(F.col("n_centre")),
+            "lost": F.when(itself, none).otherwise(F.col("lost")),
+            "gained": F.when(itself, none).otherwise(F.col("gained")),
+        }
+    ).drop("_centre", "_id", "centre", "crowded")
+    left = written(left, "open")
     across = left.alias("x").join(
         left.alias("y"),
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.id") < F.col("y.id"))
         & (F.col("x.component") != F.col("y.component"))
-        & can_link("x", "y", similarity),
+        & first_shared_entry("x", "y")
+        & can_link("x", "y", similarity)
+        & F.coalesce(similar_by_differences("x", "y", similarity), F.lit(True)),
     )
-    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(confirm(across, texts, similarity, shingle), "links")
+    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = written(confirm(across.join(done, ["a", "b"], "left_anti"), texts, similarity, shingle), "compared").where("similar")
     if more.isEmpty():
         return found
-    joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b"))
-    return components(joined)
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -238,5 +305,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The documents without those that are linked, directly or over others, with one of a smaller identifier."""
-    gone = written(near_duplicates(docs, id_col, text_col, similarity, shingle).where(~F.col("kept")).select("id").distinct(), "near-copies")
-    return docs.join(gone, F.col(id_col) == F.col("id"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, similarity, shingle).where(~F.col("kept")).select(F.col("id").alias("_near_copy")).distinct()
+    return docs.join(written(gone, "near-copies"), F.col(id_col) == F.col("_near_copy"), "left_anti")

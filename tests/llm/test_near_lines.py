@@ -3,7 +3,6 @@
 import hashlib
 import random
 
-import pytest
 from helpers import frame, prose, rows_of
 
 from meterflow.llm import lines, neardup
@@ -52,9 +51,7 @@ def near_texts():
     return list(enumerate(texts, start=1000))
 
 
-@pytest.mark.parametrize("crowded", [neardup.CROWDED, 4])
-def test_components_equal_all_pairs(spark, monkeypatch, crowded):
-    monkeypatch.setattr(neardup, "CROWDED", crowded)
+def test_components_equal_all_pairs(spark):
     texts = near_texts()
     shuffled = random.Random(5).sample(texts, len(texts))
     found = [(r.id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, shuffled)).collect()]
