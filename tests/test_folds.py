@@ -112,3 +112,24 @@ def test_empty_input(spark, frame):
     empty = spark.createDataFrame(frame).where("k < 0")
     assert cooldown(empty, ["k"], ["event_ms", "i"], 60).count() == 0
     assert ewma_baseline(empty, ["k"], ["event_ms", "i"], 0.3).count() == 0
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_null_keys_and_batch_borders(spark, batch):
+    """Nulls turn whole-number keys of a batch into floats in pandas; the key of a row must not change with it."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 8, None if i % 2 else "a", i, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, j string, event_ms long, value double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for partitions in (1, 5):
+            got = ewma_baseline(df, ["k", "j"], ["event_ms"], 0.3, partitions=partitions).collect()
+            seen = {}
+            for r in sorted(got, key=lambda r: r.event_ms):
+                assert r.seen_before == seen.get((r.k, r.j), 0)
+                seen[r.k, r.j] = r.seen_before + 1
+            assert len(got) == 60 and len(seen) == 6
+            fired = cooldown(df, ["k", "j"], ["event_ms"], 1000, partitions=partitions).where("fired").collect()
+            assert sorted(r.event_ms for r in fired) == [0, 1, 2, 3, 4, 5]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -11,7 +11,7 @@ from meterflow.operators.measure import container_summary, container_totals
 from meterflow.sources import batches as sb
 from meterflow.sources import measurements as sm
 from meterflow.sources.readings import filter_load, filter_shard, parse_readings, read_readings
-from meterflow.sources.routes import has_destination, read_routes
+from meterflow.sources.routes import has_destination, parse_routes, read_routes
 
 
 def lines(spark, *texts):
@@ -167,3 +167,27 @@ def test_component_stats(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(doc))
     rows = {(r.type, r.component, r.emitted) for r in sm.read_component_stats(spark, str(tmp_path)).collect()}
     assert rows == {("spout", "s", 5), ("bolt", "b", 7)}
+
+
+def test_last_route_of_a_house_counts(spark):
+    document = spark.createDataFrame([('{"routes": {"1": "a", " 1 ": "b", "2": "c"}}',)], "value string")
+    assert sorted(map(tuple, parse_routes(document).collect())) == [(1, "b"), (2, "c")]
+
+
+def test_last_metric_and_log_order_over_many_blocks(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    lines = ["metric,window,value"] + [f"m{i % 3},600,{i}" for i in range(90)]
+    (tmp_path / "m" / "a.csv").write_text("\n".join(lines) + "\n")
+    log = [f"2026-06-29T08:{i // 60:02d}:{i % 60:02d}.000Z [x] ALERT HIGH house={i} hh=0 plug=2 z=5.1" for i in range(400)]
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "1.log").write_text("\n".join(log[:150]) + "\n")
+    (tmp_path / "l" / "2.log").write_text("\n".join(log[150:]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        values = {r.metric: r.value for r in sm.read_metric_csv(spark, str(tmp_path / "m")).collect()}
+        alerts = sm.read_alert_log(spark, str(tmp_path / "l")).orderBy("alert_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert values == {"m0": 87.0, "m1": 88.0, "m2": 89.0}
+    assert [(r.alert_id, r.house_id) for r in alerts] == [(i, i) for i in range(400)]

@@ -165,3 +165,27 @@ def test_requests_read_only_the_folders_they_ask_for(spark, sf_tiny):
     assert "dayofmonth(read_date" in re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", week)[0]
     assert catalog_api.tables(spark, sf_tiny)["house"].inputFiles() == levels["house"].inputFiles()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_round2_does_not_round_twice(spark):
+    values = [1.00499999999, 1.005, -1.005, 2.5, 0.125, -0.125]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "x double").select(fs.round2("x").alias("v")).collect()]
+    assert got == [1.0, 1.0, -1.0, 2.5, 0.13, -0.12]
+
+
+def test_newest_flush_wins_as_a_whole_row(spark):
+    columns = "house_id int, household_id int, plug_id int, read_date date, slice_gap int, slice_index int, batch_id string, flush_ts long, value_count long, value_sum double, event_ts long"
+    day = dt.date(2024, 1, 1)
+    rows = [(1, 0, 0, day, 30, 3, b, ts, n, s, 5) for b, ts, n, s in [("a", 9, 7, 1.0), ("b", 9, 3, 50.0), ("c", 8, 99, 99.0)]]
+    for order in (rows, rows[::-1]):
+        merged = w.merge_latest(spark.createDataFrame(order, columns)).collect()
+        assert [(r.value_count, r.value_sum, r.first_written_at, r.updated_at) for r in merged] == [(3, 50.0, 8, 9)]
+
+
+def test_containers_as_displayed(spark):
+    stats = [(1, "gw-01", "10%", "500MB / 1GB"), (1, "gw-02", "30%", "1.5GiB / 2GiB"), (1, "db-1", "90%", "9GB / 9GB"), (2, "gw-01", "20%", "100MiB / 1GiB")]
+    totals = m.container_totals(spark.createDataFrame(stats, "sample int, container string, cpu_perc string, mem_usage string"))
+    first, second = totals.orderBy("sample").collect()
+    assert (first.containers, first.cpu_sum, first.mem_sum_mb, first.mem_max_mb) == (2, 40.0, 2036.0, 1536.0)
+    assert (second.containers, second.mem_sum_mb) == (1, 100.0)
+    assert m.container_summary(totals).first().gateways == 1
