@@ -122,6 +122,8 @@ class Model:
         """Calibrated; a thousandth of the raw score keeps the order within a level."""
         raw = np.clip(self.raw(statistics), LOW, HIGH)
         level = np.interp(raw, self.knots, self.values)
+        if self.values[0] == self.values[-1]:  # nothing learnt: exactly that level
+            return level
         return np.clip(0.999 * level + 0.001 * (raw - LOW) / (HIGH - LOW), 0.0, 1.0)
 
 

@@ -105,6 +105,10 @@ def truncated(limit: int | Column, text_col: str = "text") -> Column:
 
 
 def tokens_between(first: int | Column, last: int | Column) -> Column:
-    """Tokens of words ``first`` (from 0) up to, but without, ``last``."""
-    upto = lambda k: F.coalesce(F.get("prefix_tokens", (F.lit(k) if isinstance(k, int) else k) - 1), F.lit(0))
+    """Tokens of words ``first`` (from 0) up to, but without, ``last``; words beyond the end of the text have none."""
+
+    def upto(k: int | Column) -> Column:
+        place = F.least(F.lit(k) if isinstance(k, int) else k, F.size("prefix_tokens"))
+        return F.coalesce(F.get("prefix_tokens", place - 1), F.lit(0))
+
     return upto(last) - upto(first)

@@ -37,10 +37,10 @@ def test_labels_of_held_out_rows_are_not_used(spark, sf_tiny):
 def test_quality_edges(spark):
     docs = frame(spark, [(1, None), (2, ""), (None, "words here"), (4, "x" * 200_000), (4, "again")])
     labels = spark.createDataFrame([(1, 1), (1, None), (2, 7), (9, 0)], "doc_id long, quality int")
-    assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {pytest.approx(0.5, abs=1e-3)}
+    assert {(r.score, r.predicted) for r in quality.score_quality(docs, labels.limit(0)).collect()} == {(0.5, 1)}
     assert quality.score_quality(docs, labels).count() == 5
     assert quality.score_quality(docs.limit(0), labels).count() == 0
-    kept = quality.filter_quality(docs.withColumnRenamed("lang", "_score"), labels.limit(0), threshold=0.0)
+    kept = quality.filter_quality(docs.withColumnRenamed("lang", "_score"), labels.limit(0), threshold=0.5)
     assert kept.count() == 5
 
 
