@@ -10,7 +10,6 @@ from meterflow.functions.slices import gateway_of, seconds_to_millis
 # Line layout `_,timestamp,value,property,plug,household,house`; property 1 marks a load reading.
 LINE_FIELDS = 7
 LOAD_PROPERTY = 1
-ALL_HOUSES = 40
 
 
 def split_fields(lines: DataFrame, separator: str, column: str = "value") -> DataFrame:
