@@ -72,7 +72,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = same.where(F.col("n") > 1).select(*_name(F.col("text")), "first")
     known = known.groupBy("hash", "check").agg(F.min("first").alias("first"), F.count("*").alias("texts")).where(F.col("texts") == 1)
     narrow = rows.select("id", "start", "lines", *_name(F.col("text")))
-    later = narrow.join(known, ["hash", "check"]).where(place != F.col("first"))
+    # written, so that both sides of the join are plain exchanges: the rows of a very common chunk can be split then
+    later = narrow.join(written(known.drop("texts"), "known-chunks"), ["hash", "check"]).where(place != F.col("first"))
     return later.select("id", "start", "lines", "hash")
 
 
