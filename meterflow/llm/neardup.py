@@ -110,9 +110,13 @@ def first_shared_entry(left: str, right: str) -> Column:
     return alone
 
 
-def can_link(left: str, right: str, similarity: int) -> Column:
-    """Whether signature distance, set sizes and shareable shingles leave a link possible."""
-    shared = F.least(F.col(f"{left}.shareable"), F.col(f"{right}.shareable"))
+def can_link(left: str, right: str, similarity: int, crowded: Column) -> Column:
+    """Whether signature distance, set sizes and, for a pair of a crowded entry, shareable shingles leave a link possible.
+
+    ``shareable`` bounds only what two documents of crowded entries share: others may have the shingles that count as own.
+    """
+    bound = lambda side: F.when(crowded, F.col(f"{side}.shareable")).otherwise(F.col(f"{side}.n_shingles"))
+    shared = F.least(bound(left), bound(right))
     union = F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles") - shared
     return (distance(left, right) <= DISTANCE) & (shared * 100 >= union * similarity)
 
@@ -243,7 +247,7 @@ def link_documents(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
     entries = written(entries.join(centres.select("key", "centre"), "key"), "centred")
     star = entries.where(F.col("id") != F.col("centre")).groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.max("crowded").alias("crowded"))
     star = star.alias("p").join(bounded.alias("x"), F.col("p.a") == F.col("x.id")).join(bounded.alias("y"), F.col("p.b") == F.col("y.id"))
-    star = star.where(can_link("x", "y", similarity)).select("p.a", "p.b", "p.crowded")
+    star = star.where(can_link("x", "y", similarity, F.col("p.crowded"))).select("p.a", "p.b", "p.crowded")
     compared = written(confirm(star, texts, similarity, shingle), "compared")
     found = components(compared.where("similar"))
 
@@ -262,7 +266,7 @@ def link_documents(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
             "lost": F.when(itself, none).otherwise(F.col("lost")),
             "gained": F.when(itself, none).otherwise(F.col("gained")),
         }
-    ).drop("_centre", "_id", "centre", "crowded")
+    ).drop("_centre", "_id", "centre")
     left = written(left, "open")
     across = left.alias("x").join(
         left.alias("y"),
@@ -270,7 +274,7 @@ def link_documents(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
         & (F.col("x.id") < F.col("y.id"))
         & (F.col("x.component") != F.col("y.component"))
         & first_shared_entry("x", "y")
-        & can_link("x", "y", similarity)
+        & can_link("x", "y", similarity, F.col("x.crowded"))
         & F.coalesce(similar_by_differences("x", "y", similarity), F.lit(True)),
     )
     across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()

@@ -58,6 +58,18 @@ def test_components_equal_all_pairs(spark):
     assert sorted(found) == expected_components(texts)
 
 
+def test_pairs_that_straddle_a_crowd(spark):
+    """A passage that several hundred texts share crowds entries of the index; an edit takes one end of a pair out of them."""
+    passage, texts = prose(55, 8000).split(), []
+    for k in range(400):
+        own = prose(75, 8001 + k).split()
+        at = random.Random(k).randrange(55)
+        texts += [" ".join(passage + own), " ".join([*passage[:at], f"edit{k}", *passage[at + 1 :], *own])]
+    texts = list(enumerate(texts))
+    found = [(r.id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, texts)).collect()]
+    assert sorted(found) == expected_components(texts)
+
+
 def test_near_edges(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     docs = frame(spark, [(1, "q w e r t y"), (1, "q w e r t y"), (None, "q w e r t y"), (None, None), (3, None), (4, "Q w e r t y")])
