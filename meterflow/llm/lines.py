@@ -4,14 +4,25 @@ A text is cut after a line when the rolling hash of that line and the one before
 at its end. The cuts depend on the lines next to them only, so a passage that stands in several texts is cut alike in all of them
 wherever it begins. Chunks of several lines, or of one long line, that occur more than once stay where they
 come first.
+
+Chunks miss short lines that end up alone and the ends of a passage. ``repeated_runs`` finds passages by their words instead: every
+run of lines with over ``RUN_WORDS`` words is a union of shortest such runs, counted from each line forward and
+backward, so a repeated one goes whole, from its first line to its last. ``dedup_lines(..., run_words=RUN_WORDS)`` takes out both.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from meterflow.llm import words as W
 from meterflow.llm.common import text_or_empty, written
+from meterflow.session import ship_package
 
 #: Lines per chunk on average.
 MEAN_LINES = 2
@@ -19,6 +30,10 @@ MEAN_LINES = 2
 LONG_LINE = 250
 #: Fixed values of the rolling hash over two lines: factor and modulus.
 FACTOR, MODULUS = 1_000_003, 2_147_483_647
+#: A run of lines with more words than this is a passage.
+RUN_WORDS = 50
+#: Odd factors of the two polynomials over line digests that stand for a run.
+RUN_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def line_hash(line: Column) -> Column:
@@ -77,22 +92,94 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return later.select("id", "start", "lines", "hash")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, long_line: int = LONG_LINE) -> DataFrame:
+def run_bounds(words: np.ndarray, firsts: np.ndarray, run_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and ends of the shortest runs of over ``run_words`` words from each line forward and backward, each run once.
+
+    ``words`` are the words of all lines, ``firsts`` where each text's lines begin, with one more at the end.
+    """
+    n = len(words)
+    total, line = np.concatenate([[0], np.cumsum(words)]), np.arange(n)
+    text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    ends = np.searchsorted(total, total[:-1] + run_words, side="right")
+    starts = np.searchsorted(total, total[1:] - run_words, side="left") - 1
+    forward, backward = ends <= firsts[1:][text], starts >= firsts[:-1][text]
+    runs = np.unique(np.concatenate([line[forward] * (n + 1) + ends[forward], starts[backward] * (n + 1) + line[backward] + 1]))
+    return runs // (n + 1), runs % (n + 1)
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    steps = np.full(n, factor, dtype=np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
+def _runs(texts: list[bytes], run_words: int) -> tuple[np.ndarray, ...]:
+    """Text, first line, lines and two hashes of every shortest run."""
+    split = [t.split(b"\n") for t in texts]
+    lines = [x for parts in split for x in parts]
+    firsts = np.concatenate([[0], np.cumsum([len(parts) for parts in split])])
+    start, end = run_bounds(np.array([len(x.split()) for x in lines]), firsts, run_words)
+    digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines), dtype="<u8").reshape(-1, 2)
+    hashes = []
+    for k, factor in enumerate(RUN_FACTORS):
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(digests[:, k] * _powers(factor, len(lines)), dtype=np.uint64)])
+        back = _powers(pow(factor, -1, 1 << 64), len(lines))
+        hashes.append(W.mix((sums[end] - sums[start]) * back[start]).view(np.int64))
+    text = np.searchsorted(firsts, start, side="right") - 1
+    return text, (start - firsts[text]).astype(np.int32), (end - start).astype(np.int32), *hashes
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """``id``, ``start``, ``lines``, ``hash`` of every shortest run that has come before, by identifier and line; ``hash`` is the text's.
+
+    Runs are the same if two 64-bit hashes and the number of lines are. A run that overlaps its first occurrence is no repetition.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("hash"), "text")
+    fields = ["start", "lines", "h1", "h2"]
+
+    def find(batches):
+        for batch in batches:
+            _, offsets = W.text_bytes(batch.column(2))
+            for i, j in W.groups_of(offsets):
+                texts = [t.encode() for t in batch.column(2).slice(i, j - i).to_pylist()]
+                text, *found = _runs(texts, run_words)
+                if len(text):
+                    at = pa.array(text + i)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, found)], names=["id", "hash", *fields])
+
+    ship_package(docs.sparkSession)
+    kinds = [T.IntegerType(), T.IntegerType(), T.LongType(), T.LongType()]
+    schema = T.StructType([rows.schema["id"], T.StructField("hash", T.LongType()), *map(T.StructField, fields, kinds)])
+    runs = rows.mapInArrow(find, schema)
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("start").alias("start"))
+    same = runs.groupBy("h1", "h2", "lines").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    known = written(same.where(F.col("n") > 1).drop("n"), "known-runs")
+    apart = (~F.col("id").eqNullSafe(F.col("first.id"))) | (F.col("start") >= F.col("first.start") + F.col("lines"))
+    return runs.join(known, ["h1", "h2", "lines"]).where(apart).select("id", "start", "lines", "hash")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, long_line: int = LONG_LINE, run_words: int | None = None) -> DataFrame:
     """The documents with repeated chunks taken out of ``text_col``, and ``n_lines``, ``n_removed_lines``.
 
+    With ``run_words`` repeated runs of lines of more words go as well, whole.
+
     All other columns stay; columns of the two new names are replaced. A null text stays null and has no lines, an empty text is one
     empty line; a text may become empty. Within a document too, a chunk stays where it comes first. Equal rows of one
     identifier are one document and keep equal texts; rows without identifier come last. An empty table gives an empty result.
     """
-    gone = repeated_chunks(docs, id_col, text_col, mean_lines, long_line)
-    gone = written(gone, "repeated-chunks").groupBy(F.col("id").alias("_of")).agg(F.collect_set(F.struct("start", "lines", "hash")).alias("_gone"))
+    gone = repeated_chunks(docs, id_col, text_col, mean_lines, long_line).withColumn("run", F.lit(False))
+    if run_words is not None:
+        gone = gone.unionByName(repeated_runs(docs, id_col, text_col, run_words).withColumn("run", F.lit(True)))
+    gone = written(gone, "repeated-chunks").groupBy(F.col("id").alias("_of")).agg(F.collect_set(F.struct("start", "lines", "hash", "run")).alias("_gone"))
     base = docs.drop("n_lines", "n_removed_lines")
     rows = base.join(gone, F.col(id_col).eqNullSafe(F.col("_of")), "left")
     text = F.col(text_col)
 
     def stays(lines: Column) -> Column:
-        """The lines outside the chunks to remove; a chunk counts only if it stands there in this very text."""
-        real = F.filter("_gone", lambda g: F.xxhash64(F.array_join(F.slice(lines, g["start"] + 1, g["lines"]), "\n")) == g["hash"])
+        """The lines outside the chunks and runs to remove; they count only if they stand there in this very text."""
+        part = lambda g: F.xxhash64(F.array_join(F.slice(lines, g["start"] + 1, g["lines"]), "\n"))
+        real = F.filter("_gone", lambda g: F.when(g["run"], F.xxhash64(text)).otherwise(part(g)) == g["hash"])
         numbers = F.flatten(F.transform(real, lambda g: F.sequence(g["start"], g["start"] + g["lines"] - 1)))
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
         return F.transform(kept, lambda i: F.get(lines, i))

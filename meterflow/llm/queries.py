@@ -99,6 +99,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+@query("op1_repeated_runs")
+def op1_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), run_words=lines.RUN_WORDS)
+    return left.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 @query("op2_near_dedup", sql.NEAR_DEDUP)
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -152,3 +152,34 @@ def test_lines_with_repeated_and_missing_identifiers(spark):
     docs = frame(spark, [(7, body), (7, body), (None, body), (None, "x"), (8, body)])
     found = sorted((r.doc_id or 0, r.n_removed_lines > 0) for r in lines.dedup_lines(docs).collect())
     assert found == [(0, False), (0, True), (7, False), (7, False), (8, True)]
+
+
+def run_lines(text, least=lines.RUN_WORDS):
+    """Every run of lines of over ``least`` words, as first line, end and text."""
+    parts = text.split("\n")
+    for a in range(len(parts)):
+        for b in range(a + 1, len(parts) + 1):
+            if sum(len(x.split()) for x in parts[a:b]) > least:
+                yield a, b, "\n".join(parts[a:b])
+
+
+def test_repeated_runs_go_whole(spark):
+    """Runs of over 50 words in short lines, wherever they begin, against all runs; chunks alone leave lines of them."""
+    texts = line_texts()[:25]
+    texts += [(30 + k, "\n".join([f"one {k}", prose(53, 77), f"two {k}"])) for k in range(3)]
+    texts += [(40 + k, "\n".join([f"own {k}", prose(20, 78), "", prose(20, 79), prose(13, 80), "", f"end {k}"])) for k in range(3)]
+    texts += [(50, "\n".join([prose(10, 81)] * 30)), (51, "\n".join([prose(10, 81)] * 30))]
+    seen, expected = {}, {}
+    for i, text in texts:
+        gone = set()
+        for a, b, run in run_lines(text):
+            first = seen.setdefault(run, (i, a))
+            if first[0] != i or a >= first[1] + b - a:
+                gone |= set(range(a, b))
+        expected[i] = gone
+    runs = lines.repeated_runs(frame(spark, texts)).collect()
+    assert {i: {k for r in runs if r.id == i for k in range(r.start, r.start + r.lines)} for i, _ in texts} == expected
+    left = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, texts), run_words=lines.RUN_WORDS).collect()}
+    for i, text in texts[:-2]:
+        assert left[i] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in expected[i])
+    assert left[51] == ""
