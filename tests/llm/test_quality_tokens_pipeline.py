@@ -115,3 +115,12 @@ def test_stages_take_odd_rows(spark, sf_tiny, stage):
     assert set(docs.columns) <= set(out.columns)
     out.count()
     assert corpus_pipeline.STAGES[stage][1](spark, docs.limit(0), sf_tiny).count() == 0
+
+
+def test_copies_have_one_survivor_after_line_and_near_dedup(spark, sf_tiny):
+    body = [prose(9, 600 + k) for k in range(12)]
+    near = [*body[:5], body[5] + " edited", *body[6:]]
+    docs = frame(spark, [(1, "\n".join(body)), (2, "\n".join(body)), (3, "\n".join(near)), (4, prose(60, 700))])
+    lined = corpus_pipeline.drop_repeated_lines(spark, docs, sf_tiny)
+    left = corpus_pipeline.drop_near_copies(spark, lined, sf_tiny)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, "\n".join(body)), (4, prose(60, 700))]
