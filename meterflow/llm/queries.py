@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm import decontaminate, exact, licenses, lines, mixing, neardup, pii, quality, sql, tokens, urls
+from meterflow.llm import conversations, decontaminate, exact, licenses, lines, mixing, neardup, pii, quality, sql, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +109,9 @@ def op1_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op11_conversation_repair", sql.CONVERSATION_REPAIR)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repaired_digests(turns, there=F.col("there"))

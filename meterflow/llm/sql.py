@@ -157,3 +157,54 @@ r(doc_id, seen) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM
 c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
 """
+
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295::BIGINT)"""
+
+
+def _best(*options: tuple[str, str, str, str]) -> str:
+    """The least (cost, audit) of letters put before the rest of a repair, each allowed under a condition."""
+    made = ", ".join(f"CASE WHEN {when} THEN {{'c': {cost} + {rest}.c, 'a': '{letter}' || {rest}.a}} END" for when, cost, letter, rest in options)
+    return f"list_min(list_filter([{made}], lambda x: x IS NOT NULL))"
+
+
+def _consumed(state: str, follows: str, role: str) -> str:
+    options = [("true", "4", "D", state), ("m <> 'x'", "3 + t", "R", follows), (f"m = '{role}'", "t", "K", follows)]
+    if state == "vn":
+        options.append(("m = 's'", "t", "K", "vs"))
+    return _best(*options)
+
+
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_CRC32.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS code FROM conversations),
+turns AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+  CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM raw, (SELECT unnest([1, 2]) AS copy) WHERE code <> 0 AND (copy = 1 OR code = 3)),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM turns),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), again) AS p FROM seen),
+faults AS MATERIALIZED (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 1 WHEN again THEN 2
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM placed),
+marks AS MATERIALIZED (SELECT conv_id, p, CASE WHEN fault IN (1, 2) THEN 'x' ELSE initial END AS m, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS t,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY p) || initial NOT IN ('su', 'ua', 'au') AS illegal, fault, turn FROM faults),
+sums AS (SELECT conv_id, max(p) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+  count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal FROM marks GROUP BY conv_id),
+paths(conv_id, p, vn, vs, vu, va) AS (
+  SELECT conv_id, n + 1, {{'c': 0::BIGINT, 'a': ''}}, {{'c': 6::BIGINT, 'a': 'II'}}, {{'c': 3::BIGINT, 'a': 'I'}}, {{'c': 0::BIGINT, 'a': ''}} FROM sums
+  UNION ALL
+  SELECT conv_id, p, {_best(("true", "0", "", "wn"), ("true", "3", "I", "xu"))}, {_best(("true", "0", "", "ws"), ("true", "3", "I", "xu"))}, xu, {_best(("true", "0", "", "wa"), ("true", "3", "I", "wu"))}
+  FROM (SELECT conv_id, p, wn, ws, wu, wa, {_best(("true", "0", "", "wu"), ("true", "3", "I", "wa"))} AS xu
+  FROM (SELECT conv_id, r.p - 1 AS p, {_consumed("vn", "vu", "u")} AS wn, {_consumed("vs", "vu", "u")} AS ws, {_consumed("vu", "va", "a")} AS wu, {_consumed("va", "vu", "u")} AS wa
+  FROM paths r JOIN marks k USING (conv_id) WHERE k.p = r.p - 1))),
+solved AS (SELECT conv_id, vn.c AS cost, vn.a AS audit FROM paths WHERE p = 1),
+letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS e, generate_subscripts(string_split(audit, ''), 1) AS k FROM solved WHERE audit <> ''),
+numbered AS (SELECT *, CASE WHEN e <> 'I' THEN count(*) FILTER (e <> 'I') OVER w END AS p, count(*) FILTER (e <> 'D') OVER w AS written
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+edits AS (SELECT n.*, f.role, f.text, max(CASE WHEN written = 1 AND e = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS system
+  FROM numbered n LEFT JOIN faults f ON n.conv_id IS NOT DISTINCT FROM f.conv_id AND n.p = f.p),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (written - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+  CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole FROM edits WHERE e <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums USING (conv_id) LEFT JOIN solved USING (conv_id) LEFT JOIN repaired USING (conv_id)
+"""
