@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm import conversations, decontaminate, exact, licenses, lines, mixing, neardup, pii, quality, sql, tokens, urls
+from meterflow.llm import conversations, decontaminate, exact, licenses, lines, mixing, neardup, pii, quality, sql, tokens, urls, warc
+from meterflow.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,3 +116,19 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversations.damaged(table(spark, sf_dir, "conversations"))
     return conversations.repaired_digests(turns, there=F.col("there"))
+
+
+@query("op12_warc", sql.WARC)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    records = warc.read_warc(spark, path)
+    page = lambda c: F.regexp_extract(c, "^urn:row:(.+)$", 1).try_cast("long")
+    held = F.col("payload").isNotNull()
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.when(held, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(held, warc.base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
