@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm import conversations, decontaminate, exact, licenses, lines, mixing, neardup, pii, quality, sql, tokens, urls, warc
+from meterflow.llm import conversations, decontaminate, exact, licenses, lines, mixing, neardup, phrases, pii, quality, sql, tokens, urls, warc
 from meterflow.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +132,8 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         page("refers_to").alias("refers_to"),
     )
+
+
+@query("op13_phrases", sql.PHRASES)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))

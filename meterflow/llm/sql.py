@@ -217,3 +217,21 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, {_BASE32
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to FROM p
 """
+
+_GRAMS = " UNION ALL ".join(f"SELECT lang, {k} AS m, unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: w[i:i + {k} - 1])) AS g FROM w" for k in (1, 2, 3))
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lowered("coalesce(text, '')")}, '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+f AS MATERIALIZED (SELECT lang, m, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS f FROM ({_GRAMS}) GROUP BY lang, m, array_to_string(g, ' ')),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, m, phrase, g, f AS a FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT c.*, k, array_to_string(g[:k], ' ') AS first, array_to_string(g[k + 1:], ' ') AS rest FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+s AS (SELECT k.*, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM k JOIN f x ON k.lang = x.lang AND k.first = x.phrase JOIN f y ON k.lang = y.lang AND k.rest = y.phrase),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+d AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS part FROM c WHERE m = 3) o ON b.lang = o.lang AND b.g = o.part WHERE 100 * o.a >= 50 * b.a),
+o AS (SELECT * FROM b ANTI JOIN d USING (lang, phrase)),
+q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN t USING (lang) WHERE rank <= 2000
+"""
