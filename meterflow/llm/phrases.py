@@ -31,11 +31,11 @@ from meterflow.session import ship_package
 
 MAX_WORDS, LEAST, CONTAINED, TOP = 3, 10, 50, 2000
 #: Parts that are ranked; ranks in a tile's side; pairs of one block from which a tile is counted densely; dense tiles held at a time.
-RANKED, SIDE, DENSE, TILES = 1 << 16, 256, 1 << 13, 256
+RANKED, SIDE, DENSE, TILES = 1 << 16, 256, 1 << 13, 128
 #: Bits of a bitmap, and bits of it in one row on its way to the driver.
 BITS, SLICE = 1 << 25, 1 << 15
 #: Bytes of text that are worked on at a time.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 UNKNOWN = "und"
 
 BREAK = ~W.byte_class(without=b".,;:!?\n\x0b\x0c\r")
@@ -175,7 +175,15 @@ class Ranks:
 
     @classmethod
     def of(cls, frequent: DataFrame, length: int) -> Ranks:
-        top = frequent.orderBy(F.desc("n"), *_keys(length)).limit(RANKED).select(*_keys(length)).collect()
+        """At most ``RANKED`` parts: those from a count on, which a histogram in steps of a sixteenth of an octave gives."""
+        step = F.floor(F.log2("n") * 16)
+        room, least = RANKED, None
+        for at, parts in sorted(frequent.groupBy(step.alias("at")).agg(F.count("*").alias("parts")).collect(), reverse=True):
+            if parts > room:
+                break
+            room, least = room - parts, at
+        top = [] if least is None else frequent.where(step >= least).select("n", *_keys(length)).collect()
+        top = [r[1:] for r in sorted(top, key=lambda r: (-r[0], *r[1:]))]
         keys = [np.array([r[i] for r in top], dtype=np.int64).view(np.uint64) for i in range(length)]
         hashes = _hashes_of(keys) if top else np.zeros(0, dtype=np.uint64)
         order = np.argsort(hashes, kind="stable")
