@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,14 +26,48 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that columns have already, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+#: Paths of intermediate tables, by the innermost ``own_tables`` that is open.
+_OWN: list[list[str]] = []
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: computed once, kept when executors are lost."""
     spark = frame.sparkSession
     path = scratch_path(spark, name)
+    if _OWN:
+        _OWN[-1].append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables that are written inside, once all that reads them has been computed."""
+    _OWN.append([])
+    try:
+        yield
+    finally:
+        for path in _OWN.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this run on whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def added_in_arrow(docs: DataFrame, reads: list[str], fields: list[T.StructField], compute: Callable[..., list], keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all, if not given) and new ones that ``compute`` makes from Arrow columns of each batch.
 

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterflow.llm import words as W
-from meterflow.llm.common import added_in_arrow, text_or_empty, written
+from meterflow.llm.common import added_in_arrow, text_or_empty, unused, written
 from meterflow.session import ship_package
 
 WINDOW = 10
 #: Up to so many bytes of benchmark text are broadcast as an index; a larger benchmark is joined by window hash instead.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 2 << 20
 
 FIELDS = [
     T.StructField("n_words", T.LongType()),
@@ -162,7 +162,7 @@ def find_hits(
 
 
 def _document_windows(docs: DataFrame, id_col: str, text_col: str, lengths: list[int]) -> DataFrame:
-    """``id``, ``length``, ``hash`` of the distinct windows of each document."""
+    """``id``, ``check`` (hash of the text), ``length``, ``hash`` of the distinct windows of each document."""
 
     def run(batches):
         for batch in batches:
@@ -175,12 +175,13 @@ def _document_windows(docs: DataFrame, id_col: str, text_col: str, lengths: list
                 for length in lengths:
                     runs = W.run_hashes(values, length)
                     good = np.flatnonzero(row_of[: len(runs)] == row_of[length - 1 :][: len(runs)])
-                    ids = batch.column(0).take(pa.array(row_of[good] + i))
-                    arrays = [ids, pa.array(np.full(len(good), length, dtype=np.int32)), pa.array(runs[good].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["id", "length", "hash"])
+                    at = pa.array(row_of[good] + i)
+                    arrays = [batch.column(0).take(at), batch.column(2).take(at), pa.array(np.full(len(good), length, dtype=np.int32)), pa.array(runs[good].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["id", "check", "length", "hash"])
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    schema = T.StructType([rows.schema["id"], T.StructField("length", T.IntegerType()), T.StructField("hash", T.LongType())])
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("check"))
+    schema = T.StructType([rows.schema["id"], rows.schema["check"], T.StructField("length", T.IntegerType()), T.StructField("hash", T.LongType())])
     return rows.mapInArrow(run, schema).distinct()
 
 
@@ -190,8 +191,10 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     known = windows.select("length", "hash").distinct()
     held = _document_windows(docs, id_col, text_col, lengths).join(known, ["length", "hash"], "left_semi")
     entry = F.struct("item", "length", "hash", "words")
-    shared = held.join(windows, ["length", "hash"]).groupBy(F.col("id").alias("_of")).agg(F.collect_list(entry).alias("_windows"))
-    rows = docs.join(shared, F.col(id_col).eqNullSafe(F.col("_of")), "left").drop("_of")
+    of, same, found = unused([*docs.columns, *[f.name for f in FIELDS]], "of", "same", "found")
+    shared = held.join(windows, ["length", "hash"]).groupBy(F.col("id").alias(of), F.col("check").alias(same)).agg(F.collect_list(entry).alias(found))
+    on = F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text_or_empty(text_col)) == F.col(same))
+    rows = docs.join(shared.hint("merge"), on, "left").drop(of, same)
 
     def compute(column: pa.Array, lists: pa.Array) -> list[pa.Array]:
         data, offsets = W.text_bytes(column)
@@ -201,7 +204,7 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
             scan(data[offsets[row] : offsets[row + 1]], np.array([0, offsets[row + 1] - offsets[row]]), index, out)
         return _arrays(out)
 
-    return added_in_arrow(rows, [text_col, "_windows"], FIELDS, compute, keep or docs.columns)
+    return added_in_arrow(rows, [text_col, found], FIELDS, compute, keep or docs.columns)
 
 
 def decontaminate(

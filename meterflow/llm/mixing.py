@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import WORD, text_or_empty, written
+from meterflow.llm.common import WORD, text_or_empty, unused, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -143,7 +143,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = ["id", "source", "check"]
     rows = mix_sources(docs, id_col, text_col, source_col, **options).groupBy(*same)
     rows = rows.agg(F.first("size").alias("size"), F.floor(F.sum("taken") / F.count("*")).alias("taken"), F.min("offset").alias("offset"))
-    rows = rows.where(F.col("taken") > 0).select(*[F.col(c).alias(f"_{c}") for c in same], "size", "taken", "offset")
     base = docs.drop("size", "taken", "offset")
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.xxhash64(text_col) == F.col("_check"))
-    return base.join(rows, on).drop(*[f"_{c}" for c in same])
+    names = unused([*base.columns, "size", "taken", "offset"], *same)
+    rows = rows.where(F.col("taken") > 0).select(*[F.col(c).alias(n) for c, n in zip(same, names, strict=True)], "size", "taken", "offset")
+    on = F.col(id_col).eqNullSafe(F.col(names[0])) & F.col(source_col).eqNullSafe(F.col(names[1])) & (F.xxhash64(text_col) == F.col(names[2]))
+    return base.join(rows.hint("merge"), on).drop(*names)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterflow.llm import words as W
-from meterflow.llm.common import added_in_arrow, text_or_empty, written
+from meterflow.llm.common import added_in_arrow, text_or_empty, unused, written
 from meterflow.session import ship_package
 
 SHINGLE = 5
@@ -64,15 +64,16 @@ def _sketches(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.nd
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id``, ``n_shingles``, set digests and signature of every document, from its whole text."""
+    """``id``, ``check`` (hash of the text), ``n_shingles``, set digests and signature of every document, from its whole text."""
 
     def compute(column: pa.Array) -> list[pa.Array]:
         data, offsets = W.text_bytes(column)
         parts = [_sketches(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle) for i, j in W.groups_of(offsets)]
         return [pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.int64)) for k in range(len(SKETCH))]
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return added_in_arrow(rows, ["text"], SKETCH, compute, ["id"])
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("check"), text.alias("text"))
+    return added_in_arrow(rows, ["text"], SKETCH, compute, ["id", "check"])
 
 
 def index_keys() -> Column:
@@ -224,19 +225,25 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similarity: int, shingle: int) -> DataFrame:
-    """``id``, ``component`` of all linked nodes (documents with different sets) but the smallest of each component."""
+    """``id``, ``component`` of all linked nodes but the smallest of each component.
+
+    A node is a shingle set: ``id`` its number, ``of`` and ``check`` name the document, and of this the text, that has it.
+    """
     keyed = nodes.select("id", F.posexplode(index_keys()).alias("slot", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > 1)
     entries = written(keyed.join(shared, "key").select("key", "slot", "id", (F.col("members") > CROWDED).alias("crowded")), "entries")
 
-    wanted = entries.groupBy(F.col("id").alias("_of")).agg(F.max("crowded").alias("crowded"))
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    texts = written(rows.join(wanted, F.col("id") == F.col("_of")).drop("_of"), "texts")
+    wanted = entries.groupBy("id").agg(F.max("crowded").alias("crowded"))
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("of"), F.xxhash64(text).alias("check"), text.alias("text"))
+    places = wanted.join(nodes.select("id", "of", "check"), "id")
+    # the list grows with the corpus: a sort-merge join whatever its size
+    texts = written(rows.join(places.hint("merge"), ["of", "check"]).select("id", "text", "crowded"), "texts")
 
     crowd = texts.where("crowded").groupBy("id").agg(F.first("text").alias("text"))
     own = own_shingles(crowd, shingle)
-    bounded = nodes.join(own, "id", "left").withColumn("shareable", F.col("n_shingles") - F.coalesce("own", F.lit(0).cast("long"))).drop("own")
-    bounded = written(bounded.join(wanted.select(F.col("_of").alias("id")), "id"), "bounded")
+    bounded = nodes.drop("of", "check").join(own, "id", "left").withColumn("shareable", F.col("n_shingles") - F.coalesce("own", F.lit(0).cast("long"))).drop("own")
+    bounded = written(bounded.join(wanted.select("id"), "id"), "bounded")
 
     hopeful = F.col("shareable") * 100 >= F.col("n_shingles") * similarity
     sizes = bounded.select("id", "n_shingles", "shareable")
@@ -285,21 +292,38 @@ def link_documents(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
     return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
 
 
+def links_of_one_document(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a``, ``b``: the sets that texts of one identifier have, each linked with the first of them."""
+    ends = [f(c).alias(f"{name}_{c}") for c in ("set1", "set2") for name, f in (("low", F.min), ("high", F.max))]
+    several = rows.groupBy("id").agg(*ends).where((F.col("low_set1") != F.col("high_set1")) | (F.col("low_set2") != F.col("high_set2"))).select("id")
+    held = rows.select("id", "set1", "set2").join(several, "id").distinct().withColumnRenamed("id", "doc").join(sets.select("set1", "set2", "id"), ["set1", "set2"])
+    held = written(held.select("doc", "id"), "several-texts")
+    first = held.groupBy("doc").agg(F.min("id").alias("b"))
+    return held.join(first, "doc").where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents whose sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity`` per cent are
     linked; ``component_id`` is the smallest identifier reachable. Null and empty texts, and texts without words, have no shingles and are
     linked with nothing; a text with fewer words is its own single shingle. Rows that share an identifier are one document: links of
-    one text are links of all. A row without identifier stays alone: its ``component_id`` is null. An empty table gives an empty result.
+    one of its texts are links of all its texts with words. A row without identifier stays alone: its ``component_id`` is null. An empty table gives an empty result.
     Of pairs at the threshold itself the signatures let one in fifty million pass by; all pairs within ``DISTANCE`` are found.
     """
     rows = written(sketches(docs, id_col, text_col, shingle), "sketches")
     first = [F.first(c).alias(c) for c in ("n_shingles", *SIGNATURE)]
     real = rows.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    sets = written(real.groupBy("set1", "set2").agg(F.min("id").alias("id"), *first), "sets")
-    linked = link_documents(docs, sets.drop("set1", "set2").dropDuplicates(["id"]), id_col, text_col, similarity, shingle)
-    named = sets.select("set1", "set2", "id").join(linked, "id", "left").select("set1", "set2", F.coalesce("component", "id").alias("component"))
+    sets = real.groupBy("set1", "set2").agg(F.min("id").alias("of"), F.min_by("check", "id").alias("check"), *first)
+    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    linked = link_documents(docs, sets.drop("set1", "set2"), id_col, text_col, similarity, shingle)
+    own = links_of_one_document(real, sets)
+    if not own.isEmpty():
+        linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(own))
+    linked = written(linked, "linked")
+    members = linked.union(linked.select("component", "component").distinct()).toDF("id", "component")
+    smallest = members.join(sets.select("id", "of"), "id").groupBy("component").agg(F.min("of").alias("smallest"))
+    named = sets.select("set1", "set2", "id", "of").join(members.join(smallest, "component"), "id", "left").select("set1", "set2", F.coalesce("smallest", "of").alias("component"))
     known = rows.where(F.col("id").isNotNull()).join(named, ["set1", "set2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     out = known.select("id", "n_shingles", own.alias("component_id"))
@@ -309,5 +333,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The documents without those that are linked, directly or over others, with one of a smaller identifier."""
-    gone = near_duplicates(docs, id_col, text_col, similarity, shingle).where(~F.col("kept")).select(F.col("id").alias("_near_copy")).distinct()
-    return docs.join(written(gone, "near-copies"), F.col(id_col) == F.col("_near_copy"), "left_anti")
+    (name,) = unused(docs.columns, "near_copy")
+    gone = near_duplicates(docs, id_col, text_col, similarity, shingle).where(~F.col("kept")).select(F.col("id").alias(name)).distinct()
+    return docs.join(written(gone, "near-copies").hint("merge"), F.col(id_col) == F.col(name), "left_anti")

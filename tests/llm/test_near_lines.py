@@ -4,6 +4,7 @@ import hashlib
 import random
 
 from helpers import frame, prose, rows_of
+from pyspark.sql import functions as F
 
 from meterflow.llm import lines, neardup
 
@@ -79,6 +80,41 @@ def test_near_edges(spark):
     assert kept.count() == 5 and "id" in kept.columns
 
 
+def test_texts_of_one_identifier_are_one_document(spark):
+    a, b = prose(80, 21), prose(80, 22)
+    a2, b2 = a + " more", b + " more"
+    found = lambda texts: sorted((r.id, r.component_id) for r in neardup.near_duplicates(frame(spark, texts)).collect())
+    assert found([(1, a), (1, b), (2, a2), (3, b2), (4, "")]) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    assert found([(5, a), (5, b), (2, a2), (3, b2), (9, a)]) == [(2, 2), (3, 2), (5, 2), (5, 2), (9, 2)]
+    assert found([(7, a), (7, b), (7, ""), (8, b2 + " x"), (6, b2)]) == [(6, 6), (7, 6), (7, 6), (7, 7), (8, 6)]
+
+
+def test_columns_in_the_way(spark):
+    docs = frame(spark, [(1, prose(60, 1)), (2, prose(60, 1)), (3, prose(60, 2))])
+    names = "of _of near_copy _near_copy none _none parts remains lines cut held start id check n_lines n_removed_lines".split()
+    more = docs.select("*", *[F.lit(7).alias(n) for n in names])
+    for left in (neardup.dedup_near(more), lines.without_repeats(more)):
+        assert left.columns == more.columns and sorted(r.doc_id for r in left.where("none = 7 and n_lines = 7").collect()) == [1, 3]
+    assert lines.dedup_lines(more).count() == 3
+
+
+def test_many_rows_without_identifier(spark):
+    body = "\n".join(prose(12, k) for k in range(6))
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("own "), (F.col("id") % 50_000).cast("string")).alias("text"))
+    named = spark.createDataFrame([(1, body), (None, body)], "doc_id long, text string")
+    left = lines.without_repeats(rows.union(named), chars_col="none_such")
+    assert left.count() == 100_001 and left.where(F.col("text") == body).first().doc_id == 1
+
+
+def test_copies_with_edits_stay_whole_and_others_are_cut(spark):
+    body = [prose(9, 600 + k) for k in range(12)]
+    near, quoting, short = [*body[:5], body[5] + " edited", *body[6:]], [prose(9, 700 + k) for k in range(12)] + body, "four words are here"
+    texts = [(1, "\n".join(body)), (2, "\n".join(near)), (3, "\n".join(quoting)), (4, "\n".join(body)), (5, short), (6, short), (7, ""), (8, None)]
+    left = {r.doc_id: (r.text, r.n_chars) for r in lines.without_repeats(frame(spark, texts)).collect()}
+    own = "\n".join(quoting[:12])
+    assert left == {1: (texts[0][1], len(texts[0][1])), 2: (texts[1][1], len(texts[1][1])), 3: (own, len(own)), 5: (short, len(short)), 7: ("", 0), 8: (None, None)}
+
+
 def test_index_holds_every_pair_within_the_distance():
     """Any two signatures of 32 values that differ in at most DISTANCE have a chunk with at most one difference."""
     assert neardup.DISTANCE < 2 * neardup.CHUNKS
