@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meterflow.llm import decontaminate, lines, mixing, neardup, quality
-from meterflow.llm.common import WORD, written
+from meterflow.llm.common import delete, own_tables
+from meterflow.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks and runs of lines go; a document of which no word is left goes as well. ``n_chars`` follows the text.
-
-    Near copies go first, by their whole texts: of them lines would leave fragments that the next stage could not recognise.
-    """
-    whole = written(neardup.dedup_near(docs), "whole-texts")
-    left = lines.dedup_lines(whole, run_words=lines.RUN_WORDS)
-    some = (F.col("n_removed_lines") == 0) | F.col("text").rlike(WORD)
-    chars = F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.where(some).withColumn("n_chars", chars).select(*docs.columns)
+    """Repeated chunks and runs of lines go; a document of which no word is left goes as well. ``n_chars`` follows the text."""
+    return lines.without_repeats(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """Every stage's result is written and read again; what a stage wrote besides, and the result it read, is deleted then."""
+    docs, at = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with own_tables(spark):
+            left = stage(spark, docs, sf_dir)
+            left.write.parquet(path)
+        if at:
+            delete(spark, at)
+        docs, at = spark.read.schema(left.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
