@@ -1,4 +1,4 @@
-"""The ordered computations: moving baseline, cooldown, paced dispatch, previous rows."""
+"""The ordered computations: moving baseline, paced dispatch, previous rows, runs and clusters."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 
+from meterflow.operators.cooldown import cooldown
 from meterflow.operators.segments import State, fold_segments
 
+__all__ = ["Baseline", "Cover", "Pacing", "Previous", "RowNumber", "Streak", "cooldown", "ewma_baseline", "paced", "with_previous", "with_streak"]
 
 NEGLIGIBLE = 1e-120
-STEPS_PER_ROW = 256
 
 
 def _affine_scan(gain: np.ndarray, shift: np.ndarray, entering: float) -> np.ndarray:
@@ -103,77 +105,6 @@ class Baseline:
         return out, [float(means[-1]), float(variances[-1]), float(seen_before[-1] + 1)]
 
 
-@dataclass
-class Cooldown:
-    """Rows that fire when the previous *fired* row of the key is far enough back.
-
-    From a given firing row the next one is found by binary search, so a run is a chain of jumps. Seen from an
-    earlier segment, a run is a step function from the incoming last firing time to the outgoing one; chains that
-    start in different rows soon meet, so few steps remain.
-    """
-
-    wait: int
-    strict: bool = False
-    time: str = "event_ms"
-    inputs: list[str] = field(init=False)
-    outputs = [("fired", "boolean")]
-    state_size = 1
-
-    def __post_init__(self):
-        self.inputs = [self.time]
-
-    def _side(self) -> str:
-        return "right" if self.strict else "left"
-
-    def effect(self, parts: Iterator[dict[str, np.ndarray]], whole: bool) -> Iterator[State]:
-        t = np.concatenate([p[self.time] for p in parts]).astype(np.int64)
-        rows, own = len(t), np.arange(len(t))
-        jump = np.maximum(np.searchsorted(t, t + self.wait, side=self._side()), own + 1)
-        # Rows nobody follows point to themselves, so squaring the jumps ends in each chain's last firing row.
-        final = np.where(jump < rows, jump, own)
-        while True:
-            further = final[final]
-            if np.array_equal(further, final):
-                break
-            final = further
-        # A last firing time before the segment is due at most one wait after its first row.
-        entries = min(int(np.searchsorted(t, t[0] + self.wait, side="right")) + 1, rows) if whole else 1
-        exits = t[final[:entries]]
-        keep = np.append(exits[1:] != exits[:-1], True)
-        pairs = np.stack([t[:entries][keep], exits[keep]], axis=1).astype(float)
-        for since in range(0, len(pairs), STEPS_PER_ROW):
-            yield pairs[since : since + STEPS_PER_ROW].ravel().tolist()
-
-    def follow(self, state: State | None, effects: Iterator[State]) -> State:
-        if state is None:
-            return [next(effects)[1]]
-        due = state[0] + self.wait
-        for steps in effects:
-            for entry, leaving in zip(steps[0::2], steps[1::2]):
-                if entry > due or (entry == due and not self.strict):
-                    return [leaving]
-        return list(state)
-
-    def scan(self, rows, starts, state):
-        t = rows[self.time].astype(np.int64)
-        fired = np.zeros(len(t), dtype=bool)
-        bounds = np.append(np.flatnonzero(starts), len(t))
-        last = None if state is None else int(state[0])
-        if bounds[0] > 0:
-            last = self._fire(t, fired, 0, int(bounds[0]), last)
-        for begin, end in zip(bounds[:-1], bounds[1:]):
-            last = self._fire(t, fired, int(begin), int(end), None)
-        return {"fired": fired}, [float(last)]
-
-    def _fire(self, t: np.ndarray, fired: np.ndarray, begin: int, end: int, last: int | None) -> int:
-        at = begin if last is None else begin + int(np.searchsorted(t[begin:end], last + self.wait, self._side()))
-        while at < end:
-            fired[at] = True
-            last = int(t[at])
-            at = max(at + 1, begin + int(np.searchsorted(t[begin:end], last + self.wait, self._side())))
-        return last
-
-
 @dataclass
 class Pacing:
     """Send times spaced by at least ``interval`` per destination: ``send = max(t, previous send + interval)``."""
@@ -248,7 +179,7 @@ class Previous:
         out = {}
         for i in range(1, self.depth + 1):
             shifted = padded[self.depth - i : self.depth - i + len(x)]
-            out[f"{self.column}_prev{i}"] = [v if r >= i else None for v, r in zip(shifted, room)]
+            out[f"{self.column}_prev{i}"] = pd.arrays.FloatingArray(shifted.copy(), room < i)
         tail_start = max(int(last_start[-1]), 0)
         tail = x[tail_start:] if last_start[-1] >= 0 else np.concatenate([earlier, x])
         return out, tail[-self.depth :].tolist()
@@ -279,6 +210,60 @@ class RowNumber:
         return {"row_number": number}, [float(number[-1] + 1)]
 
 
+@dataclass
+class Streak:
+    """How many rows in a row, up to each one, had an empty queue and a counter above the row's before.
+
+    Before the first row of a key the counter is 0. Only the first row of a run depends on what came before.
+    """
+
+    empty: str
+    counter: str
+    inputs: list[str] = field(init=False)
+    outputs = [("streak", "long")]
+    state_size = 2
+
+    def __post_init__(self):
+        self.inputs = [self.empty, self.counter]
+
+    @staticmethod
+    def _lengths(good: np.ndarray, starts: np.ndarray, entering: float) -> np.ndarray:
+        """Length of the run that ends in each row; ``entering`` is that of the row before the first."""
+        at = np.arange(len(good))
+        bad = np.maximum.accumulate(np.where(good, -1, at))
+        begun = np.maximum.accumulate(np.where(starts, at, -1))
+        since = np.maximum(bad, begun - 1)
+        return np.where(since >= 0, at - since, at + 1 + int(entering))
+
+    def effect(self, parts: Iterator[dict[str, np.ndarray]], whole: bool) -> Iterator[State]:
+        first, last, rows, run, unbroken = None, 0.0, 0, 0.0, True
+        for part in parts:
+            counter, empty = part[self.counter].astype(float), part[self.empty] == 0
+            good = empty & (counter > np.concatenate([[last], counter[:-1]]))
+            if first is None:
+                first = (float(counter[0]), float(empty[0]))
+                good[0] = True
+            run = float(self._lengths(good, np.zeros(len(good), dtype=bool), run)[-1])
+            unbroken, last, rows = unbroken and bool(good.all()), float(counter[-1]), rows + len(counter)
+        yield [*first, float(unbroken), run, rows, last]
+
+    def follow(self, state: State | None, effects: Iterator[State]) -> State:
+        counter, empty, unbroken, run, rows, last = next(effects)
+        before, streak = state or (0.0, 0.0)
+        if unbroken:
+            run = rows + streak if empty and counter > before else rows - 1
+        return [last, run]
+
+    def scan(self, rows, starts, state):
+        counter = rows[self.counter].astype(float)
+        last, streak = state or (0.0, 0.0)
+        before = np.concatenate([[last], counter[:-1]])
+        before[starts] = 0.0
+        good = (rows[self.empty] == 0) & (counter > before)
+        lengths = self._lengths(good, starts, streak)
+        return {"streak": lengths}, [float(counter[-1]), float(lengths[-1])]
+
+
 @dataclass
 class Cover:
     """Clusters of intervals ``[reach, reach + width]`` opened by rows of kind 0; rows of kind 1 fall inside or not.
@@ -339,8 +324,7 @@ class Cover:
         carried = np.isnan(latest) & (key_start < 0)
         latest[carried], cluster[carried] = last_open, last_cluster
         covered = reach - latest <= self.width
-        out = [c if ok else None for c, ok in zip(cluster, covered)]
-        return {"cluster": out}, [float(latest[-1]), float(cluster[-1])]
+        return {"cluster": pd.arrays.FloatingArray(cluster, ~covered)}, [float(latest[-1]), float(cluster[-1])]
 
 
 def ewma_baseline(
@@ -349,25 +333,16 @@ def ewma_baseline(
     return fold_segments(df, keys, order, Baseline(alpha, value), partitions)
 
 
-def cooldown(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    wait_ms: int,
-    strict: bool = False,
-    time: str = "event_ms",
-    partitions: int | None = None,
-) -> DataFrame:
-    """``order`` must start with ``time``. A row fires at exactly ``wait_ms`` unless ``strict``."""
-    return fold_segments(df, keys, order, Cooldown(wait_ms, strict, time), partitions)
-
-
 def paced(
     df: DataFrame, keys: list[str], order: list[str], interval_ms: int, time: str = "event_ms", partitions: int | None = None
 ) -> DataFrame:
     return fold_segments(df, keys, order, Pacing(interval_ms, time), partitions)
 
 
+def with_streak(df: DataFrame, keys: list[str], order: list[str], empty: str, counter: str, partitions: int | None = None) -> DataFrame:
+    return fold_segments(df, keys, order, Streak(empty, counter), partitions)
+
+
 def with_previous(
     df: DataFrame, keys: list[str], order: list[str], column: str, depth: int = 1, partitions: int | None = None
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from meterflow.operators.folds import Cover, RowNumber
 from meterflow.operators.segments import fold_segments
 from meterflow.schemas import DEVICE
-from meterflow.session import shared_dir, ship_package
+from meterflow.session import scratch_path, ship_package
 
 
 def nearest_first(spikes: DataFrame, alerts: DataFrame, tolerance_s: float) -> DataFrame:
@@ -46,6 +48,8 @@ def nearest_first(spikes: DataFrame, alerts: DataFrame, tolerance_s: float) -> D
     return around.select("spike_id", *DEVICE, "ts", nearest.alias("nearest_alert_ts"))
 
 
+#: A round that settles less than this part of the spikes is the last before pieces are tried again.
+FEW = 8
 _MATCH = "spike_id long, alert_id long, spike_ts double, alert_ts double, core boolean, band boolean"
 
 
@@ -119,6 +123,77 @@ def _pieces(clustered: DataFrame, length_s: float, halo_s: float, tolerance_s: f
     return placed.withColumn("core", core).withColumn("band", ~core & (away <= 2 * tolerance_s))
 
 
+def _stored(frame: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def nearest_free(spikes: DataFrame, alerts: DataFrame, tolerance_s: float) -> DataFrame:
+    """Each spike with ``alert_id``, ``alert_ts`` of the closest alert of its device within the tolerance; of equally close ones the first in the log.
+
+    As in ``nearest_first`` no pairs are formed: windows look inside a bucket, and the last or first alert of a neighbour bucket is joined.
+    """
+    bucket = F.floor(F.col("ts") / tolerance_s).alias("bucket")
+    late, early = F.struct("ts", (-F.col("alert_id")).alias("id")), F.struct("ts", F.col("alert_id").alias("id"))
+    edges = alerts.select(*DEVICE, "ts", "alert_id", bucket).groupBy(*DEVICE, "bucket").agg(F.min(early).alias("head"), F.max(late).alias("tail"))
+    none = F.lit(None).cast("long")
+    points = spikes.select(*DEVICE, bucket, "ts", "spike_id", none.alias("alert_id")).unionByName(
+        alerts.select(*DEVICE, bucket, "ts", none.alias("spike_id"), "alert_id")
+    )
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    is_alert = F.col("alert_id").isNotNull()
+    forwards = Window.partitionBy(*DEVICE, "bucket").orderBy("ts").rangeBetween(*so_far)
+    backwards = Window.partitionBy(*DEVICE, "bucket").orderBy(F.desc("ts")).rangeBetween(*so_far)
+    inside = points.select(
+        "*", F.max(F.when(is_alert, late)).over(forwards).alias("before"), F.min(F.when(is_alert, early)).over(backwards).alias("after")
+    ).where(F.col("spike_id").isNotNull())
+    keys = [*DEVICE, "bucket"]
+    earlier = edges.select(*DEVICE, (F.col("bucket") + 1).alias("bucket"), F.col("tail").alias("_before"))
+    later = edges.select(*DEVICE, (F.col("bucket") - 1).alias("bucket"), F.col("head").alias("_after"))
+    around = inside.join(earlier, keys, "left").join(later, keys, "left")
+    before, after = F.coalesce("before", "_before"), F.coalesce("after", "_after")
+    back, ahead = F.col("ts") - before["ts"], after["ts"] - F.col("ts")
+    options = F.array(
+        F.when(back <= tolerance_s, F.struct(back.alias("away"), (-before["id"]).alias("id"), before["ts"].alias("at"))),
+        F.when(ahead <= tolerance_s, F.struct(ahead.alias("away"), after["id"].alias("id"), after["ts"].alias("at"))),
+    )
+    found = around.withColumn("_best", F.array_min(F.filter(options, lambda o: o.isNotNull())))
+    return found.select("spike_id", *DEVICE, "ts", F.col("_best.id").alias("alert_id"), F.col("_best.at").alias("alert_ts"))
+
+
+def least_label_in_reach(spikes: DataFrame, alerts: DataFrame, tolerance_s: float) -> DataFrame:
+    """``alert_id`` and ``least``: the smallest label of the device's spikes within the tolerance of each alert.
+
+    The reach of an alert, twice the tolerance long, covers the end of one bucket of that length and the beginning of the next: two running
+    minima, whatever the number of spikes in it.
+    """
+    width, slack = 2 * tolerance_s, 1e-6
+    none = F.lit(None).cast("long")
+
+    def running(probe: Column, order: Column) -> DataFrame:
+        points = spikes.select(*DEVICE, F.floor(F.col("ts") / width).alias("bucket"), F.col("ts").alias("at"), "spike_id", none.alias("alert_id"))
+        probes = alerts.select(*DEVICE, F.floor(probe / width).alias("bucket"), probe.alias("at"), none.alias("spike_id"), "alert_id")
+        over = Window.partitionBy(*DEVICE, "bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return points.unionByName(probes).withColumn("least", F.min("spike_id").over(over)).where(F.col("alert_id").isNotNull()).select("alert_id", "least")
+
+    start = running(F.col("ts") - tolerance_s - slack, F.desc("at"))
+    end = running(F.col("ts") + tolerance_s + slack, F.asc("at"))
+    return start.unionByName(end).groupBy("alert_id").agg(F.min("least").alias("least"))
+
+
+def settle_round(spikes: DataFrame, alerts: DataFrame, tolerance_s: float) -> DataFrame:
+    """The spikes whose choice is final, with ``alert_id`` and ``alert_ts`` (null for those that no free alert is in reach of).
+
+    A spike takes its closest free alert for certain if no free spike of a smaller label can reach that alert: nobody who chooses earlier
+    can take it, and nothing closer can become free. The smallest label of all is always settled.
+    """
+    near = nearest_free(spikes, alerts, tolerance_s)
+    contested = near.join(least_label_in_reach(spikes, alerts, tolerance_s), "alert_id", "left")
+    final = F.col("alert_id").isNull() | (F.col("least") >= F.col("spike_id"))
+    return contested.where(final).select("spike_id", *DEVICE, "ts", "alert_id", "alert_ts")
+
+
 def match_alerts(
     spikes: DataFrame,
     alerts: DataFrame,
@@ -138,12 +213,13 @@ def match_alerts(
 
     A long cluster is matched in overlapping pieces. Only spikes within twice the tolerance compete for an alert, so
     if a piece and its neighbours agree on the spikes around their border, every spike has seen its competitors
-    decide as they finally do, and the pieces together are the exact answer. If some disagree, the overlap was too
-    short, and all is matched again with longer pieces; in the end a piece holds a whole cluster.
+    decide as they finally do, and the pieces together are the exact answer; that is so where labels run with time. Clusters whose
+    pieces disagree go through rounds of window functions (``settle_round``), each of which settles every spike that nobody with a smaller label
+    can harm: with labels in any other order that is a good part of them each time, and what is left falls into smaller clusters. When a round
+    settles few, these are tried in pieces again. Settled clusters and spikes are never looked at again, and no group grows beyond a piece with its overlap.
     """
     spark = spikes.sparkSession
     ship_package(spark)
-    shared_dir(spark)
     # A border must show all competitors, and only direct neighbours lend points.
     halo_s = max(halo_s or 20 * tolerance_s, 2 * tolerance_s)
     piece_s = max(piece_s or 80 * tolerance_s, halo_s)
@@ -151,37 +227,53 @@ def match_alerts(
     columns = [*DEVICE, "spike_id", "alert_id", "spike_ts", "alert_ts"]
     dated = alerts.where(F.col("ts").isNotNull())
     undated = alerts.where(F.col("ts").isNull())
-    extra = None
+    results: list[DataFrame] = []
     if not undated.isEmpty():
         ranked_spikes = _numbered(spikes, "spike_id", partitions)
         ranked_alerts = _numbered(undated, "alert_id", partitions).select(*DEVICE, "row_number", "alert_id")
         paired = ranked_spikes.join(ranked_alerts, [*DEVICE, "row_number"], "full").select(
             *DEVICE, "spike_id", "alert_id", F.col("ts").alias("spike_ts"), none_double.alias("alert_ts")
         )
-        extra = paired.where(F.col("alert_id").isNotNull())
+        results.append(paired.where(F.col("alert_id").isNotNull()))
         spikes = paired.where(F.col("alert_id").isNull()).select("spike_id", *DEVICE, F.col("spike_ts").alias("ts"))
-    points = spikes.select(
-        *DEVICE, (F.col("ts") - tolerance_s).alias("reach"), F.lit(0).alias("kind"), "ts", "spike_id", none_long.alias("alert_id")
-    ).unionByName(
-        dated.select(*DEVICE, F.col("ts").alias("reach"), F.lit(1).alias("kind"), "ts", none_long.alias("spike_id"), "alert_id")
-    )
-    cover = Cover(width=2 * tolerance_s + 1e-6)
-    clustered = fold_segments(points, DEVICE, ["reach", "kind", "spike_id", "alert_id"], cover, partitions)
-    inside = clustered.where(F.col("cluster").isNotNull())
-    outside = clustered.where(F.col("cluster").isNull()).select(
-        *DEVICE, "spike_id", "alert_id", none_double.alias("spike_ts"), F.col("ts").alias("alert_ts")
-    )
-    schema = ", ".join(f"{k} int" for k in DEVICE) + ", " + _MATCH
+    free_spikes, free_alerts = spikes.select("spike_id", *DEVICE, "ts"), dated.select("alert_id", *DEVICE, "ts")
+    schema = ", ".join(f"{k} int" for k in DEVICE) + ", " + _MATCH + ", cluster double"
     while True:
+        points = free_spikes.select(
+            *DEVICE, (F.col("ts") - tolerance_s).alias("reach"), F.lit(0).alias("kind"), "ts", "spike_id", none_long.alias("alert_id")
+        ).unionByName(
+            free_alerts.select(*DEVICE, F.col("ts").alias("reach"), F.lit(1).alias("kind"), "ts", none_long.alias("spike_id"), "alert_id")
+        )
+        cover = Cover(width=2 * tolerance_s + 1e-6)
+        clustered = fold_segments(points, DEVICE, ["reach", "kind", "spike_id", "alert_id"], cover, partitions)
+        results.append(clustered.where(F.col("cluster").isNull()).select(*DEVICE, "spike_id", "alert_id", none_double.alias("spike_ts"), F.col("ts").alias("alert_ts")))
+        inside = clustered.where(F.col("cluster").isNotNull())
         groups = _pieces(inside, piece_s, halo_s, tolerance_s).groupBy(*DEVICE, "cluster", "piece")
-        matched = groups.applyInPandas(_with_device(_greedy(tolerance_s)), schema).checkpoint()
+        matched = _stored(groups.applyInPandas(_with_device(_greedy(tolerance_s)), schema), "matched")
         decided = matched.where(F.col("core") & F.col("spike_id").isNotNull()).select("spike_id", F.col("alert_id").alias("_final"))
-        seen = matched.where("band").select("spike_id", "alert_id")
-        if seen.join(decided, "spike_id").where(~F.col("alert_id").eqNullSafe(F.col("_final"))).isEmpty():
+        seen = matched.where("band").select(*DEVICE, "cluster", "spike_id", "alert_id")
+        torn = seen.join(decided, "spike_id").where(~F.col("alert_id").eqNullSafe(F.col("_final"))).select(*DEVICE, "cluster").distinct()
+        core = matched.where("core")
+        if torn.isEmpty():
+            results.append(core.select(*columns))
             break
-        piece_s, halo_s = 4 * piece_s, 4 * halo_s
-    result = matched.where("core").select(*columns).unionByName(outside)
-    return result if extra is None else result.unionByName(extra.select(*columns))
+        torn = _stored(torn, "torn")
+        results.append(core.join(torn, [*DEVICE, "cluster"], "left_anti").select(*columns))
+        left = core.join(torn, [*DEVICE, "cluster"], "left_semi")
+        free_spikes = left.where(F.col("spike_id").isNotNull()).select("spike_id", *DEVICE, F.col("spike_ts").alias("ts"))
+        # an alert is on a spike's row if that piece gave it away, and on its own if not
+        open_alerts = dated.select("alert_id", *DEVICE, "ts").join(inside.join(torn, [*DEVICE, "cluster"], "left_semi").where("kind = 1").select("alert_id"), "alert_id", "left_semi")
+        free_spikes, free_alerts = _stored(free_spikes, "free-spikes"), _stored(open_alerts, "free-alerts")
+        waiting = free_spikes.count()
+        while waiting:
+            settled = _stored(settle_round(free_spikes, free_alerts, tolerance_s), "settled")
+            results.append(settled.select(*DEVICE, "spike_id", "alert_id", F.col("ts").alias("spike_ts"), "alert_ts"))
+            free_spikes = _stored(free_spikes.join(settled.select("spike_id"), "spike_id", "left_anti"), "free-spikes")
+            free_alerts = _stored(free_alerts.join(settled.select("alert_id"), "alert_id", "left_anti"), "free-alerts")
+            before, waiting = waiting, free_spikes.count()
+            if before - waiting < before / FEW:
+                break
+    return reduce(DataFrame.unionByName, results)
 
 
 def _with_device(match):
@@ -189,7 +281,7 @@ def _with_device(match):
         out = match(rows)
         for i, name in enumerate(DEVICE):
             out.insert(i, name, int(key[i]))
-        return out
+        return out.assign(cluster=float(key[len(DEVICE)]))
 
     return run
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from meterflow.functions.slices import epoch_seconds, gateway_of, int_div
 from meterflow.functions.text import arrow_pct, format_number, parse_size, percent_change, rounded
-from meterflow.operators.folds import Baseline, with_previous
-from meterflow.operators.segments import exact_percentiles, fold_segments
+from meterflow.operators.folds import Baseline, with_streak
+from meterflow.operators.ranks import exact_percentiles
+from meterflow.operators.segments import fold_segments
 from meterflow.schemas import DEVICE, SLICE
-from meterflow.session import scratch_path
 
 MAX_LATENCY_MS = 3_600_000
 IDLE_SECONDS = 15
@@ -104,26 +104,22 @@ def wan_rate(joined: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return ends.select(*keys, F.when(F.col("points") >= 2, kilobytes / minutes).alias("kb_per_min"))
 
 
-def segment_percentiles(joined: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+def segment_percentiles(joined: DataFrame, keys: list[str]) -> DataFrame:
     """Capacity and latency percentiles per step, largest values and number of samples.
 
-    The samples are read once: counts per step, series and value are written down, and ranks, largest values and numbers of
-    samples all come from those.
+    Ranks, largest values and numbers of samples all come from counts per step, series and value.
     """
     series = ("cap", "lat", "gwcap")
     long = joined.select(
         *keys, F.explode(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("sample")) for c in series])).alias("_s")
     )
     counts = long.select(*keys, "_s.*").groupBy(*keys, "series", "sample").agg(F.count("*").alias("n"))
-    path = scratch_path(joined.sparkSession, "sample-counts")
-    counts.write.parquet(path)
-    counts = joined.sparkSession.read.schema(counts.schema).parquet(path)
     tops = counts.groupBy(*keys).agg(
         *[F.max(F.when(F.col("series") == c, F.col("sample"))).alias(f"{c}_max") for c in series],
         F.sum(F.when(F.col("series") == "cap", F.col("n"))).alias("n_samples"),
     )
     ranked = counts.where(F.col("series") != "gwcap")
-    levels = exact_percentiles(ranked, [*keys, "series"], "sample", [0.5, 0.95], partitions, weight="n")
+    levels = exact_percentiles(ranked, [*keys, "series"], "sample", [0.5, 0.95], weight="n")
     wide = levels.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("series") == c, F.col(f"sample_{p}"))).alias(f"{c}_{p}")
@@ -277,14 +273,9 @@ def source_totals(latest: DataFrame) -> DataFrame:
 
 def stable_run(samples: DataFrame, key: str, needed: int = 3, partitions: int | None = None) -> DataFrame:
     """First time per key that ``needed`` samples in a row had an empty queue and a growing counter."""
-    ordered = with_previous(samples, [key], ["epoch", "tuples"], "tuples", 1, partitions)
-    good = (F.col("queue_size") == 0) & (F.col("tuples") > F.coalesce("tuples_prev1", F.lit(0.0)))
-    flags = ordered.select(key, "epoch", "tuples", good.cast("double").alias("good"))
-    flagged = with_previous(flags, [key], ["epoch", "tuples"], "good", needed - 1, partitions)
-    run = F.col("good") == 1
-    for i in range(1, needed):
-        run = run & (F.col(f"good_prev{i}") == 1)
-    return flagged.where(run).groupBy(key).agg(F.min("epoch").alias("stable_at"))
+    rows = samples.select(key, "epoch", "tuples", "queue_size")
+    runs = with_streak(rows, [key], ["epoch", "tuples"], "queue_size", "tuples", partitions)
+    return runs.where(F.col("streak") >= needed).groupBy(key).agg(F.min("epoch").alias("stable_at"))
 
 
 def outage_report(samples: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,8 +11,11 @@ size deserves, and the fold runs in two parallel scans over the sorted segments:
 Only the first key of a segment can continue an earlier one, so one incoming state per segment is enough. Keys are
 compared as one text per row, made in the JVM with nulls written out, so that neither nulls nor the number types of a
 batch change what counts as the same key. The chain of step 2 runs per key: the segments of different keys are chained
-in different tasks. The sorted rows are checkpointed in between: both scans then see exactly the same segments, also
-after the loss of an executor.
+in different tasks.
+
+The sorted rows are written as Parquet in between, so both scans see the same segments, also after the loss of an executor, and the first
+one reads the key and the fold's inputs only. A segment is one file of one row group: whichever task reads it reads it whole and in order.
+Every row carries its place, from which the segment follows; a scan that does not begin a segment at its first place stops.
 """
 
 from __future__ import annotations
@@ -23,20 +26,23 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterflow.session import shared_dir, ship_package
+from meterflow.session import scratch_path, ship_package
 
+#: Rows of a segment, as a power of two, and bytes of a row group, more than the rows of a segment take.
+SEGMENT_BITS, ROW_GROUP = 20, 1 << 30
+PLACE = "_place"
 SEGMENT = "_segment"
 KEY = "_key"
 ENTERING = "_entering"
 STATE = "_state"
 
 State = list[float]
-_SUMMARY = f"{SEGMENT} int, {KEY} string, part int, whole boolean, effect array<double>"
-_CARRY = f"{SEGMENT} int, {STATE} array<double>"
+_SUMMARY = f"{SEGMENT} long, {KEY} string, part int, whole boolean, effect array<double>"
+_CARRY = f"{SEGMENT} long, {STATE} array<double>"
 
 
 class Fold(Protocol):
@@ -62,16 +68,13 @@ class Fold(Protocol):
 
 
 def ordered_segments(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
-    """Rows sorted by (keys, order), cut into checkpointed segments with their number recorded."""
-    shared_dir(df.sparkSession)
-    by = [*keys, *order]
+    """Rows sorted by (keys, order), written in segments, with their places."""
+    spark, by = df.sparkSession, [*keys, *order]
     ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
-    return (
-        ranged.sortWithinPartitions(*by)
-        .withColumn(SEGMENT, F.spark_partition_id())
-        .withColumn(KEY, key_text(keys))
-        .checkpoint()
-    )
+    rows = ranged.sortWithinPartitions(*by).withColumn(PLACE, F.monotonically_increasing_id()).withColumn(KEY, key_text(keys))
+    path = scratch_path(spark, "segments")
+    rows.write.option("maxRecordsPerFile", 1 << SEGMENT_BITS).option("parquet.block.size", ROW_GROUP).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def key_text(keys: list[str]) -> Column:
@@ -91,22 +94,36 @@ def _arrays(batch: pd.DataFrame, columns: list[str], since: int = 0) -> dict[str
     return {c: batch[c].to_numpy()[since:] for c in columns}
 
 
-def _summaries(fold: Fold):
+def _by_segment(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[tuple[int, bool, pd.DataFrame]]:
+    """Parts of batches that lie in one segment, with its number and whether they begin it."""
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        places = batch[PLACE].to_numpy()
+        cuts = np.flatnonzero(np.diff(places >> bits)) + 1
+        for begin, end in zip([0, *cuts], [*cuts, len(batch)]):
+            segment, first = int(places[begin] >> bits), int(places[begin])
+            if segment != last and first & ((1 << bits) - 1):
+                raise RuntimeError("a segment was read in parts: its rows take more than one row group")
+            yield segment, segment != last, batch.iloc[begin:end]
+            last = segment
+
+
+def _summaries(fold: Fold, bits: int):
     """For each segment a row (part -1) for its first key, which may continue an earlier segment, and the effects of its last key."""
 
     def row(segment: int, key: str, part: int, whole: bool, effect: State) -> pd.DataFrame:
         return pd.DataFrame({SEGMENT: [segment], KEY: [key], "part": [part], "whole": [whole], "effect": [[float(x) for x in effect]]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(segment: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = last = None
-        whole, segment, parts = True, None, []
+        whole, parts = True, []
         for batch in batches:
-            if not len(batch):
-                continue
             changes = np.flatnonzero(_key_changes(batch))
             head = batch[KEY].iat[0]
             if first is None:
-                first, segment = head, int(batch[SEGMENT].iat[0])
+                first = head
             elif head != last:
                 whole, parts = False, []
             since = 0
@@ -114,12 +131,14 @@ def _summaries(fold: Fold):
                 whole, parts, since = False, [], int(changes[-1])
             parts.append(_arrays(batch, fold.inputs, since))
             last = batch[KEY].iat[len(batch) - 1]
-        if first is None:
-            return
         yield row(segment, first, -1, whole, [])
         for part, effect in enumerate(fold.effect(iter(parts), whole)):
             yield row(segment, last, part, whole, effect)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for segment, parts in groupby(_by_segment(batches, bits), key=lambda part: part[0]):
+            yield from of(segment, (part[2] for part in parts))
+
     return run
 
 
@@ -151,15 +170,13 @@ def _with_first(first, rest):
     yield from rest
 
 
-def _scan(fold: Fold, kept: list[str]):
+def _scan(fold: Fold, kept: list[str], bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, last = None, None
-        for batch in batches:
-            if not len(batch):
-                continue
+        for _, begins, batch in _by_segment(batches, bits):
             starts = _key_changes(batch)
             head = batch[KEY].iat[0]
-            if last is None:
+            if begins:
                 known = int(batch[ENTERING].iat[0])
                 state = [float(batch[f"{STATE}{i}"].iat[0]) for i in range(known)] if known else None
             elif head != last:
@@ -182,8 +199,8 @@ def fold_segments(
     spark = df.sparkSession
     ship_package(spark)
     segments = ordered_segments(df, keys, order, partitions)
-    needed = list(dict.fromkeys([SEGMENT, KEY, *fold.inputs]))
-    summaries = segments.select(*needed).mapInPandas(_summaries(fold), _SUMMARY)
+    needed = list(dict.fromkeys([PLACE, KEY, *fold.inputs]))
+    summaries = segments.select(*needed).mapInPandas(_summaries(fold, SEGMENT_BITS), _SUMMARY)
     by_key = summaries.repartition(KEY).sortWithinPartitions(KEY, SEGMENT, "part")
     carry = by_key.mapInPandas(_chain(fold), _CARRY)
     # Plain columns: array columns are converted value by value on their way to Python.
@@ -192,50 +209,7 @@ def fold_segments(
     schema = T.StructType(list(df.schema.fields))
     for name, kind in fold.outputs:
         schema = schema.add(name, kind)
-    # At most one row per partition, so the broadcast is small whatever the data size.
-    known = segments.join(F.broadcast(carry.select(SEGMENT, *entering)), SEGMENT, "left")
-    return known.fillna(0, [ENTERING]).mapInPandas(_scan(fold, kept), schema)
-
-
-def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, levels: list[float], partitions: int | None = None, weight: str | None = None
-) -> DataFrame:
-    """Exact percentiles with linear interpolation, for groups of any size.
-
-    No group is gathered. Equal values are first counted, which a partial aggregation does before the shuffle, so a
-    value repeated in a third of all rows costs one row. The distinct values are range-sorted by (keys, value); the
-    weights per segment tell which segment holds each wanted rank, and only those segments are looked into. With
-    ``weight``, the rows are such counts already: one per key and value.
-    """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    if weight:
-        weighted = rows.select(*keys, value, F.col(weight).alias("_n"))
-    else:
-        weighted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    segments = ordered_segments(weighted, keys, [value], partitions)
-    # At most one row per (key, segment): a key can span no more segments than there are partitions.
-    weights = segments.groupBy(*keys, SEGMENT).agg(F.sum("_n").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    placed = weights.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).withColumn(
-        "_total", F.sum("_rows").over(Window.partitionBy(*keys))
-    )
-    exact = (F.col("_total") - 1) * F.col("_level")
-    wanted = (
-        placed.withColumn("_level", F.explode(F.array(*[F.lit(float(p)) for p in levels])))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(exact), F.ceil(exact)))))
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_rows")))
-        .select(*keys, SEGMENT, "_level", "_rank", (F.col("_rank") - F.col("_before")).alias("_at"), exact.alias("_exact"))
-    )
-    place = [*keys, SEGMENT]
-    inside = Window.partitionBy(*place).orderBy(value)
-    near = segments.join(wanted.select(*place).distinct(), place, "left_semi").withColumn("_upto", F.sum("_n").over(inside))
-    picked = near.join(wanted, place).where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_n")))
-    low, high = F.min(F.struct("_rank", value))[value], F.max(F.struct("_rank", value))[value]
-    share = F.max("_exact") - F.min("_rank")
-    per_level = picked.groupBy(*keys, "_level").agg((low + (high - low) * share).alias("_value"))
-    out = [F.max(F.when(F.col("_level") == float(p), F.col("_value"))).alias(percentile_name(value, p)) for p in levels]
-    return per_level.groupBy(*keys).agg(*out)
-
-
-def percentile_name(value: str, level: float) -> str:
-    return f"{value}_p{round(level * 100):d}"
+    # One row of a few numbers for each segment, that is for a million rows.
+    numbered = segments.withColumn(SEGMENT, F.shiftright(PLACE, SEGMENT_BITS))
+    known = numbered.join(F.broadcast(carry.select(SEGMENT, *entering)), SEGMENT, "left")
+    return known.fillna(0, [ENTERING]).mapInPandas(_scan(fold, kept, SEGMENT_BITS), schema)

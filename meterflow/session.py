@@ -34,6 +34,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """State of any size on disk, with changes uploaded per batch; ``transformWithState`` needs it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per application."""
     context = spark.sparkContext

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from meterflow.operators.folds import cooldown, ewma_baseline, paced, with_previous
-from meterflow.operators.segments import exact_percentiles
+from meterflow.operators.ranks import exact_percentiles
 
 
 def hot_frame(seed=1, rows=3000, spread=40_000):

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from meterflow.operators.matching import detection_scores, match_alerts, nearest_first
+from meterflow.operators.matching import detection_scores, match_alerts, nearest_first, settle_round
 
 
 def labelled(seed, n_spikes, n_alerts, span, undated=0.0):
@@ -72,6 +72,30 @@ def test_long_clusters_in_pieces(spark, seed, span, piece, halo):
     assert len(got) == len(spikes) + len(unused)
 
 
+@pytest.mark.parametrize("order", ["random", "with time", "against time"])
+def test_one_cluster_as_long_as_the_device(spark, order):
+    """Spikes of one device closer than the tolerance from first to last: one cluster, labels in any order."""
+    rng = np.random.default_rng(8)
+    n = 600
+    times = np.cumsum(rng.integers(10, 80, n)) * 1.0
+    ids = {"random": rng.permutation(n), "with time": np.arange(n), "against time": np.arange(n)[::-1]}[order]
+    spikes = pd.DataFrame({"spike_id": ids, "house_id": 1, "household_id": 0, "plug_id": 2, "ts": times}).sort_values("spike_id")
+    moved = rng.choice(times, n, replace=True) + rng.integers(-60, 61, n)
+    alerts = pd.DataFrame({"alert_id": np.arange(n), "house_id": 1, "household_id": 0, "plug_id": 2, "ts": moved})
+    pairs, unused = loop(spikes, alerts, 90.0)
+    got = match_alerts(*frames(spark, spikes, alerts), 90.0, piece_s=1500.0, halo_s=200.0).collect()
+    assert {r.spike_id: r.alert_id for r in got if r.spike_id is not None} == pairs
+    assert {r.alert_id for r in got if r.spike_id is None} == unused and len(got) == n + len(unused)
+
+
+def test_a_round_settles_only_final_choices(spark):
+    spikes, alerts = labelled(9, 200, 220, 6_000)
+    pairs, _ = loop(spikes, alerts, 90.0)
+    settled = settle_round(*frames(spark, spikes, alerts), 90.0).collect()
+    assert len(settled) > 20 and all(pairs[r.spike_id] == r.alert_id for r in settled)
+    assert min(spikes.spike_id) in {r.spike_id for r in settled}
+
+
 def test_two_spikes_compete_and_undated_alert(spark):
     spikes = pd.DataFrame([(0, 1, 0, 2, 100.0), (1, 1, 0, 2, 110.0), (2, 2, 0, 0, 5.0)], columns=["spike_id", "house_id", "household_id", "plug_id", "ts"])
     alerts = pd.DataFrame([(0, 1, 0, 2, 108.0), (1, 1, 0, 2, 900.0), (2, 2, 0, 0, None)], columns=["alert_id", "house_id", "household_id", "plug_id", "ts"], dtype=object)
