@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.operators import windows as w
-from meterflow.plans import api, sql
+from meterflow.functions import slices as sl
+from meterflow.operators.alerts import notification_json, topic_name
+from meterflow.plans import sql
 from meterflow.plans.catalog_alerts import _FIRED, _OVER, _SCORED, DETECTOR, over_device
 from meterflow.plans.catalog_api import _META, _META_COLUMNS
 from meterflow.plans.catalog_slices import DENSE, QUALITY_SQL, WIDE, dense_log, loads
 from meterflow.plans.catalog_sources import SCAN_SQL, reading_lines
 from meterflow.plans.registry import query
-from meterflow.operators.forecast import forecast_quality
-from meterflow.schemas import DIRECT_WINDOWS, LEVEL_KEYS
+from meterflow.schemas import DEVICE, DIRECT_WINDOWS, SLICE
 from meterflow.session import scratch_path
 from meterflow.sinks import exports
 from meterflow.sources.driver_tables import stream_driver_readings
 from meterflow.sources.readings import filter_load, parse_readings
-from meterflow.streaming import anomalies, batches, metrics, partials, tumbling
+from meterflow.streaming import anomalies, batches, eviction, metrics, partials, publishing, refresh, tumbling
 
 _DEVICE_ROW = f"{sql.IDS}, read_date, slice_gap, slice_index, value_count, value_sum, event_ts"
 
@@ -48,6 +50,8 @@ def _(spark, sf_dir):
     root = scratch_path(spark, "tumbling")
     stream = tumbling.start_tumbling(stream_loads(spark, sf_dir), f"{root}/log", f"{root}/cp", available_now=True)
     stream.awaitTermination()
+    # slices that the watermark has passed become final; the view joins them with the open ones
+    tumbling.close_slices(spark, f"{root}/log", tumbling.watermark_ms(stream) or 0)
     return tumbling.tumbling_view(spark, f"{root}/log", DIRECT_WINDOWS)
 
 
@@ -58,7 +62,7 @@ def _stream_scores(spark, sf_dir) -> DataFrame:
     for run in range(2):
         for part in (2 * run, 2 * run + 1):
             chunk = rows.where(F.floor((days - 1) * FILES / 31) == part)
-            chunk.write.mode("append").parquet(f"{root}/in")
+            chunk.coalesce(1).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
         anomalies.start_scores(stream, DETECTOR, f"{root}/rows", f"{root}/cp", available_now=True).awaitTermination()
     return spark.read.parquet(f"{root}/rows")
@@ -149,13 +153,13 @@ FILES = 4
 _THIRTY = f"WITH {WIDE}, {sql.slices([30])} SELECT {_DEVICE_ROW} FROM slices"
 
 
-def _landing(spark, sf_dir) -> tuple[str, DataFrame]:
+def _landing(spark, sf_dir, layout: str = "wide") -> tuple[str, DataFrame]:
     """Readings of the month in several files, the latest days written first."""
-    path, rows = scratch_path(spark, "landing"), loads(spark, sf_dir)
+    path, rows = scratch_path(spark, "landing"), loads(spark, sf_dir, layout)
     days = F.dayofmonth(F.timestamp_millis("event_ms"))
     for part in reversed(range(FILES)):
         chunk = rows.where(F.floor((days - 1) * FILES / 31) == part)
-        chunk.write.mode("append").parquet(path)
+        chunk.coalesce(1).write.mode("append").parquet(path)
     return path, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -186,6 +190,60 @@ def _(spark, sf_dir):
     return tumbling.tumbling_view(spark, f"{root}/log", [30])
 
 
+IDLE_MS = 1_000
+_OPENINGS = f"""WITH {WIDE}, parts AS (SELECT *, strftime(epoch_ms(event_ms), '%Y-%m-%d') AS read_date, 30 AS slice_gap,
+  CAST(event_ms % 86400000 // 1800000 AS INT) AS slice_index, day(epoch_ms(event_ms)) AS d, event_ms % 1800000 >= 900000 AS second FROM loads)
+SELECT {sql.IDS}, read_date, slice_gap, slice_index, count(*) AS value_count, sum(value) AS value_sum, max(event_ms) AS event_ts,
+  count(DISTINCT d > 15 AND second) AS openings, bool_or(d > 15 AND second) AS live FROM parts GROUP BY {sql.IDS}, read_date, slice_gap, slice_index"""
+
+
+@query("evicted_slices", _OPENINGS, rounded="value_sum")
+def _(spark, sf_dir):
+    # What comes first is idle long enough to be dropped before the rest (second half-slices of later days) arrives and opens some slices again.
+    root, rows = scratch_path(spark, "eviction"), loads(spark, sf_dir)
+    later = (F.dayofmonth(F.timestamp_millis("event_ms")) > 15) & (F.col("event_ms") % 1_800_000 >= 900_000)
+    for part, idle_ms in ((~later, IDLE_MS), (later, eviction.IDLE_MS)):
+        time.sleep(IDLE_MS / 1000 + 0.5)
+        rows.where(part).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        eviction.start_live_slices(stream, f"{root}/rows", f"{root}/cp", 30, idle_ms, once=True).awaitTermination()
+    view = eviction.live_view(spark, f"{root}/rows")
+    return view.select(*DEVICE, F.date_format("read_date", "yyyy-MM-dd").alias("read_date"), "slice_gap", "slice_index", "value_count", "value_sum", "event_ts", "openings", "live")
+
+
+def _refusing(refused: int) -> publishing.Send:
+    """A broker that takes the messages of plug p at their attempt 1 + p % ``refused`` at the earliest."""
+
+    def send(message_id: str, topic: str, payload: str, attempt: int) -> None:
+        if attempt <= int(message_id.split("-")[2]) % refused:
+            raise ConnectionError(f"{topic} does not answer")
+
+    return send
+
+
+@query(
+    "publish_outbox",
+    f"""WITH {_OVER} SELECT printf('%d-%d-%d-%d', house_id, household_id, plug_id, event_ms) AS message_id, CAST(1 + plug_id % 3 AS BIGINT) AS attempts,
+    CAST(1 AS BIGINT) AS deliveries FROM over_device""",
+)
+def _(spark, sf_dir):
+    # Some messages are refused once or twice; what waits in the outbox goes first in the next flush, until nothing is left.
+    root, rows = scratch_path(spark, "publishing"), over_device(spark, sf_dir)
+    message_id = F.format_string("%d-%d-%d-%d", *DEVICE, "event_ms")
+    messages = rows.select(message_id.alias("message_id"), topic_name("device").alias("topic"), notification_json("device").alias("payload"), "read_date")
+    messages.hint("rebalance", "read_date").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    connect = lambda: _refusing(3)
+    writer = stream.writeStream.foreachBatch(publishing.publish(root, connect)).option("checkpointLocation", f"{root}/cp")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    none, flush = messages.drop("read_date").limit(0), 1_000_000
+    while not publishing.read_outbox(spark, root).isEmpty():
+        publishing.flush_messages(none, root, flush, connect)
+        flush += 1
+    sent = publishing.delivered(spark, root)
+    return sent.groupBy("message_id").agg(F.max("attempts").alias("attempts"), F.count("*").alias("deliveries"))
+
+
 @query("backpressure", f"WITH {WIDE} SELECT true AS several_batches, count(*) AS readings FROM loads")
 def _(spark, sf_dir):
     # One file per micro-batch; the rest waits at the source and nothing is dropped.
@@ -200,22 +258,21 @@ def _(spark, sf_dir):
 
 @query("refresh_meta", _META)
 def _(spark, sf_dir):
-    root = scratch_path(spark, "refresh-meta")
-    stream = stream_loads(spark, sf_dir, "dense")
-    partials.start_partials(stream, root, f"{root}/cp", [30, 120], available_now=True).awaitTermination()
-    device, out = partials.partials_view(spark, root), None
-    for level in LEVEL_KEYS:
-        rows = api.meta_dates(w.rollup(device, level), level).withColumn("level", F.lit(level))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out.select(*_META_COLUMNS)
+    # Four micro-batches; each adds the entities and days that none before it had.
+    root, (_, stream) = scratch_path(spark, "refresh-meta"), _landing(spark, sf_dir, "dense")
+    new = refresh.entity_days(stream).writeStream.outputMode("append").format("parquet").option("path", f"{root}/days")
+    new.option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
+    days = spark.read.parquet(f"{root}/days")
+    parts = [sl.year_of("read_date").alias("year"), sl.month_of("read_date").alias("month"), sl.day_of("read_date").alias("day"), sl.date_text("read_date").alias("text")]
+    return days.select("level", *DEVICE, *parts).select(*_META_COLUMNS)
 
 
 @query("refresh_quality", QUALITY_SQL, rounded="mean variance standard_deviation mse")
 def _(spark, sf_dir):
-    root = scratch_path(spark, "refresh-quality")
-    stream = stream_loads(spark, sf_dir, "dense")
-    windows = [*DIRECT_WINDOWS, 60, 120]
-    partials.start_partials(stream, root, f"{root}/cp", windows, available_now=True).awaitTermination()
-    return forecast_quality(w.rollup(partials.partials_view(spark, root), "house"))
+    # Four micro-batches; each reads the days that it changed and the state that the one before it left.
+    root, (_, stream) = scratch_path(spark, "refresh-quality"), _landing(spark, sf_dir, "dense")
+    writer = stream.writeStream.foreachBatch(refresh.write_and_refresh(root, [*DIRECT_WINDOWS, 60, 120]))
+    writer.option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
+    return refresh.quality_of(refresh.newest_state(spark, f"{root}/quality"))
 
 

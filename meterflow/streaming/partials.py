@@ -1,17 +1,12 @@
 """Default stream path: stateless partials per micro-batch, any age accepted, safe to replay.
 
-Each micro-batch is reduced to partial slices and written to a folder of its own, by window size and day; a commit row then
-names the folder. Readers and compactions see committed folders only, so a batch that is being written, or that runs
-twice, changes nothing. Sums of partials equal the batch result whatever order the readings arrive in, and no watermark
-can drop a late one.
-
-A compaction rewrites the days that got new readings and no others; its manifest says which version of each day counts. Folded
-batches and old versions stay until ``prune_partials`` removes what the last manifests no longer need.
+Each micro-batch is reduced to partial slices and written to the folder of its number, which a replay overwrites. Sums of
+partials equal the batch result whatever order the readings arrive in, and no watermark can drop a late one. An ordinary job
+folds old batches into a table by window size and day; every row of it says up to which batch its day has been folded.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,19 +20,11 @@ from meterflow.schemas import DEVICE, SLICE
 FLUSH_INTERVAL = "60 seconds"
 DAY = ["slice_gap", "read_date"]
 _ROWS = "house_id int, household_id int, plug_id int, slice_index int, value_count long, value_sum double, event_ts long, slice_gap int, read_date date"
-_BATCHES = f"{_ROWS}, batch long, attempt string"
-_COMPACTED = f"{_ROWS}, version long"
-_COMMITS = "attempt string, batch long"
-_MANIFEST = "slice_gap int, read_date date, version long, upto long"
 
 
 def write_partials(root: str, windows: list[int] | None = None) -> Callable[[DataFrame, int], None]:
     def flush(readings: DataFrame, batch: int) -> None:
-        attempt = uuid.uuid4().hex
-        slices = multi_window(readings, windows)
-        slices.write.partitionBy(*DAY).parquet(f"{root}/batches/batch={batch}/attempt={attempt}")
-        commit = readings.sparkSession.createDataFrame([(attempt,)], "attempt string")
-        commit.coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/batch={batch}")
+        multi_window(readings, windows).write.mode("overwrite").parquet(f"{root}/batches/batch={batch}")
 
     return flush
 
@@ -56,7 +43,7 @@ def start_partials(
     return writer.trigger(**trigger).start()
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or an empty one if nothing has been written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -66,72 +53,39 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
-def _manifest(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
-    """Version of each compacted day, and the last batch folded into them; -1 before the first compaction."""
-    every = _read(spark, f"{root}/manifest", _MANIFEST)
-    upto = every.agg(F.max("upto")).first()[0]
-    return every.where(F.col("upto") == F.lit(upto)).drop("upto"), -1 if upto is None else upto
-
-
-def _committed(spark: SparkSession, root: str, after: int, upto: int | None = None) -> DataFrame:
-    """Partial slices of committed batches."""
-    wanted = F.col("batch") > after
-    if upto is not None:
-        wanted = wanted & (F.col("batch") <= upto)
-    commits = _read(spark, f"{root}/commits", _COMMITS).where(wanted)
-    rows = _read(spark, f"{root}/batches", _BATCHES).where(wanted)
-    return rows.join(commits, ["batch", "attempt"], "left_semi").drop("batch", "attempt")
-
-
 def _sum(partials: DataFrame) -> DataFrame:
     return partials.groupBy(*DEVICE, *SLICE).agg(
         F.sum("value_count").alias("value_count"), exact_sum("value_sum").alias("value_sum"), F.max("event_ts").alias("event_ts")
     )
 
 
+def _parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The folded days with ``upto``, and the partials of batches that are not in them, with ``batch``."""
+    folded = read_or_empty(spark, f"{root}/folded", f"{_ROWS}, upto long")
+    days = folded.groupBy(*DAY).agg(F.max("upto").alias("upto"))
+    batches = read_or_empty(spark, f"{root}/batches", f"{_ROWS}, batch long")
+    fresh = batches.join(days, DAY, "left").where(F.col("upto").isNull() | (F.col("batch") > F.col("upto"))).drop("upto")
+    return folded, fresh
+
+
 def partials_view(spark: SparkSession, root: str) -> DataFrame:
-    """Current device slices: the newest compaction plus all later batches."""
-    manifest, folded = _manifest(spark, root)
-    compacted = _read(spark, f"{root}/compacted", _COMPACTED).join(manifest, [*DAY, "version"], "left_semi").drop("version")
-    return _sum(compacted.unionByName(_committed(spark, root, folded)))
+    """Current device slices: the folded days plus all batches after them."""
+    folded, fresh = _parts(spark, root)
+    return _sum(folded.drop("upto").unionByName(fresh.drop("batch")))
 
 
 def compact_partials(spark: SparkSession, root: str) -> int:
-    """Fold all committed batches and publish the result by a new manifest; returns the last batch folded.
+    """Fold all batches so far; returns the number of the last one, -1 if there is none.
 
-    Only days with new readings are written again. A compaction that dies half-way leaves no manifest and is ignored.
-    """
-    manifest, folded = _manifest(spark, root)
-    upto = _read(spark, f"{root}/commits", _COMMITS).where(F.col("batch") > folded).agg(F.max("batch")).first()[0]
-    if upto is None:
-        return folded
-    fresh = _committed(spark, root, folded, upto)
-    touched = fresh.select(*DAY).distinct()
-    current = manifest.join(touched, DAY, "left_semi")
-    old = _read(spark, f"{root}/compacted", _COMPACTED).join(current, [*DAY, "version"], "left_semi").drop("version")
-    target = f"{root}/compacted/version={upto}"
-    _sum(old.unionByName(fresh)).hint("rebalance", *DAY).write.mode("overwrite").partitionBy(*DAY).parquet(target)
-    days = manifest.join(touched, DAY, "left_anti").unionByName(touched.withColumn("version", F.lit(upto).cast("long")))
-    days.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/upto={upto}")
-    return upto
-
-
-def prune_partials(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
-    """Remove what the newest ``keep`` manifests do not need: older manifests, batches folded into all of those kept, unused versions.
-
-    Readers that opened one of the kept states can go on reading. Returns the removed folders.
+    Only days with new partials are written again, each as a whole, so a job that dies half-way leaves days that are folded and days that are
+    not. Batches below the returned number may be removed when no reader needs them.
     """
-    every = _read(spark, f"{root}/manifest", _MANIFEST)
-    states = sorted(r[0] for r in every.select("upto").distinct().collect())
-    if not states:
-        return []
-    kept, gone = states[-keep:], states[:-keep]
-    used = {r[0] for r in every.where(F.col("upto").isin(kept)).select("version").distinct().collect()}
-    folded = [r[0] for r in _read(spark, f"{root}/commits", _COMMITS).where(F.col("batch") <= kept[0]).select("batch").distinct().collect()]
-    paths = [f"manifest/upto={n}" for n in gone]
-    paths += [f"compacted/version={n}" for n in states if n not in used]
-    paths += [f"{kind}/batch={n}" for n in folded for kind in ("commits", "batches")]
-    for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{path}")
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    return paths
+    folded, fresh = _parts(spark, root)
+    last = read_or_empty(spark, f"{root}/batches", "batch long").agg(F.max("batch")).first()[0]
+    if last is None:
+        return -1
+    touched = fresh.where(F.col("batch") <= last).select(*DAY).distinct()
+    rows = folded.join(touched, DAY, "left_semi").drop("upto").unionByName(fresh.where(F.col("batch") <= last).drop("batch"))
+    whole = _sum(rows).withColumn("upto", F.lit(last).cast("long")).hint("rebalance", *DAY)
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*DAY).parquet(f"{root}/folded")
+    return last

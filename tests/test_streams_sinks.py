@@ -9,7 +9,7 @@ from meterflow.plans.catalog_slices import loads
 from meterflow.schemas import DEVICE, DIRECT_WINDOWS, SLICE
 from meterflow.sinks import exports, tables
 from meterflow.sources.readings import stream_readings
-from meterflow.streaming import anomalies, partials, tumbling
+from meterflow.streaming import anomalies, partials, publishing, refresh, tumbling
 
 KEYS = [*DEVICE, *SLICE]
 
@@ -49,34 +49,77 @@ def test_partials_equal_batch_also_after_replay_and_compaction(spark, landing, t
     assert same_slices(partials.partials_view(spark, root), want)
     extra = spark.read.parquet(landing[0]).limit(0)
     partials.write_partials(root)(extra, 3)
-    assert partials.compact_partials(spark, root) == 3
-    assert partials.compact_partials(spark, root) == 3
+    assert partials.compact_partials(spark, root) == 2
     assert same_slices(partials.partials_view(spark, root), want)
 
 
-def test_partials_ignore_half_written_batches_and_prune_folded_ones(spark, landing, tmp_path):
+def test_folding_writes_touched_days_only(spark, landing, tmp_path):
     root, rows = str(tmp_path / "p"), landing[1]
     day = F.dayofmonth(F.timestamp_millis("event_ms"))
-    flush = partials.write_partials(root)
-    flush(rows.where(day <= 10), 0)
-    # a batch without its commit, as seen while it is being written
-    w.multi_window(rows.where(day > 10)).write.partitionBy(*partials.DAY).parquet(f"{root}/batches/batch=1/attempt=half")
-    first = w.multi_window(rows.where(day <= 10))
-    assert same_slices(partials.partials_view(spark, root), first)
-    assert partials.compact_partials(spark, root) == 0
-    flush(rows.where(day > 10), 1)
-    want = w.multi_window(rows)
-    assert same_slices(partials.partials_view(spark, root), want)
-    assert partials.compact_partials(spark, root) == 1
-    versions = spark.read.parquet(f"{root}/compacted")
-    assert versions.where("version = 1").agg(F.min(F.dayofmonth("read_date"))).first()[0] == 11  # old days stay as they were
-    flush(rows.where(day <= 10), 2)
-    assert partials.compact_partials(spark, root) == 2
-    removed = partials.prune_partials(spark, root, keep=1)
-    assert {"manifest/upto=0", "manifest/upto=1", "compacted/version=0", "batches/batch=2"} <= set(removed) and "compacted/version=1" not in removed
-    twice = w.multi_window(rows.unionByName(rows.where(day <= 10)))
-    assert same_slices(partials.partials_view(spark, root), twice)
-    assert partials.prune_partials(spark, root, keep=1) == []
+    flush = partials.write_partials(root, [30])
+    assert partials.compact_partials(spark, root) == -1
+    for batch, part in enumerate([day <= 10, (day > 8) & (day <= 20), day <= 2]):
+        flush(rows.where(part), batch)
+        assert partials.compact_partials(spark, root) == batch
+    flush(rows.where(day == 15), 3)
+    folded = spark.read.parquet(f"{root}/folded").groupBy("read_date").agg(F.min("upto").alias("low"), F.max("upto").alias("high"))
+    assert {r.read_date.day: (r.low, r.high) for r in folded.collect()} == {d: (2, 2) if d <= 2 else (0, 0) if d <= 8 else (1, 1) for d in range(1, 21)}
+    every = rows.where(day <= 10).unionByName(rows.where((day > 8) & (day <= 20))).unionByName(rows.where(day <= 2)).unionByName(rows.where(day == 15))
+    assert same_slices(partials.partials_view(spark, root), w.multi_window(every, [30]))
+
+
+def test_closed_slices_leave_the_log(spark, landing, tmp_path):
+    log, rows = str(tmp_path / "log"), landing[1]
+    day = F.dayofmonth(F.timestamp_millis("event_ms"))
+    flush = tumbling.write_flushes(log)
+    for batch, part in enumerate([day <= 10, day <= 20, day <= 31]):  # totals so far, in order
+        flush(w.window_slices(rows.where(part), 30), batch)
+    cut = int(rows.where(day <= 15).agg(F.max("event_ms")).first()[0])
+    tumbling.close_slices(spark, log, cut)
+    want = w.multi_window(rows, [30])
+    assert same_slices(tumbling.tumbling_view(spark, log, [30]), want)
+    final = spark.read.parquet(f"{log}-final")
+    assert spark.read.parquet(log).select("batch").distinct().count() == 1 and final.count() + spark.read.parquet(log).count() == want.count()
+    tumbling.close_slices(spark, log, cut)  # nothing new
+    flush(w.window_slices(rows.where(day == 31), 30), 3)
+    tumbling.close_slices(spark, log, cut + 90 * 86_400_000)
+    assert same_slices(tumbling.tumbling_view(spark, log, [30]), want) and spark.read.parquet(log).count() == 0
+
+
+def test_refused_messages_wait_in_the_outbox(spark, tmp_path):
+    root = str(tmp_path / "out")
+
+    def connect():
+        def send(message_id, topic, payload, attempt):
+            if attempt <= int(message_id) % 3:
+                raise ConnectionError("no answer")
+
+        return send
+
+    def rows(ids):
+        return spark.createDataFrame([(str(i), "t", f'{{"text": "line\\nbreak {i}"}}') for i in ids], "message_id string, topic string, payload string")
+
+    for flush, ids in enumerate([range(6), range(6, 9), []]):
+        publishing.flush_messages(rows(ids), root, flush, connect)
+        publishing.flush_messages(rows(ids), root, flush, connect)  # the same flush again, as after a lost commit
+        held = {r.message_id: r.attempts for r in publishing.read_outbox(spark, root).collect()}
+        assert held == [{"1": 1, "2": 1, "4": 1, "5": 1}, {"2": 2, "5": 2, "7": 1, "8": 1}, {"8": 2}][flush]
+    publishing.flush_messages(rows([]), root, 3, connect)
+    assert publishing.read_outbox(spark, root).count() == 0
+    sent = {r.message_id: (r.attempts, r.payload) for r in publishing.delivered(spark, root).collect()}
+    assert sent == {str(i): (i % 3 + 1, f'{{"text": "line\\nbreak {i}"}}') for i in range(9)} and publishing.delivered(spark, root).count() == 9
+
+
+def test_moments_merge_and_come_apart(spark):
+    leaves = [(1, 30, i % 2, float(v), d) for d in range(6) for i, v in enumerate([3 * d, d * d])]
+    rows = spark.createDataFrame(leaves, "house_id int, slice_gap int, slice_index int, avg double, day int")
+    whole = refresh.merge_moments(refresh.as_state(rows))
+    parts = refresh.merge_moments(refresh.as_state(rows.where("day < 4")))
+    moved = refresh.merge_moments(parts.unionByName(refresh.as_state(rows.where("day = 1"), -1)).unionByName(refresh.as_state(rows.where("day >= 4 or day = 1"))))
+    figures = lambda state: {r.slice_index: (r.n, round(r.mean, 9), round(r.m2, 6)) for r in state.collect()}
+    assert figures(whole) == figures(moved) == {0: (6, 7.5, 157.5), 1: (6, round(55 / 6, 9), round(979 - 55 * 55 / 6, 6))}
+    gone = refresh.merge_moments(parts.unionByName(refresh.as_state(rows.where("day < 4"), -1)))
+    assert gone.count() == 0
 
 
 def test_tumbling_drops_only_late_rows(spark, landing, tmp_path):
