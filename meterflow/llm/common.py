@@ -36,6 +36,10 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+#: Rows of whole texts, or pairs of them, that a Python worker is handed at a time while a table is written.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Paths of intermediate tables, by the innermost ``own_tables`` that is open.
 _OWN: list[list[str]] = []
 
@@ -46,7 +50,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     if _OWN:
         _OWN[-1].append(path)
-    frame.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
