@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterflow.llm.common import lower_ascii, text_or_empty, written
@@ -32,25 +32,26 @@ def _digit(number: Column, level: int, fan_in: int) -> Column:
 def merge_runs(rows: DataFrame, keep: str = "smallest", fan_in: int = FAN_IN, runs: int | None = None) -> DataFrame:
     """Merge digest runs round by round; one row per text: ``text_sha256``, ``check``, ``n_bytes``, ``keep_id``, ``group_size``.
 
-    Every partition first becomes a run, sorted and reduced to one row per digest. The runs are numbered in base
-    ``fan_in``; round k brings together the runs that differ in digit k only, and deals what they hold by digit k of the
-    digest: a group of ``fan_in`` tasks exchanges runs and each merges one share of them. After the last round a run's
-    number is a range of digests, so equal texts have met. Every merge compares, besides the digest, an independent
-    hash and the length in bytes, and retains the smallest (or largest) identifier of those that agree. A text with
-    any number of copies is one row per run from the first round on.
+    Every partition is a run, numbered in base ``fan_in``. Round k brings together the runs that differ in digit k only, and deals what they hold by digit k
+    of the digest: a group of ``fan_in`` tasks exchanges runs, each sorts its share of them, and walks through the sorted rows: neighbours of the same
+    digest, of which an independent hash and the length in bytes agree as well, become one row with the smallest (or largest) identifier. After the last round a
+    run's number is a range of digests, so equal texts have met. A text with any number of copies is one row per run from the first round on, and in
+    the first round its copies go to as many runs as there are groups.
     """
     spark = rows.sparkSession
     wanted = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
     levels = max(1, math.ceil(math.log(max(wanted, 2), fan_in)))
-    best = F.min if keep == "smallest" else F.max
     place = F.conv(F.substring("text_sha256", 1, 12), 16, 10).cast("long")
     first = F.pmod(F.spark_partition_id(), F.lit(fan_in**levels)).cast("long")
+    by_id = F.col("keep_id").asc_nulls_last() if keep == "smallest" else F.col("keep_id").desc_nulls_last()
+    same = Window.partitionBy(*KEY)
     merged = rows.select(first.alias("run"), "text_sha256", "check", "n_bytes", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    for level in range(-1, levels):
-        if level >= 0:
-            step = fan_in**level
-            merged = merged.withColumn("run", F.col("run") + (_digit(place, level, fan_in) - _digit(F.col("run"), level, fan_in)) * F.lit(step))
-        merged = merged.groupBy(*KEY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).sortWithinPartitions(*KEY)
+    for level in range(levels):
+        step = fan_in**level
+        target = F.col("run") + (_digit(place, level, fan_in) - _digit(F.col("run"), level, fan_in)) * F.lit(step)
+        run = merged.withColumn("run", target).repartition(wanted, "run")
+        walked = run.withColumns({"_turn": F.row_number().over(same.orderBy(by_id)), "_size": F.sum("group_size").over(same)})
+        merged = walked.where(F.col("_turn") == 1).select(*KEY, "keep_id", F.col("_size").alias("group_size"))
     return merged.drop("run")
 
 

@@ -37,6 +37,13 @@ def test_every_fan_in_merges_all_runs(spark):
         assert sorted((r.keep_id, r.group_size) for r in merged) == [(i, 29 if i < 4 else 28) for i in range(7)]
 
 
+def test_every_round_sorts_its_runs(spark):
+    rows = exact.digests(frame(spark, [(i, f"text {i % 7}") for i in range(50)]))
+    plan = exact.merge_runs(rows, "smallest", 3, 27)._jdf.queryExecution().executedPlan().toString()
+    first = plan.split("== Initial Plan ==")[-1]
+    assert first.count("Sort [run#") >= 3 and first.count("Exchange hashpartitioning(run#") == 3 and "HashAggregate" not in first
+
+
 def test_exact_on_an_empty_table_and_clashing_columns(spark):
     assert exact.exact_duplicates(frame(spark, [])).count() == 0
     docs = spark.createDataFrame([(1, "a", 5, "x"), (2, "A", 6, "y")], "doc_id long, text string, keep_id int, run string")
@@ -100,6 +107,12 @@ def test_virtual_time_orders_the_mix(spark):
     assert words["a"] / words["b"] == pytest.approx(5 / 2, rel=0.05)
 
 
+def test_mixed_documents_with_columns_in_the_way(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 1, 2, 3)], "doc_id long, text string, source string, id int, _id int, `check` int")
+    assert mixing.mixed_documents(docs).columns == ["doc_id", "text", "source", "id", "_id", "check", "size", "taken", "offset"]
+    assert mixing.mixed_documents(docs).count() == 1
+
+
 def test_mixed_documents_keep_columns_and_share_evenly(spark):
     docs = spark.createDataFrame([(1, "a b c", "en", "x", 1, 7), (1, "a b c", "en", "x", 1, 7), (2, "d", "de", None, 1, 8)], DOC + ", taken int")
     out = mixing.mixed_documents(docs)
