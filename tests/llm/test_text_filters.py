@@ -5,6 +5,7 @@ import re
 
 import pytest
 from helpers import frame, prose
+from pyspark.sql import functions as F
 
 from meterflow.llm import decontaminate, licenses, pii, urls
 from meterflow.llm.queries import QUERIES
@@ -134,6 +135,15 @@ def test_rules_and_parts_equal_python(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_windows_by_join_with_columns_in_the_way(spark):
+    body = "a b c d e f g h i j k l m"
+    docs = spark.createDataFrame([(1, f"x {body} y", 7, 8), (1, "other words", 7, 8), (None, body, 7, 8), (None, "none", 7, 8)], "doc_id long, text string, of int, found int")
+    bench = spark.createDataFrame([("q", body)], "item_id string, text string")
+    found = decontaminate.find_hits(docs, bench, broadcast_bytes=0)
+    assert found.columns == [*docs.columns, "n_words", "n_hit", "items", "spans"]
+    assert sorted((r.text, r.n_hit, r.of) for r in found.collect()) == [(body, 13, 7), ("none", 0, 7), ("other words", 0, 7), (f"x {body} y", 13, 7)]
+
+
 def test_trees_learn_what_the_rules_say(spark):
     rows = [(i, f"http://s{i % 9}.{'net' if i % 2 else 'com'}/{'es' if i % 3 else 'de'}/{i}") for i in range(600)]
     rows += [(1000 + i, f"http://q{i}.{'net' if i % 2 else 'com'}/es") for i in range(40)]
@@ -146,6 +156,16 @@ def test_trees_learn_what_the_rules_say(spark):
     assert {r.verdict for r in one_kind.collect()} == {"allow"}
 
 
+def test_held_out_hosts(spark, sf_small):
+    """Hosts of a fold are not learnt from; the trees tell their verdict all the same, and both occur where no rule fits."""
+    pages = spark.read.parquet(f"{sf_small}/pages.parquet")
+    out = F.pmod(F.xxhash64("host"), F.lit(urls.FOLDS)) == 0
+    judged = urls.judge_urls(pages, learn_from=~out)
+    held = judged.where(out & F.col("rule").isNotNull()).select(((F.col("score") >= 0.5) == (F.col("verdict") == "block")).alias("right")).collect()
+    assert len(held) > 10 and sum(r.right for r in held) >= 0.9 * len(held)
+    assert {r.verdict for r in judged.where("rule is null").collect()} == {"allow", "block"}
+
+
 def words(text):
     return re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate({c: c + 32 for c in range(65, 91)}).encode())
 
