@@ -84,8 +84,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), prefixes=True, keep=["doc_id"])
+    return counted.select(
+        "doc_id",
+        "n_bytes",
+        "n_tokens",
+        (F.col("n_tokens") > 2048).alias("over_limit"),
+        F.size("prefix_tokens").cast("long").alias("n_prefixes"),
+        F.sha2(F.array_join(F.col("prefix_tokens").cast("array<string>"), ","), 256).alias("prefixes_sha256"),
+        F.coalesce(F.get("prefix_ends", tokens.fitting_words(2048) - 1), F.lit(0)).cast("long").alias("bytes_within_limit"),
+    )
 
 
 @query("op3_quality")

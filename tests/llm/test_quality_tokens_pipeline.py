@@ -1,5 +1,6 @@
 """The classifier on held-out rows, token counts against the library, and the pipeline stage by stage."""
 
+import hashlib
 import zlib
 
 import corpus_pipeline
@@ -81,6 +82,18 @@ def test_counts_equal_the_library(spark):
     assert tokens.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_the_query_digests_the_prefix_counts(spark, sf_tiny):
+    library = Tokenizer.from_file(path(tokens.TOKENIZER))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_tiny}/documents.parquet").collect()}
+    for r in QUERIES["op10_token_counts"](spark, sf_tiny).where("doc_id % 9 = 0").collect():
+        words = texts[r.doc_id].encode().split()
+        sums = np.cumsum([len(library.encode(w.decode(), add_special_tokens=False).ids) for w in words]).tolist()
+        assert r.n_prefixes == len(words) and r.prefixes_sha256 == hashlib.sha256(",".join(map(str, sums)).encode()).hexdigest()
+        assert r.n_tokens == (sums[-1] if sums else 0) == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        within = texts[r.doc_id].encode()[: r.bytes_within_limit].decode()
+        assert len(within.split()) == sum(n <= 2048 for n in sums)
+
+
 def test_forgotten_words_are_asked_again(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_WORDS", 3)
     counts = tokens.WordCounts(tokens.TOKENIZER)
