@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterflow.functions import slices as sl
 from meterflow.operators.alerts import notification_json, topic_name
 from meterflow.plans import sql
-from meterflow.plans.catalog_alerts import _FIRED, _OVER, _SCORED, DETECTOR, over_device
+from meterflow.plans.catalog_alerts import _DEVICE_JSON, _FIRED, _OVER, _SCORED, DETECTOR, over_device
 from meterflow.plans.catalog_api import _META, _META_COLUMNS
 from meterflow.plans.catalog_slices import DENSE, QUALITY_SQL, WIDE, dense_log, loads
 from meterflow.plans.catalog_sources import SCAN_SQL, reading_lines
@@ -127,6 +127,20 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").groupBy("topic").agg(F.count("*").alias("n"))
 
 
+@query(
+    "stream_payloads",
+    f"""WITH {_OVER} SELECT printf('device-%d-%d-%d-notification', house_id, household_id, plug_id) AS topic, {_DEVICE_JSON} AS payload
+    FROM over_device UNION ALL SELECT 'iot-notification', {_DEVICE_JSON} FROM over_device""",
+)
+def _(spark, sf_dir):
+    root = scratch_path(spark, "payloads")
+    over_device(spark, sf_dir).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
+    writer = stream.writeStream.foreachBatch(batches.publish_notifications(f"{root}/out", "device"))
+    writer.option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("topic", "payload")
+
+
 @query(
     "stream_metrics",
     f"WITH {WIDE} SELECT count(*) AS received, count(*) FILTER (WHERE property = 1 AND house_id < 20) AS emitted FROM readings",
