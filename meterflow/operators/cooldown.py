@@ -9,51 +9,44 @@ gathers a key: a key with a third of all rows spreads over its buckets and times
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterflow.operators.segments import KEY, key_text
-from meterflow.session import scratch_path
+from meterflow.session import stored
 
+#: Doublings of the pointers in one job.
+DOUBLINGS = 2
 
-def _written(frame: DataFrame, name: str) -> DataFrame:
-    spark: SparkSession = frame.sparkSession
-    path = scratch_path(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
 
+def links(times: DataFrame, width: int) -> DataFrame:
+    """``_key``, ``t``, ``next``, ``root``: the first time of the key at least ``width`` after t, null where the chain ends, and whether t begins one.
 
-def successors(times: DataFrame, width: int) -> DataFrame:
-    """``_key``, ``t``, ``next``: the first time of the key at least ``width`` after t, unless the chain ends before it.
-
-    ``times`` has the distinct ``_key``, ``t`` and their ``bucket`` of ``width``.
+    ``times`` has the distinct ``_key``, ``t`` and their ``bucket`` of ``width``. The first time after an empty bucket is a root: it fires whatever
+    came before, so no chain leads to it.
     """
     none = F.lit(None).cast("long")
     points = times.select(KEY, "bucket", F.col("t").alias("at"), F.col("t").alias("point"), none.alias("of"))
     probes = times.select(KEY, (F.col("bucket") + 1).alias("bucket"), (F.col("t") + width).alias("at"), none.alias("point"), F.col("t").alias("of"))
     backwards = Window.partitionBy(KEY, "bucket").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = points.union(probes).withColumn("near", F.min("point").over(backwards)).where(F.col("of").isNotNull())
-    later = firsts(times).select(KEY, (F.col("bucket") - 1).alias("bucket"), F.col("first").alias("far"))
-    both = found.join(later, [KEY, "bucket"], "left")
-    return both.select(KEY, F.col("of").alias("t"), F.coalesce("near", "far").alias("next")).where(F.col("next").isNotNull())
-
-
-def firsts(times: DataFrame) -> DataFrame:
-    return times.groupBy(KEY, "bucket").agg(F.min("t").alias("first"))
-
-
-def roots(times: DataFrame) -> DataFrame:
-    """``_key``, ``t`` of the first times after an empty bucket: they fire whatever came before."""
-    known = firsts(times)
-    before = known.select(KEY, (F.col("bucket") + 1).alias("bucket"))
-    return known.join(before, [KEY, "bucket"], "left_anti").select(KEY, F.col("first").alias("t"))
+    # of every bucket: its own first time, and that of the one after
+    firsts = times.groupBy(KEY, "bucket").agg(F.min("t").alias("first"))
+    own = firsts.select(KEY, "bucket", F.col("first").alias("here"))
+    after = firsts.select(KEY, (F.col("bucket") - 1).alias("bucket"), F.col("first").alias("far"))
+    # a probe of bucket b looks into b + 1; the time after that counts only if b + 1 is not empty, else it is a root
+    both = found.join(own.join(after, [KEY, "bucket"], "left"), [KEY, "bucket"], "left")
+    chained = both.select(KEY, F.col("of").alias("t"), F.coalesce("near", F.when(F.col("here").isNotNull(), F.col("far"))).alias("next"), (F.col("bucket") - 1).alias("bucket"))
+    before = firsts.select(KEY, (F.col("bucket") + 1).alias("bucket"), F.lit(True).alias("preceded"))
+    begins = firsts.join(before, [KEY, "bucket"], "left").where(F.col("preceded").isNull()).select(KEY, F.col("first").alias("t"), F.lit(True).alias("root"))
+    return chained.drop("bucket").join(begins, [KEY, "t"], "left").select(KEY, "t", "next", F.coalesce("root", F.lit(False)).alias("root"))
 
 
 def on_chains(times: DataFrame, width: int) -> DataFrame:
     """``_key``, ``t`` of all times on the chains of successors from the roots."""
-    reached = roots(times)
-    # a pointer to a root ends its chain: the root begins one of its own
-    pointers = _written(successors(times, width).join(reached.withColumnRenamed("t", "next"), [KEY, "next"], "left_anti"), "cooldown-pointers")
+    linked = stored(links(times, width), "cooldown-links")
+    reached = linked.where("root").select(KEY, "t")
+    pointers = linked.where(F.col("next").isNotNull()).select(KEY, "t", "next")
 
     def ahead(rows: DataFrame, jumps: DataFrame) -> DataFrame:
         return rows.union(rows.join(jumps, [KEY, "t"]).select(KEY, F.col("next").alias("t")))
@@ -62,11 +55,12 @@ def on_chains(times: DataFrame, width: int) -> DataFrame:
         further = jumps.select(KEY, F.col("t").alias("next"), F.col("next").alias("after"))
         return jumps.join(further, [KEY, "next"]).select(KEY, "t", F.col("after").alias("next"))
 
-    # two doublings a round; pointers that would lead beyond a chain's end are gone
+    # pointers that would lead beyond a chain's end are gone, so none is left when they span the longest chain
     while not pointers.isEmpty():
-        twice = doubled(pointers)
-        reached = _written(ahead(ahead(reached, pointers), twice), "cooldown-reached")
-        pointers = _written(doubled(twice), "cooldown-pointers")
+        jumps = pointers
+        for _ in range(DOUBLINGS):
+            reached, jumps = ahead(reached, jumps), doubled(jumps)
+        reached, pointers = stored(reached, "cooldown-reached"), stored(jumps, "cooldown-pointers")
     return reached
 
 
@@ -85,12 +79,11 @@ def cooldown(
     without a time never fire. Null keys are keys. ``partitions`` spreads the rows before they are written.
     """
     spread = df.repartition(partitions, *keys, time) if partitions else df
-    rows = _written(spread.withColumns({KEY: key_text(keys), "_t": F.col(time).cast("long")}), "cooldown-rows")
+    rows = stored(spread.withColumns({KEY: key_text(keys), "_t": F.col(time).cast("long")}), "cooldown-rows")
     width = wait_ms + int(strict)
     if width <= 0:
         return rows.withColumn("fired", F.col("_t").isNotNull()).select(*df.columns, "fired")
     times = rows.where(F.col("_t").isNotNull()).select(KEY, F.col("_t").alias("t"), F.floor(F.col("_t") / width).alias("bucket")).distinct()
-    times = _written(times, "cooldown-times")
     chosen = times.select(KEY, "t") if width == 1 else on_chains(times, width)
     fired = chosen.select(KEY, F.col("t").alias("_t"), F.lit(True).alias("_on"))
     first = F.row_number().over(Window.partitionBy(KEY, "_t").orderBy(*order)) == 1

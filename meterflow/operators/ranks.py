@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterflow.session import stored
+
 #: Bits of a code that one round looks at: a histogram has at most 65,536 rows a group.
 DIGIT, ROUNDS = 16, 4
+#: Values that share their digits and need no further round.
+FEW = 1 << DIGIT
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -26,12 +30,18 @@ def _prefix(code: Column, digits: int) -> Column:
     return F.shiftright(code, 64 - DIGIT * digits) if digits else F.lit(0).cast("long")
 
 
+def _holding(wanted: DataFrame, bins: DataFrame) -> DataFrame:
+    """The bin of its prefix that each wanted rank lies in; ``_upto`` counts the values up to and with a bin."""
+    inside = (F.col("_rest") < F.col("_upto")) & (F.col("_rest") >= F.col("_upto") - F.col("_n"))
+    return wanted.join(bins, ["_group", "_prefix"]).where(inside)
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, levels: list[float], partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation, for groups of any size; nulls and NaN do not count.
 
-    Nothing is sorted and no group is gathered. Equal values are counted first, with partial aggregation. Then every round counts the
-    next digit of the codes that share the digits found so far, and steps down to the digit in which the wanted rank lies; after the
-    last round that is the value. A round's histogram has at most 65,536 rows a group and wanted rank, whatever the group's size. With ``weight`` the rows are counts
+    Equal values are counted first, with partial aggregation. While more than ``FEW`` values of a group share the digits found so far, a round counts the
+    next digit of their codes and steps down to the digit in which the wanted rank lies; the few values left are then looked through in order. No
+    window has more than 65,536 rows a group and wanted rank, whatever the group's size. With ``weight`` the rows are counts
     already. ``partitions`` is accepted for callers that give one; the rounds are ordinary aggregations.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
@@ -39,23 +49,26 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, levels: list[f
     code = F.col(value).cast("long") if whole else order_code(F.col(value))
     group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("{}")
     counted = rows.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
-    counts = counted.select(group.alias("_group"), *keys, code.alias("_code"), F.col(value).alias("_value"), "_n")
+    counts = stored(counted.select(group.alias("_group"), *keys, code.alias("_code"), F.col(value).alias("_value"), "_n"), "value-counts")
     totals = counts.groupBy("_group", *keys).agg(F.sum("_n").alias("_total"))
     exact = (F.col("_total") - 1) * F.col("_level")
     wanted = totals.withColumn("_level", F.explode(F.array(*[F.lit(float(p)) for p in levels]))).withColumn("_exact", exact)
     wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_exact"), F.ceil("_exact")))))
-    wanted = wanted.select("*", F.lit(0).cast("long").alias("_prefix"), F.col("_rank").alias("_rest"))
-    for level in range(ROUNDS):
-        open_ = wanted.select("_group", "_prefix").distinct()
-        held = counts.withColumn("_prefix", _prefix(F.col("_code"), level)).join(open_, ["_group", "_prefix"], "left_semi")
-        bins = held.groupBy("_group", "_prefix", _digit(F.col("_code"), level).alias("_digit")).agg(F.sum("_n").alias("_n"), F.min("_value").alias("_low"))
-        upto = F.sum("_n").over(Window.partitionBy("_group", "_prefix").orderBy("_digit"))
-        bins = bins.withColumn("_upto", upto)
-        inside = (F.col("_rest") < F.col("_upto")) & (F.col("_rest") >= F.col("_upto") - F.col("_n"))
-        found = wanted.join(bins, ["_group", "_prefix"]).where(inside)
+    wanted = stored(wanted.select("*", F.lit(0).cast("long").alias("_prefix"), F.col("_rank").alias("_rest")), "ranks")
+    by_prefix = Window.partitionBy("_group", "_prefix")
+    for level in range(ROUNDS + 1):
+        held = counts.withColumn("_prefix", _prefix(F.col("_code"), level))
+        if level:
+            held = held.join(wanted.select("_group", "_prefix").distinct(), ["_group", "_prefix"], "left_semi")
+        if level == ROUNDS or (held.groupBy("_group", "_prefix").count().agg(F.max("count")).first()[0] or 0) <= FEW:
+            break
+        bins = held.groupBy("_group", "_prefix", _digit(F.col("_code"), level).alias("_digit")).agg(F.sum("_n").alias("_n"))
+        found = _holding(wanted, bins.withColumn("_upto", F.sum("_n").over(by_prefix.orderBy("_digit"))))
         down = F.col("_digit") if level == 0 else F.shiftleft("_prefix", DIGIT).bitwiseOR(F.col("_digit"))
-        wanted = found.select(*[c for c in wanted.columns if c not in ("_prefix", "_rest")], down.alias("_prefix"), (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_rest"), "_low")
-        wanted = wanted if level == ROUNDS - 1 else wanted.drop("_low")
+        rest = F.col("_rest") - F.col("_upto") + F.col("_n")
+        wanted = stored(found.select(*[c for c in wanted.columns if c not in ("_prefix", "_rest")], down.alias("_prefix"), rest.alias("_rest")), "ranks")
+    values = held.withColumn("_upto", F.sum("_n").over(by_prefix.orderBy("_code")))
+    wanted = _holding(wanted, values.select("_group", "_prefix", "_n", "_upto", F.col("_value").alias("_low")))
     low, high = F.min(F.struct("_rank", "_low"))["_low"], F.max(F.struct("_rank", "_low"))["_low"]
     share = F.max("_exact") - F.min("_rank")
     per_level = wanted.groupBy("_group", *keys, "_level").agg((low + (high - low) * share).alias("_percentile"))

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -68,6 +68,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: computed once, kept when executors are lost."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

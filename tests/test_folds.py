@@ -3,7 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from meterflow.operators import cooldown as cooldown_graph
+from meterflow.operators import ranks
 from meterflow.operators.folds import cooldown, ewma_baseline, paced, with_previous
 from meterflow.operators.ranks import exact_percentiles
 
@@ -73,6 +76,21 @@ def test_cooldown_longer_than_segments(spark):
         assert times == list(range(0, 20_000, wait + strict))
 
 
+def test_a_hot_key_spreads_over_its_times(spark):
+    """A key with nearly all rows and a wait longer than any partition's share: no task of the links or of the marking gets its rows."""
+    rows = spark.range(40_000).select(F.lit("hot").alias(cooldown_graph.KEY), (F.col("id") * 3).alias("t"))
+    times = rows.withColumn("bucket", F.floor(F.col("t") / 500))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows end in one partition anyway
+    try:
+        found = cooldown_graph.links(times, 500)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 40_000 / 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    marked = cooldown_graph.on_chains(times, 500)
+    assert sorted(r.t for r in marked.collect()) == list(range(0, 120_000, 501)) and marked.select("t").distinct().count() == marked.count()
+
+
 @pytest.mark.parametrize("partitions", [1, 16])
 def test_pacing_equals_loop(spark, frame, partitions):
     expected = {}
@@ -108,6 +126,20 @@ def test_percentiles_equal_numpy(spark, frame, partitions):
             assert rows[k][f"value_p{p}"] == pytest.approx(np.percentile(g.value, p), abs=1e-9)
 
 
+def test_percentiles_by_refined_digits(spark, monkeypatch):
+    """With no value few enough, every digit is looked at: neighbours in the last bits, both signs, zeros, whole numbers."""
+    monkeypatch.setattr(ranks, "FEW", 0)
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(0, 1e-3, 60), [0.0, -0.0, 1e300, -1e300, 5.0], np.nextafter(5.0, 6) * np.ones(3), [5.0 + 1e-15 * k for k in range(9)]])
+    for column, kind in ((values, "double"), (rng.integers(-(2**40), 2**40, 50), "long")):
+        rows = [(k % 2, v.item()) for k, v in enumerate(column)] + [(0, None)]
+        got = {r.k: r for r in exact_percentiles(spark.createDataFrame(rows, f"k int, v {kind}"), ["k"], "v", [0.0, 0.5, 0.95, 1.0]).collect()}
+        for k in (0, 1):
+            for p in (0, 50, 95, 100):
+                want = np.percentile([v for i, v in rows if i == k and v is not None], p)
+                assert got[k][f"v_p{p}"] == pytest.approx(want, rel=1e-12, abs=1e-15)
+
+
 def test_empty_input(spark, frame):
     empty = spark.createDataFrame(frame).where("k < 0")
     assert cooldown(empty, ["k"], ["event_ms", "i"], 60).count() == 0
