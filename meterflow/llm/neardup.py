@@ -240,8 +240,8 @@ def link_documents(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
     # the list grows with the corpus: a sort-merge join whatever its size
     texts = written(rows.join(places.hint("merge"), ["of", "check"]).select("id", "text", "crowded"), "texts")
 
-    crowd = texts.where("crowded").groupBy("id").agg(F.first("text").alias("text"))
-    own = own_shingles(crowd, shingle)
+    # a text that stands there several times has fewer shingles of its own: a looser bound, but a bound
+    own = own_shingles(texts.where("crowded"), shingle)
     bounded = nodes.drop("of", "check").join(own, "id", "left").withColumn("shareable", F.col("n_shingles") - F.coalesce("own", F.lit(0).cast("long"))).drop("own")
     bounded = written(bounded.join(wanted.select("id"), "id"), "bounded")
 
