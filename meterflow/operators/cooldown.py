@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from meterflow.operators.segments import KEY, key_text
 from meterflow.session import stored
 
-#: Doublings of the pointers in one job.
-DOUBLINGS = 2
-
 
 def links(times: DataFrame, width: int) -> DataFrame:
     """``_key``, ``t``, ``next``, ``root``: the first time of the key at least ``width`` after t, null where the chain ends, and whether t begins one.
@@ -48,19 +45,11 @@ def on_chains(times: DataFrame, width: int) -> DataFrame:
     reached = linked.where("root").select(KEY, "t")
     pointers = linked.where(F.col("next").isNotNull()).select(KEY, "t", "next")
 
-    def ahead(rows: DataFrame, jumps: DataFrame) -> DataFrame:
-        return rows.union(rows.join(jumps, [KEY, "t"]).select(KEY, F.col("next").alias("t")))
-
-    def doubled(jumps: DataFrame) -> DataFrame:
-        further = jumps.select(KEY, F.col("t").alias("next"), F.col("next").alias("after"))
-        return jumps.join(further, [KEY, "next"]).select(KEY, "t", F.col("after").alias("next"))
-
-    # pointers that would lead beyond a chain's end are gone, so none is left when they span the longest chain
+    # one doubling a round; pointers that would lead beyond a chain's end are gone, so none is left when they span the longest chain
     while not pointers.isEmpty():
-        jumps = pointers
-        for _ in range(DOUBLINGS):
-            reached, jumps = ahead(reached, jumps), doubled(jumps)
-        reached, pointers = stored(reached, "cooldown-reached"), stored(jumps, "cooldown-pointers")
+        further = pointers.select(KEY, F.col("t").alias("next"), F.col("next").alias("after"))
+        reached = stored(reached.union(reached.join(pointers, [KEY, "t"]).select(KEY, F.col("next").alias("t"))), "cooldown-reached")
+        pointers = stored(pointers.join(further, [KEY, "next"]).select(KEY, "t", F.col("after").alias("next")), "cooldown-pointers")
     return reached
 
 
