@@ -50,6 +50,8 @@ def nearest_first(spikes: DataFrame, alerts: DataFrame, tolerance_s: float) -> D
 
 #: A round that settles less than this part of the spikes is the last before pieces are tried again.
 FEW = 8
+#: So many spikes in all may be matched without cutting clusters, whose length does not matter then.
+SMALL, WHOLE_S = 256, 1e15
 _MATCH = "spike_id long, alert_id long, spike_ts double, alert_ts double, core boolean, band boolean"
 
 
@@ -271,8 +273,9 @@ def match_alerts(
             free_spikes = _stored(free_spikes.join(settled.select("spike_id"), "spike_id", "left_anti"), "free-spikes")
             free_alerts = _stored(free_alerts.join(settled.select("alert_id"), "alert_id", "left_anti"), "free-alerts")
             before, waiting = waiting, free_spikes.count()
-            if before - waiting < before / FEW:
+            if waiting <= SMALL or before - waiting < before / FEW:
                 break
+        piece_s = WHOLE_S if waiting <= SMALL else piece_s
     return reduce(DataFrame.unionByName, results)
 
 
