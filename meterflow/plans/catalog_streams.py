@@ -15,7 +15,7 @@ from meterflow.plans.catalog_api import _META, _META_COLUMNS
 from meterflow.plans.catalog_slices import DENSE, QUALITY_SQL, WIDE, dense_log, loads
 from meterflow.plans.catalog_sources import SCAN_SQL, reading_lines
 from meterflow.plans.registry import query
-from meterflow.schemas import DEVICE, DIRECT_WINDOWS, SLICE
+from meterflow.schemas import DEVICE, DIRECT_WINDOWS
 from meterflow.session import scratch_path
 from meterflow.sinks import exports
 from meterflow.sources.driver_tables import stream_driver_readings
