@@ -220,8 +220,8 @@ def _(spark, sf_dir):
         time.sleep(IDLE_MS / 1000 + 0.5)
         rows.where(part).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-        eviction.start_live_slices(stream, f"{root}/rows", f"{root}/cp", 30, idle_ms, once=True).awaitTermination()
-    view = eviction.live_view(spark, f"{root}/rows")
+        eviction.start_live_slices(stream, f"{root}/slices", f"{root}/cp", 30, idle_ms, once=True).awaitTermination()
+    view = eviction.live_view(spark, f"{root}/slices")
     return view.select(*DEVICE, F.date_format("read_date", "yyyy-MM-dd").alias("read_date"), "slice_gap", "slice_index", "value_count", "value_sum", "event_ts", "openings", "live")
 
 
