@@ -32,7 +32,7 @@ def valid_latency(device_table: DataFrame, write_column: str = "first_written_at
 
 
 def latency_report(device_table: DataFrame, write_column: str = "first_written_at", gap: int | None = None) -> DataFrame:
-    """Count, mean, interpolated percentiles and range.
+    """Count, mean, interpolated percentiles and range; of no rows the count is 0 and the rest null.
 
     Latencies are whole milliseconds of at most one hour, so counting each distinct value first bounds what the
     final task holds, however many rows there are.
@@ -40,7 +40,7 @@ def latency_report(device_table: DataFrame, write_column: str = "first_written_a
     counts = valid_latency(device_table, write_column, gap).groupBy("latency_ms").agg(F.count("*").alias("n"))
     levels = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n"))
     return counts.agg(
-        F.sum("n").alias("samples"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("samples"),
         (F.sum(F.col("latency_ms") * F.col("n")) / F.sum("n")).alias("mean_ms"),
         levels.alias("p"),
         F.max("latency_ms").alias("max_ms"),
