@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,25 +16,44 @@ from meterflow.schemas import DIRECT_WINDOWS, ENVELOPE
 from meterflow.session import ship_package
 
 
-@F.pandas_udf(T.StringType())
-def gunzip_text(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Undecodable payloads become null."""
+#: Characters or bytes that a Python worker makes before it hands them on.
+OUT_SIZE = 4 << 20
+
+
+def _in_slices(batches: Iterator[pa.Array], convert: Callable, kind: pa.DataType) -> Iterator[pa.Array]:
+    """Converts value by value and hands on what has been made, so that no whole batch of unpacked bodies is held, however long each is."""
+    for batch in batches:
+        made, size = [], 0
+        for value in batch:
+            made.append(convert(value.as_py()))
+            size += len(made[-1] or "")
+            if size >= OUT_SIZE:
+                yield pa.array(made, kind)
+                made, size = [], 0
+        yield pa.array(made, kind)
+
 
-    def decode(data):
-        try:
-            return gzip.decompress(data).decode("utf-8")
-        except (OSError, EOFError, TypeError, UnicodeDecodeError):
-            return None
+def _unpacked(data: bytes | None) -> str | None:
+    try:
+        return None if data is None else gzip.decompress(data).decode("utf-8")
+    except (OSError, EOFError, UnicodeDecodeError, zlib.error):
+        return None
 
-    for batch in payloads:
-        yield batch.map(decode)
+
+def _packed(text: str | None) -> bytes | None:
+    return None if text is None else gzip.compress(text.encode("utf-8"))
+
+
+@F.arrow_udf(T.StringType())
+def gunzip_text(payloads: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Undecodable payloads become null."""
+    return _in_slices(payloads, _unpacked, pa.string())
 
 
-@F.pandas_udf(T.BinaryType())
-def gzip_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.BinaryType())
+def gzip_text(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Message bodies for transports that carry compressed payloads."""
-    for batch in texts:
-        yield batch.map(lambda text: gzip.compress(text.encode("utf-8")))
+    return _in_slices(texts, _packed, pa.binary())
 
 
 def encode_payloads(envelopes: DataFrame) -> DataFrame:
