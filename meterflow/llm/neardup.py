@@ -206,7 +206,8 @@ def own_shingles(texts: DataFrame, shingle: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``id``, ``component`` (smallest identifier reachable) of all linked identifiers but the smallest themselves.
 
-    Alternating large-star and small-star steps: edges move to ever smaller neighbours until each component is one star.
+    Alternating large-star and small-star steps: edges move to ever smaller neighbours until each component is one star. Each step is written:
+    a plan that holds a step several times would double with every step inside it, and the driver plans it anew every round.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
     last = None
@@ -215,12 +216,13 @@ def components(links: DataFrame) -> DataFrame:
         if state == last or not state[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         last = state
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(lowest, "u")
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).union(moved.select("u", F.col("m").alias("v")))
+        large = turned.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large-stars")
+        moved = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = moved.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where(F.col("u") != F.col("v"))
         edges = written(small.distinct(), "edges")
 
 
